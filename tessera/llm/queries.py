@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import op6_url_filters, op8_sharding, op9_secret_scans
+from tessera.llm import op6_url_filters, op8_sharding, op9_secret_scans, op10_sentencepiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,9 +64,17 @@ def op9_secret_scans_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op10_sentencepiece_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_sentencepiece.encode(_table(spark, sf_dir, "documents"), SENTENCEPIECE_MODEL)
+
+
 QUERIES = {
     "op6_url_filters": op6_url_filters_query,
     "op8_sharding": op8_sharding_query,
     "op9_secret_scans": op9_secret_scans_query,
+    "op10_sentencepiece": op10_sentencepiece_query,
 }
 ORACLES = {"op6_url_filters": OP6_SQL}
