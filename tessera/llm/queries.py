@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import op4_quality, op6_url_filters, op8_sharding, op9_secret_scans, op10_sentencepiece
+from tessera.llm import op2_near_vectors, op4_quality, op6_url_filters, op8_sharding, op9_secret_scans, op10_sentencepiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_vectors_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_near_vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -76,6 +80,7 @@ def op10_sentencepiece_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_near_vectors": op2_near_vectors_query,
     "op4_quality": op4_quality_query,
     "op6_url_filters": op6_url_filters_query,
     "op8_sharding": op8_sharding_query,
