@@ -98,12 +98,12 @@ def scan(history: DataFrame, ledger: DataFrame | None = None, *, path: str = "do
         blobs = blobs.join(seen, "blob", "left_anti")
     wanted = blobs.select(F.col("blob").alias("b"), F.col("path").alias("p")).hint("shuffle_hash")
     texts = versions.join(wanted, F.col("path").eqNullSafe(F.col("p")) & (F.col("blob") == F.col("b")), "left_semi")
-    scanned = texts.select("blob", _all_spans(F.col("content"), rules).alias("spans"))
-    hits = scanned.where(F.size("spans") > 0).dropDuplicates(["blob"])
+    # No filter on the spans here: it would be pushed below the join, and seen blobs would be scanned too.
+    hits = texts.select("blob", _all_spans(F.col("content"), rules).alias("spans")).dropDuplicates(["blob"])
     known = hits if ledger is None else hits.unionByName(seen)
     found = versions.select("path", "blob").join(known, "blob", "left")
     found = found.select(F.col("path").alias(path), "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
-    fresh = blobs.select("blob").join(hits, "blob", "left").select("blob", F.lit(version).alias("rule_version"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    fresh = hits.select("blob", F.lit(version).alias("rule_version"), "spans")
     return found, fresh
 
 
