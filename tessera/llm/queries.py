@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import op2_near_vectors, op4_quality, op6_url_filters, op8_sharding, op9_secret_scans, op10_sentencepiece
+from tessera.llm import op2_near_vectors, op3_ngram_join, op4_quality, op6_url_filters, op8_sharding, op9_secret_scans, op10_sentencepiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op2_near_vectors_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_near_vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_ngram_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -81,6 +85,7 @@ def op10_sentencepiece_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_near_vectors": op2_near_vectors_query,
+    "op3_ngram_join": op3_ngram_join_query,
     "op4_quality": op4_quality_query,
     "op6_url_filters": op6_url_filters_query,
     "op8_sharding": op8_sharding_query,
