@@ -11,8 +11,9 @@ encoding. A sequence that every joint allows is unique in a model of merged
 pairs, so there the path found is what merging in order of rank yields.
 
 Where no piece reaches across the start of a word, which is tested when the
-model compiles, the composition falls apart into words, and each distinct word
-is solved once and kept, up to a bounded number, for as long as a worker lives.
+model compiles, the composition falls apart into words. Distinct words are solved
+in sorted order, so that a word starts from the states it shares with the one
+before, and are kept, up to a bounded number, for as long as a worker lives.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,16 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.words import chunks
+
 MARK = "▁"
 MODEL_BYTES = 64 << 20
-WORDS_KEPT = 1 << 19
+CHARACTERS_KEPT = 6 << 20
+CHUNK_BYTES = 8 << 20
 JOINTS_KEPT = 1 << 20
-IDS_A_BATCH = 4 << 20
 RESULT = "n_pieces long, n_byte_pieces long, round_trip boolean, pieces array<int>"
 
 
 class Transducer:
-    """A compiled model: ``encode`` and ``decode`` for one text at a time."""
+    """A compiled model."""
 
     def __init__(self, model: bytes):
         from sentencepiece import sentencepiece_model_pb2
@@ -70,9 +74,13 @@ class Transducer:
         self.is_byte = np.zeros(len(self.surface), bool)
         self.is_byte[list(self.byte_ids.values())] = True
         self.by_word = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
-        self.words = _Words(self)
+        self.words: dict[str, bytes] = {}
+        self.stored = 0
         self.joints: dict[int, bool] = {}
-        self.reached: dict[str, bool] = {}
+        self.reached: dict[int, bool] = {}
+        self.ends = {p[k:]: -1 for p in self.ids for k in range(len(p))} | self.ids
+        if self.merges and any(len(p) == 1 and i < 0 for p, i in self.ends.items()):
+            raise ValueError("a piece of the model has a character that is no piece")
 
     def merged(self, text: str) -> list[str]:
         """Merges neighbours, the best piece first and the leftmost of equals, as the model's rule says."""
@@ -85,74 +93,98 @@ class Transducer:
             k = -best[1]
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
-    def whole(self, piece: str) -> bool:
-        """Whether merging the characters of ``piece`` yields it."""
-        known = self.reached.get(piece)
-        if known is None:
-            known = self.reached[piece] = self.merged(piece) == [piece]
+    def joint(self, a: int, b: int) -> bool:
+        """Whether piece ``b`` may follow ``a``."""
+        if len(self.joints) >= JOINTS_KEPT:
+            self.joints.clear()
+        left, right = self.texts[a], self.texts[b]
+        known = self.joints[a << 32 | b] = self.merged(left + right) == [left, right]
         return known
 
-    def joint(self, a: int, b: int) -> bool:
-        """Whether piece ``b`` may follow ``a``; a character without a piece merges with nothing."""
-        if a < 0 or b < 0:
-            return True
-        known = self.joints.get(a << 32 | b)
-        if known is None:
-            if len(self.joints) >= JOINTS_KEPT:
-                self.joints.clear()
-            left, right = self.texts[a], self.texts[b]
-            known = self.joints[a << 32 | b] = self.merged(left + right) == [left, right]
+    def whole(self, i: int) -> bool:
+        """Whether merging the characters of a piece yields it."""
+        known = self.reached[i] = self.merged(self.texts[i]) == [self.texts[i]]
         return known
 
-    def _path(self, word: str) -> list[str]:
-        """Pieces of the least-weight path of the composition with a normalised word.
+    def _extend_merged(self, word: str, last: list[int], back: list[int]) -> None:
+        """Appends the states of the composition with ``word``, in a model of merged pairs, beyond those there.
 
-        ``best[i]`` is the state after ``i`` characters: its weight, where its
-        last arc began, and that arc's id, negative without a piece.
+        The state after some characters is the last arc's piece, -1 for a
+        character without a piece, and where that arc began; the joints leave
+        one arc into each state, and each weighs nothing. ``ends`` has all ends
+        of pieces, so arcs are tried from the shortest for as long as one can be.
         """
-        best: list[tuple[float, int, int] | None] = [(0.0, 0, -1)]
-        ids, scores, merges = self.ids, self.scores, self.merges
-        for end in range(1, len(word) + 1):
-            state = None
+        ends, joints, reached = self.ends.get, self.joints.get, self.reached.get
+        for end in range(len(last), len(word) + 1):
+            begin = end - 1
+            i = ends(word[begin:end])
+            if i is None:
+                last.append(-1)
+                back.append(begin)
+                continue
+            while i is not None:
+                if i >= 0:
+                    u = last[begin]
+                    ok = True if u < 0 else joints(u << 32 | i)
+                    if ok is None:
+                        ok = self.joint(u, i)
+                    if ok:
+                        ok = reached(i)
+                        if self.whole(i) if ok is None else ok:
+                            last.append(i)
+                            back.append(begin)
+                            break
+                begin -= 1
+                i = ends(word[begin:end]) if begin >= 0 else None
+
+    def _extend_weighed(self, word: str, last: list[int], back: list[int], weights: list[float]) -> None:
+        """The same in a unigram model: of the arcs into a state the one on the path of least weight stays."""
+        for end in range(len(last), len(word) + 1):
+            state = (float("inf"), 0, -1)
             for begin in range(max(0, end - self.longest), end):
-                before = best[begin]
-                if before is None:
-                    continue
-                piece = word[begin:end]
-                i = ids.get(piece)
-                if i is None:
-                    if begin < end - 1:
-                        continue
-                    i, weight = -1, before[0] - self.rarest
-                else:
-                    weight = before[0] - scores[i]
-                if merges:
-                    if not self.joint(before[2], i) or (begin < end - 1 and not self.whole(piece)):
-                        continue
-                    state = (0.0, begin, i)
-                    break
-                if state is None or weight < state[0]:
-                    state = (weight, begin, i)
-            best.append(state)
-        pieces, end = [], len(word)
+                i = self.ids.get(word[begin:end])
+                if i is not None:
+                    state = min(state, (weights[begin] - self.scores[i], begin, i))
+                elif begin == end - 1:
+                    state = min(state, (weights[begin] - self.rarest, begin, -1))
+            weights.append(state[0])
+            back.append(state[1])
+            last.append(state[2])
+
+    def _ids(self, word: str, last: list[int], back: list[int]) -> bytes:
+        """Ids on the path to the final state, as 32-bit integers."""
+        arcs, end = [], len(word)
         while end:
-            _, begin, _ = best[end]
-            pieces.append(word[begin:end])
-            end = begin
-        return pieces[::-1]
-
-    def solve(self, word: str) -> bytes:
-        """Ids of a normalised word as 32-bit integers."""
+            arcs.append((last[end], back[end], end))
+            end = back[end]
         out: list[int] = []
-        for piece in self._path(word):
-            i = self.ids.get(piece)
-            if i is not None:
+        for i, begin, end in reversed(arcs):
+            if i >= 0:
                 out.append(i)
             elif self.byte_ids:
-                out.extend(self.byte_ids[b] for b in piece.encode())
+                out.extend(self.byte_ids[b] for b in word[begin:end].encode())
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
-        return np.array(out, np.int32).tobytes()
+        return array("i", out).tobytes()
+
+    def solve(self, words: list[str]) -> list[bytes]:
+        """Ids of sorted normalised words; states that a word shares with the one before are kept."""
+        found, before = [], ""
+        last, back, weights = [-1], [0], [0.0]
+        for word in words:
+            same = 0
+            for x, y in zip(before, word, strict=False):
+                if x != y:
+                    break
+                same += 1
+            del last[same + 1 :], back[same + 1 :], weights[same + 1 :]
+            if self.merges:
+                self._extend_merged(word, last, back)
+            else:
+                self._extend_weighed(word, last, back, weights)
+            found.append(self._ids(word, last, back))
+            before = word
+        return found
 
     def normalise(self, text: str) -> str:
         if self.squeeze:
@@ -161,12 +193,17 @@ class Transducer:
             return ""
         return (" " + text if self.prefix else text).replace(" ", MARK)
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text as 32-bit integers."""
-        normal = self.normalise(text)
-        if not self.by_word:
-            return self.solve(normal) if normal else b""
-        return b"".join(map(self.words.__getitem__, _WORD.findall(normal)))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts as 32-bit integers."""
+        normal = [self.normalise(t) for t in texts]
+        cut = [_WORD.findall(t) for t in normal] if self.by_word else [[t] if t else [] for t in normal]
+        if self.stored > CHARACTERS_KEPT:
+            self.words.clear()
+            self.stored = 0
+        fresh = sorted({w for words in cut for w in words if w not in self.words})
+        self.stored += sum(map(len, fresh))
+        self.words.update(zip(fresh, self.solve(fresh), strict=True))
+        return [b"".join(map(self.words.__getitem__, words)) for words in cut]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
@@ -177,22 +214,6 @@ class Transducer:
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
-class _Words(dict):
-    """Solved words; emptied when full, so that its size is bounded."""
-
-    def __init__(self, model: Transducer):
-        super().__init__()
-        self.model = model
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        found = self.model.solve(word)
-        if len(word) <= 64:
-            self[word] = found
-        return found
-
-
 _COMPILED: dict[str, Transducer] = {}
 
 
@@ -222,36 +243,31 @@ def encode(docs: DataFrame, model_path: str, *, key: str = "doc_id", text: str =
     rule of their own; other columns are left out.
     """
     model = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
-    rows = docs.select(F.col(key), F.col(text).cast("binary").alias("_text"))
+    rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = compiled(model.value)
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            begin, size, ids = 0, 0, []
-            for k in range(len(batch)):
-                ids.append(t.encode((texts[k].as_py() or b"").decode("utf-8", "replace")))
-                size += len(ids[-1]) // 4
-                if size >= IDS_A_BATCH or k == len(batch) - 1:
-                    yield _encoded(t, keys.slice(begin, k + 1 - begin), texts.slice(begin, k + 1 - begin), ids)
-                    begin, size, ids = k + 1, 0, []
+            for begin, end in chunks(batch.column(1), CHUNK_BYTES):
+                texts = [(x.as_py() or b"").decode("utf-8", "replace") for x in batch.column(1)[begin:end]]
+                yield _encoded(t, batch.column(0)[begin:end], texts)
 
     kind = dict(rows.dtypes)[key]
     return rows.mapInArrow(run, f"`{key}` {kind}, {RESULT}")
 
 
-def _encoded(t: Transducer, keys: pa.Array, texts: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
+def _encoded(t: Transducer, keys: pa.Array, texts: list[str]) -> pa.RecordBatch:
+    ids = t.encode(texts)
     lengths = np.array([len(b) // 4 for b in ids], np.int64)
     offsets = np.concatenate([[0], np.cumsum(lengths)])
     flat = np.frombuffer(b"".join(ids), np.int32)
     back = []
-    for k, raw in enumerate(texts):
-        text = (raw.as_py() or b"").decode("utf-8", "replace")
+    for k, text in enumerate(texts):
         wanted = t.normalise(text).replace(MARK, " ")
         back.append(t.decode(flat[offsets[k] : offsets[k + 1]].tolist()) == (wanted[1:] if t.prefix else wanted))
     in_bytes = np.concatenate([[0], np.cumsum(t.is_byte[flat])])
     pieces = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-    columns = [keys, pa.array(lengths), pa.array(in_bytes[offsets[1:]] - in_bytes[offsets[:-1]]), pa.array(back), pieces]
+    columns = [keys, pa.array(lengths), pa.array(in_bytes[offsets[1:]] - in_bytes[offsets[:-1]]), pa.array(back, pa.bool_()), pieces]
     return pa.RecordBatch.from_arrays(columns, ["key", "n_pieces", "n_byte_pieces", "round_trip", "pieces"])
 
 
