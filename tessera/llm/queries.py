@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import op2_near_vectors, op3_ngram_join, op4_quality, op6_url_filters, op8_sharding, op9_secret_scans, op10_sentencepiece
+from tessera.llm import op1_lm_scoring, op2_near_vectors, op3_ngram_join, op4_quality, op6_url_filters, op8_sharding, op9_secret_scans, op10_sentencepiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_lm_scoring.score(_table(spark, sf_dir, "documents"))
+
+
 def op2_near_vectors_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_near_vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -84,6 +88,7 @@ def op10_sentencepiece_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring_query,
     "op2_near_vectors": op2_near_vectors_query,
     "op3_ngram_join": op3_ngram_join_query,
     "op4_quality": op4_quality_query,
