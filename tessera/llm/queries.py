@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import op1_lm_scoring, op2_near_vectors, op3_ngram_join, op4_quality, op6_url_filters, op8_sharding, op9_secret_scans, op10_sentencepiece
+from tessera.llm import op1_lm_scoring, op2_near_vectors, op3_ngram_join, op4_quality, op6_url_filters, op7_decontamination, op8_sharding, op9_secret_scans, op10_sentencepiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ GROUP BY n.page_id
 """
 
 
+def op7_decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_sharding.shard(_table(spark, sf_dir, "documents"), 40)
 
@@ -93,6 +97,7 @@ QUERIES = {
     "op3_ngram_join": op3_ngram_join_query,
     "op4_quality": op4_quality_query,
     "op6_url_filters": op6_url_filters_query,
+    "op7_decontamination": op7_decontamination_query,
     "op8_sharding": op8_sharding_query,
     "op9_secret_scans": op9_secret_scans_query,
     "op10_sentencepiece": op10_sentencepiece_query,
