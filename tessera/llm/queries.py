@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import op1_lm_scoring, op2_near_vectors, op3_ngram_join, op4_quality, op6_url_filters, op7_decontamination, op8_sharding, op9_secret_scans, op10_sentencepiece
+from tessera.llm import op1_lm_scoring, op2_near_vectors, op3_ngram_join, op4_quality, op5_passages, op6_url_filters, op7_decontamination, op8_sharding, op9_secret_scans, op10_sentencepiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op4_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_passages_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 # Host, path and verdict of the rules to apply.
 URL_RULES = [
     ("com", "/", "allow"),
@@ -96,6 +100,7 @@ QUERIES = {
     "op2_near_vectors": op2_near_vectors_query,
     "op3_ngram_join": op3_ngram_join_query,
     "op4_quality": op4_quality_query,
+    "op5_passages": op5_passages_query,
     "op6_url_filters": op6_url_filters_query,
     "op7_decontamination": op7_decontamination_query,
     "op8_sharding": op8_sharding_query,
