@@ -1 +1 @@
-
+"""The queries of the driver contract."""

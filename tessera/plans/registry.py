@@ -1,4 +1,10 @@
-"""All queries of the library by name, with the SQL that they can be held against."""
+"""All queries of the library by name, and the SQL of those that SQL can express."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from tessera.plans import documents, events, findings, orders, specs, values
+from tessera.plans.query import ORACLES, QUERIES
+
+MODULES = (documents, events, findings, orders, specs, values)
+
+__all__ = ["MODULES", "ORACLES", "QUERIES"]

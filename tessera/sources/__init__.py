@@ -1 +1 @@
-
+"""From files, mails and pages to units of text."""
