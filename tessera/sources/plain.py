@@ -30,9 +30,15 @@ def source_format(name: Column, media: Column) -> Column:
     return F.coalesce(by_name[extension(name)], by_media[F.lower(media)], F.when(F.startswith(F.lower(media), F.lit("image/")), "image"))
 
 
+# What the Western code page has in place of Latin-1's second block of controls.
+CONTROLS = "\x80\x82\x83\x84\x85\x86\x87\x88\x89\x8a\x8b\x8c\x8e\x91\x92\x93\x94\x95\x96\x97\x98\x99\x9a\x9b\x9c\x9e\x9f"
+WESTERN = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+
+
 def decoded(content: Column) -> Column:
-    """Bytes as UTF-8 where they are that, else as a Western code page; it never fails."""
-    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "windows-1252"))
+    """Bytes as UTF-8 where they are that, else as the Western code page; it never fails."""
+    western = F.translate(F.decode(content, "iso-8859-1"), CONTROLS, WESTERN)
+    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(western)
 
 
 def text_units(text: Column) -> Column:
