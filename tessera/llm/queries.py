@@ -95,6 +95,46 @@ def op10_sentencepiece_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_sentencepiece.encode(_table(spark, sf_dir, "documents"), SENTENCEPIECE_MODEL)
 
 
+OP2_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS size FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.9),
+r(vec_id, reach) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.reach = l.a),
+c AS (SELECT vec_id, min(reach) AS component_id FROM r GROUP BY 1), k AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY 1)
+SELECT c.vec_id, coalesce(n_links, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN k USING (vec_id)
+"""
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w),
+n AS (SELECT doc_id, len(sh) AS n FROM s), u AS (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reach = e.a),
+c AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY 1), k AS (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY 1)
+SELECT n.doc_id, n.n AS n_shingles, component_id, coalesce(n_links, 0) AS n_links FROM n JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
+def _op9_sql() -> str:
+    """Matches and what lies between them, kind by kind; their lengths add up to the spans."""
+    parts = []
+    for rank, rule in enumerate(op9_secret_scans.RULES):
+        pattern = rule.pattern.replace("'", "''")
+        parts.append(f"""SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, unnest(list_transform(range(1, len(m) + 1), lambda i: struct_pack(
+  a := list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0), n := length(m[i]), kept := length(v[i]) >= {rule.at_least}))) AS s
+  FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', {rule.group}) AS v, regexp_split_to_array(text, '{pattern}') AS g FROM documents)""")
+    base = ", ".join(f"'{r.kind}'" for r in op9_secret_scans.RULES if r.base)
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in op9_secret_scans.RULES if r.base)
+    return f"""WITH f AS ({" UNION ALL ".join(parts)}), t AS (SELECT doc_id, rank, kind, CAST(s.a AS BIGINT) AS a, kind || ':' || CAST(s.a AS BIGINT) || ':' || CAST(s.a + s.n AS BIGINT) AS said FROM f WHERE s.kept)
+SELECT d.doc_id, {counts}, sha256(coalesce(string_agg(said, ',' ORDER BY a, rank) FILTER (kind IN ({base})), '')) AS base_sha256, coalesce(string_agg(said, ',' ORDER BY a, rank), '') AS spans
+FROM documents d LEFT JOIN t USING (doc_id) GROUP BY d.doc_id"""
+
+
+OP9_SQL = _op9_sql()
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring_query,
     "op2_near_vectors": op2_near_vectors_query,
@@ -107,4 +147,4 @@ QUERIES = {
     "op9_secret_scans": op9_secret_scans_query,
     "op10_sentencepiece": op10_sentencepiece_query,
 }
-ORACLES = {"op6_url_filters": OP6_SQL}
+ORACLES = {"op2_near_vectors": OP2_SQL, "op3_ngram_join": OP3_SQL, "op6_url_filters": OP6_SQL, "op9_secret_scans": OP9_SQL}
