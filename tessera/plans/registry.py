@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import documents, events, findings, orders, specs, values
+from tessera.plans import documents, events, files, findings, orders, specs, values
 from tessera.plans.query import ORACLES, QUERIES
 
-MODULES = (documents, events, findings, orders, specs, values)
+MODULES = (documents, events, files, findings, orders, specs, values)
 
 __all__ = ["MODULES", "ORACLES", "QUERIES"]
