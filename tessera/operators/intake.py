@@ -67,15 +67,19 @@ def quote_kept(old_value: Column, new_value: Column, old_quote: Column, new_quot
 def claims(answers: DataFrame, pastes: DataFrame, case: str) -> DataFrame:
     """Each quoted answer with the newest paste of its case that has the quote.
 
-    Quotes meet pastes by their case and by a word that both have, not all with all.
+    A quote of three words or more meets pastes by its case and the longest word
+    inside its first eight, shorter ones by their case alone; texts are joined
+    only to the pairs found. ``answers`` has a key, ``pastes`` a paste_id.
     """
-    word = lambda c: F.array_distinct(F.split(T.folded(T.collapse(c)), " "))
-    rarest = F.get(F.array_sort(word("quote"), lambda a, b: F.char_length(b) - F.char_length(a)), F.lit(0))
-    asked = answers.where(~T.blank("quote")).withColumn("_word", F.when(F.size(F.split(T.collapse("quote"), " ")) > 8, F.split(T.folded(T.collapse("quote")), " ")[0]).otherwise(rarest))
-    have = pastes.select(case, "paste_id", "pasted_at", F.col("text").alias("_text"), F.explode(word("text")).alias("_piece"))
-    joined = asked.join(have, (asked[case] == have[case]) & F.contains("_piece", F.col("_word"))).where(T.quoted_from("quote", "_text"))
-    columns = [asked[c] for c in answers.columns]
-    return joined.groupBy(*columns).agg(F.max_by("paste_id", F.struct("pasted_at", "paste_id")).alias("paste_id"))
+    words = F.split(T.folded(T.collapse("quote")), " ")
+    inner = F.transform(F.slice(words, 2, F.least(F.size(words) - 2, F.lit(6))), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w")))
+    asked = answers.where(~T.blank("quote")).withColumn("_word", F.when(F.size(words) > 2, F.element_at(F.array_sort(inner), -1)["w"]))
+    having = pastes.select(case, "paste_id", F.explode(F.array_distinct(F.split(T.folded(T.collapse("text")), " "))).alias("_word"))
+    found = asked.where("_word is not null").join(having, [case, "_word"])
+    short = asked.where("_word is null").join(pastes.select(case, "paste_id"), case)
+    pairs = found.select(*answers.columns, "paste_id").unionByName(short.select(*answers.columns, "paste_id"))
+    joined = pairs.join(pastes.select("paste_id", "pasted_at", F.col("text").alias("_text")), "paste_id").where(T.quoted_from("quote", "_text"))
+    return joined.groupBy(*answers.columns).agg(F.max_by("paste_id", F.struct("pasted_at", "paste_id")).alias("paste_id"))
 
 
 def quote_spans(rows: DataFrame, key: str, text: str, quote: str) -> DataFrame:

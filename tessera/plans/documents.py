@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -107,13 +107,18 @@ k AS (SELECT item_id, q, string_split(q, ' ') AS w FROM p)
 SELECT item_id, doc_id FROM k JOIN d ON contains(s, array_to_string(w[1:8], ' '))
 """.replace("\\\\", "\\"))
 def quote_verification(spark: SparkSession, folder: str) -> DataFrame:
-    """Quotes meet the documents that have their first words, found by an equi-join on runs of eight words."""
+    """Quotes meet the documents that have the longest word inside their first eight; texts are joined only to these pairs."""
     items = table(spark, folder, "benchmark").select("item_id", T.folded(T.collapse("text")).alias("quote"))
-    items = items.withColumn("_head", F.array_join(F.slice(F.split("quote", " "), 1, 8), " "))
     docs = _docs(spark, folder).select("doc_id", T.folded(T.collapse("text")).alias("source"))
-    heads = items.select(F.split("_head", " ")[3].alias("_word"), "item_id", "_head", "quote")
-    words = docs.select("doc_id", "source", F.explode(F.array_distinct(F.split("source", " "))).alias("_word"))
-    return words.join(heads, "_word").where(F.contains("source", F.col("_head")) & T.quoted_from("quote", "source")).select("item_id", "doc_id").distinct()
+    inner = F.slice(F.split("quote", " "), 2, 6)
+    return _candidates(docs, "source", items, inner).where(T.quoted_from("quote", "source")).select("item_id", "doc_id")
+
+
+def _candidates(docs: DataFrame, text: str, items: DataFrame, words: Column) -> DataFrame:
+    """Items with the documents that have the longest of the given words of theirs."""
+    keyed = items.withColumn("_word", F.element_at(F.array_sort(F.transform(words, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w")))), -1)["w"])
+    having = docs.select("doc_id", F.explode(F.array_distinct(F.split(text, " "))).alias("_word"))
+    return having.join(keyed, "_word").drop("_word").join(docs, "doc_id")
 
 
 @query("""
@@ -206,12 +211,12 @@ SELECT item_id, doc_id, CAST(char_from AS INTEGER) AS char_from, CAST(char_from
   SELECT b.item_id, d.doc_id, b.text AS q, strpos(d.text, b.text) - 1 AS char_from FROM benchmark b JOIN documents d ON contains(d.text, b.text))
 """)
 def quote_spans(spark: SparkSession, folder: str) -> DataFrame:
-    """Where documents hold quotes; a quote meets the documents that have one of its words."""
+    """Where documents hold quotes; a quote meets the documents that have the longest of its inner words."""
     items = table(spark, folder, "benchmark").select("item_id", F.col("text").alias("quote"))
+    docs = _docs(spark, folder).select("doc_id", "text", T.collapse("text").alias("_line"))
     words = F.split(T.collapse("quote"), " ")
-    items = items.withColumn("_word", F.get(F.array_sort(words, lambda a, b: F.char_length(b) - F.char_length(a)), F.lit(0)))
-    docs = _docs(spark, folder).select("doc_id", "text", F.explode(F.array_distinct(F.split(T.collapse("text"), " "))).alias("_word"))
-    pairs = docs.join(items, "_word").where(F.contains("text", F.col("quote"))).withColumn("pair", F.struct("item_id", "doc_id"))
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(1)))
+    pairs = _candidates(docs, "_line", items, inner).where(F.contains("text", F.col("quote"))).withColumn("pair", F.struct("item_id", "doc_id"))
     return I.quote_spans(pairs, "pair", "text", "quote").select("pair.item_id", "pair.doc_id", "char_from", "char_to")
 
 
