@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.workspace import keep
+
 SPANS = "array<struct<kind:string,start:long,end:long,rank:int>>"
 LEDGER = "blob string, rule_version string, spans " + SPANS
 
@@ -88,20 +90,22 @@ def scan(history: DataFrame, ledger: DataFrame | None = None, *, path: str = "do
     appended to it. A null text is scanned as empty and has no spans. Rows may
     repeat; a null path is a path. One row is chosen to stand for each unseen
     blob, so texts are shuffled once by path and no blob's copies meet in a task.
+    The scans are written once; only blobs with findings are joined back, in a
+    join whose skewed partitions Spark can split.
     """
     version = version_of(rules)
     versions = history.select(F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("content"))
     versions = versions.withColumn("blob", F.sha2("content", 256))
     blobs = versions.groupBy("blob").agg(F.min("path").alias("path"))
     if ledger is not None:
-        seen = ledger.where(F.col("rule_version") == version).select("blob", "spans")
+        seen = ledger.where(F.col("rule_version") == version).select("blob", "spans").dropDuplicates(["blob"])
         blobs = blobs.join(seen, "blob", "left_anti")
     wanted = blobs.select(F.col("blob").alias("b"), F.col("path").alias("p")).hint("shuffle_hash")
     texts = versions.join(wanted, F.col("path").eqNullSafe(F.col("p")) & (F.col("blob") == F.col("b")), "left_semi")
-    # No filter on the spans here: it would be pushed below the join, and seen blobs would be scanned too.
-    hits = texts.select("blob", _all_spans(F.col("content"), rules).alias("spans")).dropDuplicates(["blob"])
+    # Written before any filter on the spans: one below the semi-join would scan every copy.
+    hits = keep(texts.select("blob", _all_spans(F.col("content"), rules).alias("spans")).dropDuplicates(["blob"]), "ledger-scans")
     known = hits if ledger is None else hits.unionByName(seen)
-    found = versions.select("path", "blob").join(known, "blob", "left")
+    found = versions.select("path", "blob").join(known.where(F.size("spans") > 0), "blob", "left")
     found = found.select(F.col("path").alias(path), "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
     fresh = hits.select("blob", F.lit(version).alias("rule_version"), "spans")
     return found, fresh
