@@ -9,6 +9,7 @@ from tessera.functions import text as T
 from tessera.functions import words as W
 
 K1, B = 1.5, 0.75
+MOST_PHRASES = 1000
 
 
 def keyword_hits(passages: DataFrame, keywords: DataFrame, key: str, text: str, *, stem: bool = True) -> DataFrame:
@@ -17,7 +18,8 @@ def keyword_hits(passages: DataFrame, keywords: DataFrame, key: str, text: str,
     ``passages`` has a column lang where words are stemmed; ``keywords`` has
     term and, then, lang. A term counts by the stem of its first word, and a term
     of several words also as a phrase, case aside. Of terms with one stem the
-    last by name wins.
+    last by name wins. Phrases are sought in every text, so there may be at most
+    MOST_PHRASES of them.
     """
     terms = keywords.where(~T.blank("term")).withColumn("term", F.btrim("term"))
     langs = ["lang"] if stem else []
@@ -28,11 +30,13 @@ def keyword_hits(passages: DataFrame, keywords: DataFrame, key: str, text: str,
     counted = passages.withColumn("_w", words).select(key, *langs, F.explode("_w").alias("_token"))
     single = counted.join(by_stem, ["_token", *langs]).groupBy(key, "term").agg(F.count("*").alias("n"))
     phrases = terms.where(F.contains("term", F.lit(" "))).select("term", *[F.col(c).alias(f"_{c}") for c in langs]).distinct()
+    if phrases.limit(MOST_PHRASES + 1).count() > MOST_PHRASES:
+        raise ValueError(f"more than {MOST_PHRASES} phrases")
     body = passages.select(key, *langs, T.folded(text).alias("_body"))
     phrase = T.folded("term")
     same = F.contains("_body", phrase) & (F.col("lang") == F.col("_lang") if stem else F.lit(True))
     times = (F.char_length("_body") - F.char_length(F.replace(F.col("_body"), phrase, F.lit("")))) / F.char_length(phrase)
-    spoken = body.join(F.broadcast(phrases), same).select(key, "term", times.cast("long").alias("n"))  # a question has at most 24 terms
+    spoken = body.join(F.broadcast(phrases), same).select(key, "term", times.cast("long").alias("n"))  # counted above
     every = single.unionByName(spoken).groupBy(key, "term").agg(F.sum("n").alias("n"))
     return every.groupBy(key).agg(F.array_sort(F.collect_set("term")).alias("terms"), F.sum("n").alias("hits"))
 
