@@ -94,6 +94,33 @@ def csv_units(text: Column, delimiter: str = ",") -> Column:
     return F.when(usable, table).otherwise(text_units(text))
 
 
+def pasted_rows(text: Column, columns: dict[str, str]) -> Column:
+    """Rows of a pasted table as maps by the declared columns (key to label).
+
+    Tabs part cells where the first line has one, else commas. The first line
+    names the columns if at least half of its cells, and one, are a key or label,
+    case and signs aside; else cells are taken in declared order. Missing cells
+    are empty, rows without any content are left out.
+    """
+    lines = F.filter(F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n"), lambda x: F.btrim(x) != "")
+    first = F.get(lines, F.lit(0))
+    quoted = F.pmod(F.char_length(text) - F.char_length(F.replace(text, F.lit('"'), F.lit(""))), F.lit(2)) == 0
+    tabs = F.contains(first, F.lit("\t"))
+    cells = lambda line: F.transform(F.when(tabs, _cells(line, "\t", quoted)).otherwise(_cells(line, ",", quoted)), lambda c: F.btrim(c))
+    bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    head = F.transform(cells(first), bare)
+    place = {k: F.coalesce(*[F.nullif(F.array_position(head, bare(F.lit(name))), F.lit(0)) for name in (k, label)]) for k, label in columns.items()}
+    known = sum((F.when(at.isNotNull(), 1).otherwise(0) for at in place.values()), F.lit(0))
+    named = known >= F.greatest(F.lit(1), F.floor(F.size(head) / 2))
+    body = F.when(named, F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1)))).otherwise(lines)
+
+    def row(line: Column) -> Column:
+        at = lambda k, i: F.when(named, (place[k] - 1).cast("int")).otherwise(i)
+        return F.create_map(*[x for i, k in enumerate(columns) for x in (F.lit(k), F.coalesce(F.get(cells(line), at(k, i)), F.lit("")))])
+
+    return F.filter(F.transform(body, row), lambda r: F.exists(F.map_values(r), lambda v: v != ""))
+
+
 def page_paragraphs(page: Column) -> Column:
     """Lines of a page as paragraphs: words broken at a line end joined again, blank lines between paragraphs."""
     lines = F.regexp_replace(page, r"(?m)^[ \t]+|[ \t]+$", "")

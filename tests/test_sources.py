@@ -39,6 +39,13 @@ def test_csv_units(spark):
     assert [u.kind for u in one(spark, "only one line", plain.csv_units)] == ["text"]
 
 
+def test_pasted_rows(spark):
+    columns = {"id": "Item no.", "when": "Due date", "who": "Owner"}
+    paste = lambda text: one(spark, text, lambda c: plain.pasted_rows(c, columns))
+    assert paste("Due date\tITEM NO\n8.9.2026\t7\n\t\n") == [{"id": "7", "when": "8.9.2026", "who": ""}]
+    assert paste('1,"a, b",me\n2,x') == [{"id": "1", "when": "a, b", "who": "me"}, {"id": "2", "when": "x", "who": ""}]
+
+
 def test_page_paragraphs(spark):
     assert one(spark, "The mea-\nsurement NW-\nLL was\ndone.\n\nNext", plain.page_paragraphs) == ["The measurement NW-LL was done.", "Next"]
 
