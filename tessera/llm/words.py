@@ -12,8 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 512 << 10
+LEVELS = 64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _VALUES = np.random.default_rng(20240611).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -25,13 +28,17 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _powers_to(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        n = max(n, CHUNK_BYTES + 1)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers
+    """Powers of the base and of its inverse; those for a chunk are kept, those for a longer text are not."""
+    if len(_powers[0]) >= n:
+        return _powers
+    found = []
+    for base in (_BASE, _INVERSE):
+        steps = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
+        steps[0] = 1
+        found.append(np.cumprod(steps))
+    if n <= CHUNK_BYTES + 1:
+        _powers[:] = found
+    return found
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -60,6 +67,27 @@ def offsets_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
 
 
+def most_frequent(counts: DataFrame, name: str, times: str, most: int) -> DataFrame:
+    """About ``most`` rows of ``counts`` with the greatest ``times``, or all if there are no more.
+
+    Counts are told apart by level, ``LEVELS`` to each doubling; of the level
+    that does not fit whole as many as there is room for are taken by the hash
+    of ``name``, so the result is never empty and its size is bounded.
+    """
+    level = F.floor(F.log2(times) * LEVELS).cast("int")
+    sizes = sorted(((r.level, r.n) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)  # at most 64 * LEVELS rows
+    room, last, share = most, -1, None
+    for at, n in sizes:
+        if n > room:
+            last, share = at, (room, n)
+            break
+        room -= n
+    chosen = level > last
+    if share:
+        chosen |= (level == last) & (F.pmod(F.xxhash64(name), F.lit(share[1])) < share[0])
+    return counts.where(chosen)
+
+
 class Words:
     """The words of some rows of a binary column without nulls.
 
