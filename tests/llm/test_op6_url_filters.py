@@ -36,3 +36,20 @@ def test_no_rules_and_no_pages(spark):
     none = spark.createDataFrame([], "host string, path string, verdict string")
     assert [(r.rule, r.verdict) for r in u.judge(pages, none).collect()] == [(None, "allow")]
     assert u.judge(pages.limit(0), spark.createDataFrame(URL_RULES, none.schema)).collect() == []
+
+
+def test_clashing_columns_null_keys_and_long_hosts(spark):
+    long_host = "x." * 8000 + "example.com"
+    rows = [(None, "http://www.example.com/en/a", 1, "p"), (2, f"http://{long_host}/en/", 2, "p"), (2, f"http://{long_host}/en/", 2, "p")] + [(k, None, 3, "p") for k in range(50)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, won int, part string")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    got = u.judge(pages, rules).collect()
+    assert sorted(pages.columns) == sorted(c for c in got[0].asDict() if c not in ("host", "path", "rule", "verdict"))
+    assert sorted((r.page_id or -1, r.rule, r.verdict, r.won, r.part) for r in got if r.url) == [(-1, "www.example.com/en/", "allow", 1, "p"), (2, "example.com/en/", "block", 2, "p"), (2, "example.com/en/", "block", 2, "p")]
+    assert sum(r.rule is None and r.verdict == "allow" and r.won == 3 for r in got) == 50
+
+
+def test_a_rule_for_everything_without_a_host(spark):
+    pages = spark.createDataFrame([(1, None), (2, "no scheme"), (3, "http://a.com/x")], "page_id long, url string")
+    rules = spark.createDataFrame([("", "", "block")], "host string, path string, verdict string")
+    assert {r.page_id: r.verdict for r in u.judge(pages, rules).collect()} == {1: "block", 2: "block", 3: "allow"}
