@@ -8,6 +8,7 @@ to all paths that ever held the blob.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from tessera.llm.workspace import keep
 
 SPANS = "array<struct<kind:string,start:long,end:long,rank:int>>"
+PART = 256
 LEDGER = "blob string, rule_version string, spans " + SPANS
 
 
@@ -63,7 +65,7 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     value = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
     between = F.split(text, rule.pattern, -1)
     items = F.zip_with(F.slice(between, F.lit(1), F.size(found)), F.arrays_zip(found.alias("m"), value.alias("v")), lambda b, m: F.struct(F.char_length(b).cast("long").alias("gap"), F.char_length(m["m"]).cast("long").alias("long"), F.char_length(m["v"]).alias("kept")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("spans"))
+    nothing = F.array().cast(SPANS)
 
     def step(state: Column, x: Column) -> Column:
         begin = state["at"] + x["gap"]
@@ -71,8 +73,20 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
         grown = F.when(x["kept"] >= rule.at_least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
         return F.struct((begin + x["long"]).alias("at"), grown.cast(SPANS).alias("spans"))
 
-    all_of = F.aggregate(items, start, step, lambda s: s["spans"])
-    return F.when(text.rlike(rule.guard), all_of).otherwise(F.array().cast(SPANS))
+    start = F.struct(F.lit(0).cast("long").alias("at"), nothing.alias("spans"))
+    parts = _in_parts(items, lambda part: F.aggregate(part, start, step))
+    moved = lambda base, spans: F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), (s["start"] + base).alias("start"), (s["end"] + base).alias("end"), s["rank"].alias("rank")))
+    placed = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<struct<at:long,spans:{SPANS}>>").alias("parts"))
+    after = lambda state, part: F.struct((state["at"] + part["at"]).alias("at"), F.concat(state["parts"], F.array(F.struct(state["at"].alias("at"), part["spans"].alias("spans")))).alias("parts"))
+    all_of = F.aggregate(parts, placed, after, lambda s: F.flatten(F.transform(s["parts"], lambda part: moved(part["at"], part["spans"]))))
+    return F.when(text.rlike(rule.guard), F.coalesce(all_of, nothing)).otherwise(nothing)
+
+
+def _in_parts(items: Column, of_part: Callable[[Column], Column]) -> Column:
+    """``of_part`` of every PART items, so that what an aggregate rebuilds with each item stays short."""
+    first = lambda n: F.sequence(F.lit(0), F.floor((n - 1) / PART).cast("int"))
+    each = lambda whole: F.transform(first(F.size(whole)), lambda k: of_part(F.slice(whole, k * PART + 1, F.lit(PART))))
+    return F.flatten(F.transform(F.filter(F.array(items), lambda whole: F.size(whole) > 0), each))  # an array of one binds the items, which are computed once
 
 
 def _all_spans(text: Column, rules: tuple[Rule, ...]) -> Column:
@@ -89,21 +103,21 @@ def scan(history: DataFrame, ledger: DataFrame | None = None, *, path: str = "do
     start and then rank); the second has the scans that ``ledger`` lacked, to be
     appended to it. A null text is scanned as empty and has no spans. Rows may
     repeat; a null path is a path. One row is chosen to stand for each unseen
-    blob, so texts are shuffled once by path and no blob's copies meet in a task.
-    The scans are written once; only blobs with findings are joined back, in a
+    blob, and rows that repeat path and text are one before it is scanned, so
+    texts are shuffled once by path and no blob's copies meet in a task. The scans are written once; only blobs with findings are joined back, in a
     join whose skewed partitions Spark can split.
     """
     version = version_of(rules)
     versions = history.select(F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("content"))
-    versions = versions.withColumn("blob", F.sha2("content", 256))
-    blobs = versions.groupBy("blob").agg(F.min("path").alias("path"))
+    versions = versions.withColumns({"blob": F.sha2("content", 256), "at": F.xxhash64("path")})
+    blobs = versions.groupBy("blob").agg(F.min("at").alias("at"))
     if ledger is not None:
         seen = ledger.where(F.col("rule_version") == version).select("blob", "spans").dropDuplicates(["blob"])
         blobs = blobs.join(seen, "blob", "left_anti")
-    wanted = blobs.select(F.col("blob").alias("b"), F.col("path").alias("p")).hint("shuffle_hash")
-    texts = versions.join(wanted, F.col("path").eqNullSafe(F.col("p")) & (F.col("blob") == F.col("b")), "left_semi")
+    once = versions.select("at", "blob", "content").dropDuplicates(["at", "blob"])
+    texts = once.join(blobs.hint("shuffle_hash"), ["at", "blob"], "left_semi")
     # Written before any filter on the spans: one below the semi-join would scan every copy.
-    hits = keep(texts.select("blob", _all_spans(F.col("content"), rules).alias("spans")).dropDuplicates(["blob"]), "ledger-scans")
+    hits = keep(texts.select("blob", _all_spans(F.col("content"), rules).alias("spans")), "ledger-scans")
     known = hits if ledger is None else hits.unionByName(seen)
     found = versions.select("path", "blob").join(known.where(F.size("spans") > 0), "blob", "left")
     found = found.select(F.col("path").alias(path), "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
@@ -117,13 +131,29 @@ def as_text(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """``text`` with every span replaced; of overlapping spans only what the first leaves is cut."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    """``text`` with every span replaced; of overlapping spans only what the first leaves is cut.
+
+    Spans are taken PART at a time with the stretch of the text that they lie in.
+    """
+    furthest = lambda part: F.array_max(F.transform(part, lambda s: s["end"]))
+    none = F.array().cast(f"array<struct<base:long,upto:long,spans:{SPANS}>>")
+
+    def after(state: Column, part: Column) -> Column:
+        upto = F.greatest(state["at"], furthest(part))
+        return F.struct(upto.alias("at"), F.concat(state["parts"], F.array(F.struct(state["at"].alias("base"), upto.alias("upto"), part.alias("spans")))).alias("parts"))
+
+    def cut(part: Column) -> Column:
+        within = F.substring(text, (part["base"] + 1).cast("int"), (part["upto"] - part["base"]).cast("int"))
+        return F.element_at(F.transform(F.array(within), lambda stretch: replaced(stretch, part)), 1)
+
+    def replaced(stretch: Column, part: Column) -> Column:
+        def step(state: Column, s: Column) -> Column:
+            apart = F.substring(stretch, (state["at"] - part["base"] + 1).cast("int"), F.greatest(s["start"] - state["at"], F.lit(0)).cast("int"))
+            out = F.when(s["start"] >= state["at"], F.concat(state["out"], apart, F.lit(mark))).otherwise(state["out"])
+            return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
 
-    def step(state: Column, s: Column) -> Column:
-        apart = F.substring(text, (state["at"] + 1).cast("int"), F.greatest(s["start"] - state["at"], F.lit(0)).cast("int"))
-        out = F.when(s["start"] >= state["at"], F.concat(state["out"], apart, F.lit(mark))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
+        return F.aggregate(part["spans"], F.struct(part["base"].alias("at"), F.lit("").alias("out")), step, lambda s: s["out"])
 
-    rest = lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.char_length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)
+    parts = F.aggregate(_in_parts(spans, lambda part: part), F.struct(F.lit(0).cast("long").alias("at"), none.alias("parts")), after, lambda s: s["parts"])
+    rest = F.substring(text, (furthest(spans) + 1).cast("int"), F.char_length(text))
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(F.transform(parts, cut), ""), rest)).otherwise(text)
