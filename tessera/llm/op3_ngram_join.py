@@ -42,6 +42,7 @@ HELD_PAIRS = 1 << 20
 BLOCK = 512
 REFERENCES = 32
 CELL_SETS = 1024
+HOT_SETS = 1024
 GRAMS_AT_ONCE = 4096
 _ENTRY = np.dtype([("gram", "<u8"), ("node", "<i8"), ("size", "<u4"), ("at", "<u4")])
 _LEADS = np.uint32(1 << 31)  # an entry that stands for all entries of its gram in one task
@@ -435,7 +436,8 @@ def ngram_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size
     with a null key have a null component, but connect and count as others do.
     Other columns are left out. An empty table gives no rows. What is broadcast
     is a list of about ``FREQUENT`` grams, which only bends the order and no
-    result.
+    result, and the labels of at most ``HOT_SETS`` sets that hold one in
+    ``HOT_SETS`` of all rows each.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("content"))
@@ -460,8 +462,13 @@ def ngram_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size
     edges = verified.where("root is not null").select(_vertex("node", "doc").alias("one"), _vertex("root", "root_doc").alias("other"))
     labels = components(edges, "one", "other").select(F.col("vertex.node").alias("node"), F.col("component.doc").alias("least"))
     of_node = nodes.join(labels, "node", "left").join(links, "node", "left").where("copies > 1 or links is not null")
-    of_node = of_node.select("node", F.coalesce("least", "doc").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    joined = sets.join(of_node, "node", "left")
+    of_node = of_node.select("node", "copies", F.coalesce("least", "doc").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    of_node = keep(of_node, "set-labels")
+    hot = F.col("copies") * HOT_SETS > sets.count()  # so at most HOT_SETS of them
+    common, others = F.broadcast(of_node.where(hot).drop("copies")), of_node.where(~hot).drop("copies")
+    alone = sets.where("node is null").withColumns({"component": F.lit(None).cast(rows.schema["doc"].dataType), "n_links": F.lit(None).cast("long")})
+    rest = sets.where("node is not null").join(common, "node", "left_anti").join(others, "node", "left")
+    joined = sets.join(common, "node").unionByName(rest).unionByName(alone)
     component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc"))
     return joined.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
