@@ -66,16 +66,17 @@ def statistics(text: bytes) -> list[float]:
     ]
 
 
-def with_statistics(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key`` and the statistics of every row's whole text; a null text counts as empty."""
-    rows = docs.select(F.col(key), F.col(text).cast("binary").alias("_text"))
+def with_statistics(docs: DataFrame, key: str, text: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, the statistics of every row's whole text and the columns ``also``; a null text counts as empty."""
+    rows = docs.select(F.col(text).cast("binary"), F.col(key), *also)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [statistics(x.as_py() or b"") for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], ["key", "f"])
+            found = [statistics(x.as_py() or b"") for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.list_(pa.float64()))], ["key", *also, "f"])
 
-    return rows.mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, f array<double>")
+    given = "".join(f"`{c}` {rows.schema[k].dataType.simpleString()}, " for k, c in enumerate([key, *also], 1))
+    return rows.mapInArrow(run, given + "f array<double>")
 
 
 @dataclass(frozen=True)
@@ -169,9 +170,9 @@ def fit(labelled: DataFrame, unseen: DataFrame) -> Model:
 
 
 def score(
-    docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 3, held: int = 1
+    docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 3, held: int = 1, also: tuple[str, ...] = ()
 ) -> DataFrame:
-    """``key``, held_out, score and predicted of every row of ``docs``.
+    """``key``, held_out, score, predicted and the columns ``also`` of every row of ``docs``.
 
     A row is held out if crc32 of its key as text leaves ``held`` on division by
     ``folds``; the fit uses the fold after it, the calibration the others. All
@@ -182,7 +183,7 @@ def score(
     half. Other columns are left out.
     """
     fold = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds))
-    rows = keep(with_statistics(docs, key, text), "quality-statistics").withColumn("fold", F.coalesce(fold, F.lit(-1)))
+    rows = keep(with_statistics(docs, key, text, also), "quality-statistics").withColumn("fold", F.coalesce(fold, F.lit(-1)))
     marks = labels.select(F.col(key), F.col(label).alias("y")).where(F.col("y").isNotNull())
     known = keep(rows.where(F.col("fold") != held).join(marks, key).select("f", "y", "fold"), "quality-labelled")
     fitting = (held + 1) % folds
@@ -191,7 +192,8 @@ def score(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = np.clip(model.score(_matrix(batch.column(2))), 0, 1) if len(batch) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["key", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(s), pa.array((s >= 0.5).astype(np.int32)), *batch.columns[3:]], ["key", "held_out", "score", "predicted", *also])
 
-    rows = rows.select(key, (F.col("fold") == held).alias("held_out"), "f")
-    return rows.mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, held_out boolean, score double, predicted int")
+    rows = rows.select(key, (F.col("fold") == held).alias("held_out"), "f", *also)
+    given = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in also)
+    return rows.mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, held_out boolean, score double, predicted int{given}")
