@@ -7,7 +7,7 @@ stage's result is written to the shared folder and read again by the next.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import op3_ngram_join, op4_quality, op7_decontamination, op9_secret_scans, op10_sentencepiece
@@ -17,28 +17,57 @@ from tessera.llm.workspace import keep
 KEEP_FROM = 0.5
 
 
+def _marked(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a digest of every text, and the digest's name: key and digest tell rows apart where a key repeats."""
+    name = "digest"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return docs.withColumn(name, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)), name
+
+
+def _same(docs: DataFrame, digest: str) -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("told_id")) & (F.col(digest) == F.col("told_text"))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it learns from the labelled rows among them.
 
-    Rows with a null key or text are scored like others: a null text counts as empty.
+    Rows with a null key or text are scored like others: a null text counts as
+    empty. Rows of one key with different texts are judged each by its own text.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = op4_quality.score(docs, labels).where(F.col("score") >= KEEP_FROM).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(scored, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    marked, digest = _marked(docs)
+    scored = op4_quality.score(marked, labels, also=(digest,)).where(F.col("score") >= KEEP_FROM)
+    scored = scored.select(F.col("doc_id").alias("told_id"), F.col(digest).alias("told_text")).distinct()
+    return marked.join(scored, _same(marked, digest), "left_semi").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones, that with the smallest key; rows with a null key stay."""
-    found = op3_ngram_join.ngram_join(docs)
-    copies = found.where("doc_id <> component_id").select(F.col("doc_id").alias("copy_id")).distinct()
-    return docs.join(copies, F.col("doc_id") == F.col("copy_id"), "left_anti")
+    """One row of each group of linked ones, that with the smallest key; null keys come last.
+
+    Rows are told apart by a number that they are written with, so of rows that
+    repeat a key, or have none, one stays as well. Texts without words stay.
+    """
+    number = "row"
+    while number in {c.lower() for c in docs.columns}:
+        number += "_"
+    rows = keep(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    found = op3_ngram_join.ngram_join(rows, key=number).where("n_links > 0").select(F.col(number).alias("copy"), "component_id")
+    keys = rows.select(F.col(number).alias("copy"), "doc_id")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")).alias("best")
+    first = found.join(keys, "copy").groupBy("component_id").agg(best).select(F.col("best.copy").alias("copy"))
+    copies = found.select("copy").join(first, "copy", "left_anti")
+    return rows.join(copies.withColumnRenamed("copy", number), number, "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item; rows with a null key stay."""
+    """Documents that hold no benchmark item; rows of one key with different texts are judged each by its own."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    held = op7_decontamination.contaminated(docs, benchmark).select(F.col("doc_id").alias("held_id")).distinct()
-    return docs.join(held, F.col("doc_id") == F.col("held_id"), "left_anti")
+    marked, digest = _marked(docs)
+    keyed = marked.select(F.struct("doc_id", digest).alias("held"), "text")
+    held = op7_decontamination.contaminated(keyed, benchmark, key="held").select("held").distinct()
+    held = held.select(F.col("held.doc_id").alias("told_id"), F.col(f"held.{digest}").alias("told_text"))
+    return marked.join(held, _same(marked, digest), "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
