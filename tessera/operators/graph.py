@@ -14,22 +14,21 @@ from tessera.session import checkpointed
 DIGITS = 20
 
 
-def reachable(edges: DataFrame, source: str, target: str, *, levels: int = 100) -> DataFrame:
+def reachable(edges: DataFrame, source: str, target: str) -> DataFrame:
     """All pairs ``(source, target)`` with a way from one to the other, each once.
 
-    Ways are doubled: after k passes all ways of up to 2**k edges are known.
+    Ways are doubled, after k passes all ways of up to 2**k edges are known, until no pair is new.
     """
     known = checkpointed(edges.where(F.col(source).isNotNull() & F.col(target).isNotNull()).select(source, target).distinct())
-    size, reach = known.count(), 1
-    while reach < levels:
+    size = known.count()
+    while True:
         onward = known.select(F.col(source).alias("_mid"), F.col(target).alias("_end"))
         longer = known.join(onward, F.col(target) == F.col("_mid")).select(source, F.col("_end").alias(target))
         known = checkpointed(known.unionByName(longer).distinct())
-        grown, reach = known.count(), 2 * reach
+        grown = known.count()
         if grown == size:
-            break
+            return known
         size = grown
-    return known
 
 
 def dependents(edges: DataFrame, source: str, target: str) -> DataFrame:
@@ -77,17 +76,23 @@ def candidates(nodes: DataFrame, edges: DataFrame, key: str, source: str, target
     return pairs.join(back.unionByName(there).distinct(), (F.col("_s") == F.col(source)) & (F.col("_t") == F.col(target)), "left_anti")
 
 
-def descended(nodes: DataFrame, key: str, parent: str, order: str, levels: int = 64) -> DataFrame:
-    """Nodes in pre-order with their depth; ``place`` sorts a node behind its parent, orphans last with a null depth."""
+def descended(nodes: DataFrame, key: str, parent: str, order: str) -> DataFrame:
+    """Nodes in pre-order with their depth; ``place`` sorts a node behind its parent, orphans last with a null depth.
+
+    Every pass joins the ways above to those below, so they double in length;
+    when a pass brings no node to its root, those that are left have none.
+    """
     number = F.lpad(F.col(order).cast("string"), DIGITS, "0")
     name = F.concat(number, F.lit(":"), F.col(key).cast("string"))
-    known = nodes.where(F.col(parent).isNull()).select("*", F.lit(0).alias("depth"), F.array(name).alias("place"))
-    frontier = known
-    for depth in range(1, levels):
-        above = frontier.select(F.col(key).alias("_key"), F.col("place").alias("_place"))
-        frontier = checkpointed(nodes.join(above, F.col(parent) == F.col("_key")).select(*nodes.columns, F.lit(depth).alias("depth"), F.concat("_place", F.array(name)).alias("place")))
-        if not frontier.limit(1).count():
-            break
-        known = known.unionByName(frontier)
-    orphans = nodes.join(known.select(key), key, "left_anti").select("*", F.lit(None).cast("int").alias("depth"), F.array(F.lit("~"), name).alias("place"))
-    return known.unionByName(orphans)
+    ways = checkpointed(nodes.select("*", F.col(parent).alias("_top"), F.array(name).alias("place")))
+    left, before = ways.where("_top is not null").count(), None
+    while left and left != before:
+        up = ways.select(F.col(key).alias("_key"), F.col("_top").alias("_beyond"), F.col("place").alias("_above"))
+        joined = ways.join(up, F.col("_top") == F.col("_key"), "left")
+        known = F.col("_key").isNotNull()
+        top, place = F.when(known, F.col("_beyond")).otherwise(F.col("_top")), F.when(known, F.concat("_above", "place")).otherwise(F.col("place"))
+        ways = checkpointed(joined.select(*nodes.columns, top.alias("_top"), place.alias("place")))
+        before, left = left, ways.where("_top is not null").count()
+    orphan = F.col("_top").isNotNull()
+    depth = F.when(~orphan, F.size("place") - 1)
+    return ways.select(*nodes.columns, depth.alias("depth"), F.when(orphan, F.array(F.lit("~"), name)).otherwise(F.col("place")).alias("place"))

@@ -97,11 +97,8 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     return made.unionByName(gone)
 
 
-def tree_order(nodes: DataFrame, key: str, parent: str, order: str, levels: int = 64) -> DataFrame:
-    """Nodes before their children, siblings in order; nodes without a way to a root come last.
-
-    Every pass joins one level of the tree, so passes are as many as it is deep.
-    """
+def tree_order(nodes: DataFrame, key: str, parent: str, order: str) -> DataFrame:
+    """Nodes before their children, siblings in order; nodes without a way to a root come last."""
     from tessera.operators.graph import descended
 
-    return descended(nodes, key, parent, order, levels)
+    return descended(nodes, key, parent, order)

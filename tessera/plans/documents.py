@@ -142,7 +142,7 @@ def role_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(r"""
 SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(
-  regexp_replace(regexp_replace(regexp_replace(html, '<script\b.*?</script\s*>', ' ', 'gis'), '<style\b.*?</style\s*>', ' ', 'gis'), '<[^>]*>', ' ', 'gs'),
+  regexp_replace(regexp_replace(regexp_replace(html, '<script(?:\s[^>]*)?>.*?</script\s*>', ' ', 'gis'), '<style(?:\s[^>]*)?>.*?</style\s*>', ' ', 'gis'), '</?[A-Za-z!?][^>]*>', ' ', 'gs'),
   '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages
 """)
 def page_text_plain(spark: SparkSession, folder: str) -> DataFrame:
@@ -206,18 +206,20 @@ def intake_unread(spark: SparkSession, folder: str) -> DataFrame:
     return I.parts(_docs(spark, folder), "doc_id", "text")[1]
 
 
-@query("""
-SELECT item_id, doc_id, CAST(char_from AS INTEGER) AS char_from, CAST(char_from + length(q) AS INTEGER) AS char_to FROM (
-  SELECT b.item_id, d.doc_id, b.text AS q, strpos(d.text, b.text) - 1 AS char_from FROM benchmark b JOIN documents d ON contains(d.text, b.text))
+@query(r"""
+WITH q AS (SELECT item_id, array_to_string(list_transform(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: regexp_escape(w)), '[\s>]+') AS p FROM benchmark WHERE trim(text) <> ''),
+m AS (SELECT item_id, doc_id, text, regexp_extract(text, p) AS m FROM q, documents)
+SELECT item_id, doc_id, CAST(strpos(text, m) - 1 AS INTEGER) AS char_from, CAST(strpos(text, m) - 1 + length(m) AS INTEGER) AS char_to FROM m WHERE m <> ''
 """)
 def quote_spans(spark: SparkSession, folder: str) -> DataFrame:
-    """Where documents hold quotes; a quote meets the documents that have the longest of its inner words."""
+    """Where documents hold quotes, also across line ends and marks of quoting; a quote meets the documents that have the longest of its words."""
     items = table(spark, folder, "benchmark").select("item_id", F.col("text").alias("quote"))
-    docs = _docs(spark, folder).select("doc_id", "text", T.collapse("text").alias("_line"))
+    docs = _docs(spark, folder).select("doc_id", "text", T.collapse(F.translate("text", ">", " ")).alias("_line"))
     words = F.split(T.collapse("quote"), " ")
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(1)))
-    pairs = _candidates(docs, "_line", items, inner).where(F.contains("text", F.col("quote"))).withColumn("pair", F.struct("item_id", "doc_id"))
-    return I.quote_spans(pairs, "pair", "text", "quote").select("pair.item_id", "pair.doc_id", "char_from", "char_to")
+    inner = F.when(F.size(words) > 2, F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(1)))).otherwise(words)
+    pairs = _candidates(docs, "_line", items, inner).withColumn("pair", F.struct("item_id", "doc_id"))
+    found = I.quote_spans(pairs, "pair", "text", "quote").where("char_from is not null")
+    return found.select("pair.item_id", "pair.doc_id", "char_from", "char_to")
 
 
 @query("""

@@ -14,10 +14,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` from files in the folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where neither the setting nor the context has a folder, as in local
-    tests, one of our own is made.
+    Only where neither the setting nor the context has a folder one of our own
+    is made, on a local master alone: on a cluster executors would not share it.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint()

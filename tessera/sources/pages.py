@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import re
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,51 +20,92 @@ APART = (
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
+# What the plain form drops: elements that hold no text, then whatever opens like a tag, a comment or a declaration.
+UNREAD = ("script", "style")
+TAG = r"(?s)</?[A-Za-z!?][^>]*>"
+
+
+def unread(element: str) -> str:
+    """The pattern of an element with all that it holds."""
+    return rf"(?is)<{element}(?:\s[^>]*)?>.*?</{element}\s*>"
+
+
 def plain(html: Column) -> Column:
     """Text by built-in expressions: silent elements, tags and common entities gone, blanks collapsed."""
-    text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
-    text = F.regexp_replace(text, r"(?s)<[^>]*>", " ")
+    text = html
+    for pattern in (*map(unread, UNREAD), TAG):
+        text = F.regexp_replace(text, pattern, " ")
     for name, sign in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(sign))
     return F.btrim(F.regexp_replace(text, r"\s+", " "))
 
 
-class _Reader(HTMLParser):
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>|<[!?][^>]*>", re.S)
+_BLANKS = re.compile(r"[ \t\r\f\v\u00a0]+")
+
+
+class _Lines:
+    """The lines of a page as they grow; an empty one stands between blocks."""
+
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.silent = 0
+        self.done: list[str] = []
+        self.open: list[str] = []
+
+    def text(self, said: str) -> None:
+        first, *more = said.split("\n")
+        self.open.append(first)
+        for line in more:
+            self.end()
+            self.open.append(line)
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.silent += tag in SILENT
-        if tag in APART:
-            self.out.append("\n" if tag == "br" else "\n\n")
+    def end(self) -> None:
+        line = _BLANKS.sub(" ", "".join(self.open)).strip(" ")
+        self.open = []
+        if line or (self.done and self.done[-1]):
+            self.done.append(line)
 
-    def handle_endtag(self, tag: str) -> None:
-        self.silent = max(0, self.silent - (tag in SILENT))
-        if tag in APART:
-            self.out.append("\n\n")
-        elif tag in ("td", "th"):
-            self.out.append(" | ")
+    def block(self) -> None:
+        self.end()
+        self.open = []
+        if self.done and self.done[-1]:
+            self.done.append("")
 
-    def handle_data(self, data: str) -> None:
-        if not self.silent:
-            self.out.append(data)
+    def whole(self) -> str:
+        self.end()
+        return "\n".join(self.done).strip()
 
 
 def page_text(html: str | None) -> str | None:
-    """The text of a page, block elements apart by a blank line, cells by a bar."""
-    import re
+    """The text of a page, block elements apart by a blank line, cells by a bar.
 
+    A page of which nothing is left gives its words with all markup cut out.
+    """
     if html is None:
         return None
-    reader = _Reader()
-    reader.feed(html)
-    reader.close()
-    text = re.sub(r"[ \t\r\f\v ]+", " ", "".join(reader.out))
-    text = re.sub(r" *\n *", "\n", text)
-    text = re.sub(r"\n{3,}", "\n\n", text).strip()
-    return text or re.sub(r"<[^>]*>", " ", html).strip()
+    lines, depth, at, every = _Lines(), 0, 0, []
+    while at < len(html):
+        tag = _MARKUP.search(html, at)
+        said = unescape(html[at : tag.start() if tag else len(html)])
+        every.append(said)
+        if not depth:
+            lines.text(said)
+        if tag is None:
+            break
+        at = tag.end()
+        name, closes = (tag["name"] or "").lower(), bool(tag["end"])
+        if name in UNREAD and not closes:  # markup within is none
+            after = re.compile(rf"</{name}\s*>", re.I).search(html, at)
+            at = after.end() if after else len(html)
+            continue
+        if name in SILENT:
+            depth = max(0, depth + (-1 if closes else 1))
+        elif name == "br":
+            lines.end()
+        elif name in APART:
+            lines.block()
+        elif closes and name in ("td", "th"):
+            lines.text(" | ")
+    return lines.whole() or " ".join(every).strip()
 
 
 @F.pandas_udf(StringType())

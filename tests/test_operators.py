@@ -107,6 +107,11 @@ def test_trees_and_loops(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")], "s string, t string")
     assert {r.node for r in graph.cyclic(edges, "s", "t").collect()} == {"a", "b", "c"}
     assert graph.reachable(edges.limit(0), "s", "t").count() == 0
+    long = spark.range(160).selectExpr("id as s", "id + 1 as t")
+    assert graph.reachable(long, "s", "t").count() == 160 * 161 // 2
+    deep = spark.range(100).selectExpr("id", "if(id = 0, null, id - 1) as parent").unionByName(spark.createDataFrame([(500, 501), (501, 500), (502, 501)], "id long, parent long"))
+    got = history.tree_order(deep, "id", "parent", "id").orderBy("place").collect()
+    assert [(r.id, r.depth) for r in got] == [(i, i) for i in range(100)] + [(500, None), (501, None), (502, None)]
 
 
 def test_intake(spark):
