@@ -264,3 +264,33 @@ def word_diff(before: pd.Series, after: pd.Series) -> pd.Series:
         return out
 
     return pd.Series([of(a, b) for a, b in zip(before, after, strict=True)])
+
+
+@F.pandas_udf(StringType())
+def clean_data(data: pd.Series) -> pd.Series:
+    """JSON with every string cleaned and composed and every key a clean line, however deep; what is no JSON is null."""
+    import json
+    import re
+    import unicodedata
+
+    table = {ord(c): " " for c in SPACES} | {ord(c): "\n" for c in BREAKS}
+
+    def clean(text: str) -> str:
+        plain = re.sub(r"\r\n?", "\n", text).translate(table)
+        shown = (c for c in plain if c in "\t\n" or unicodedata.category(c) not in ("Cc", "Cf", "Cs", "Co"))
+        return unicodedata.normalize("NFC", "".join(shown))
+
+    def within(value: object) -> object:
+        if isinstance(value, str):
+            return clean(value)
+        if isinstance(value, list):
+            return [within(v) for v in value]
+        return {" ".join(clean(k).split()): within(v) for k, v in value.items()} if isinstance(value, dict) else value
+
+    def of(raw: str | None) -> str | None:
+        try:
+            return json.dumps(within(json.loads(raw)), ensure_ascii=False, separators=(",", ":"))
+        except (TypeError, ValueError):
+            return None
+
+    return data.map(of)

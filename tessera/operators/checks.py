@@ -109,3 +109,50 @@ def verdict(raw: Column, reachable: Column) -> Column:
 
 def blocks_export(severity: Column, outcome: Column) -> Column:
     return (severity == "blocker") & outcome.isin("fail", "error")
+
+
+def evaluate(requirements: DataFrame, contents: DataFrame, by: list[str]) -> DataFrame:
+    """Every requirement with its outcome, reason and evidence, by the rule of its kind.
+
+    ``requirements`` has ``by`` (what names a block), kind and params (a map of
+    text); ``contents`` has ``by``, block_kind, prose, items, fields and rows. A
+    block that is not there is empty. Kinds that no rule here decides give an
+    error, cross references among them, which :func:`dangling` compares.
+    """
+    joined = requirements.join(contents, by, "left")
+    kind = F.coalesce("block_kind", F.lit("prose"))
+    value = (kind, F.col("prose"), F.col("items"), F.col("fields"), F.col("rows"))
+    rows = F.coalesce("rows", F.array().cast(contents.schema["rows"].dataType))
+    param = lambda name: F.try_element_at("params", F.lit(name))
+    number = lambda name, default: F.coalesce(param(name).try_cast("int"), F.lit(default))
+    names = F.filter(F.split(F.coalesce(param("fields"), F.lit("")), ","), lambda x: x != "")
+    options = F.split(F.coalesce(param("options"), F.lit("")), ",")
+    cells = F.transform(rows, lambda r: F.try_element_at(r, param("field")))
+    bad = F.filter(cells, lambda c: ~T.blank(c) & ~V.parses_as(c, param("as"), options))
+    most = 2**31 - 1
+    found = (
+        F.when(F.col("kind") == "present", present(is_blank(*value), kind, F.col("fields"), names))
+        .when(F.col("kind") == "length", length(F.coalesce(flattened(*value), F.lit("")), number("min_words", 0), number("max_words", most), number("min_chars", 0), number("max_chars", most)))
+        .when(F.col("kind") == "rows", row_count(kind, F.size(rows), number("min", 0), number("max", most)))
+        .when(F.col("kind") == "fields_filled", fields_filled(rows, names, F.lit("rows")))
+        .when(F.col("kind") == "format", result(F.when(F.size(bad) == 0, "pass").otherwise("fail"), F.when(F.size(bad) > 0, F.format_string("%d cells are no %s", F.size(bad), param("as"))).otherwise(""), bad))
+        .otherwise(result(F.lit("error"), F.concat(F.lit("no rule for "), F.coalesce("kind", F.lit("nothing")))))
+    )
+    return joined.select(*requirements.columns, found.alias("_found")).select(*requirements.columns, "_found.outcome", "_found.reason", "_found.evidence")
+
+
+def scoped(criteria: DataFrame, contents: DataFrame, document: str = "document") -> DataFrame:
+    """Judged criteria with the text that they are about, in order of sections.
+
+    ``criteria`` has document, criterion and scope, an array of sections, or null
+    for the whole document; ``contents`` has document, section, position and
+    text. A criterion whose scope has no words is not put to a judge: its outcome
+    is ``fail``; that of the others is null until they are judged.
+    """
+    whole = criteria.where(F.col("scope").isNull()).drop("scope")
+    listed = criteria.where(F.col("scope").isNotNull()).select(document, "criterion", F.explode_outer(F.array_distinct("scope")).alias("section"))
+    some = whole.join(contents, document, "left").unionByName(listed.join(contents, [document, "section"], "left"))
+    said = F.when(~T.blank("text"), F.struct("position", "section", F.btrim("text").alias("text")))
+    parts = F.array_sort(F.collect_list(said))
+    text = some.groupBy(document, "criterion").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n").alias("text"))
+    return text.withColumn("outcome", F.when(F.col("text") == "", "fail"))

@@ -74,3 +74,13 @@ def resume_at(steps: DataFrame, document: str = "document") -> DataFrame:
     at = steps.groupBy(document).agg(F.bool_and("completed").alias("_done"), waiting.alias("_next"))
     where = F.when(F.col("_done"), "check").when(F.col("_next").isNotNull(), F.concat(F.lit("question:"), F.col("_next.question"))).otherwise("write")
     return at.select(document, where.alias("step"))
+
+
+def assessed(stored: DataFrame, results: DataFrame, run: Column, at: Column) -> DataFrame:
+    """Stored assessments with a run's results behind them: run, assessed_at, and the species of check that found each.
+
+    What a rule or a judge says of a requirement is kept beside what it said
+    before; :func:`gate_report` reads the latest.
+    """
+    new = results.withColumns({"run": run, "assessed_at": at})
+    return stored.unionByName(new.select(*stored.columns))

@@ -102,3 +102,18 @@ def tree_order(nodes: DataFrame, key: str, parent: str, order: str) -> DataFrame
     from tessera.operators.graph import descended
 
     return descended(nodes, key, parent, order)
+
+
+def edited(drafts: DataFrame, edits: DataFrame, by: list[str], columns: list[str], token: str = "token") -> DataFrame:
+    """Drafts after edits that were made to the version they say: ``columns`` and the token change, and ``state`` tells what happened.
+
+    An edit whose token is not the draft's is a ``conflict`` and changes nothing;
+    drafts without an edit are ``kept``, edited ones ``changed``. Of several edits
+    of one draft with its token one may be given.
+    """
+    asked = edits.select(*by, F.col(token).alias("_token"), *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_asked"))
+    joined = drafts.join(asked, by, "left")
+    ok = F.coalesce(F.col("_asked") & (F.col(token) == F.col("_token")), F.lit(False))
+    state = F.when(ok, "changed").when(F.col("_asked"), "conflict").otherwise("kept")
+    changed = {c: F.when(ok, F.col(f"_{c}")).otherwise(F.col(c)) for c in columns}
+    return joined.select(*[changed[c].alias(c) if c in changed else (F.when(ok, F.col(c) + 1).otherwise(F.col(c)).alias(c) if c == token else F.col(c)) for c in drafts.columns], state.alias("state"))

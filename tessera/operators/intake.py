@@ -111,3 +111,13 @@ def distinct_pins(pins: DataFrame, block: str = "block") -> DataFrame:
     """Pins without repeats, spaces and case aside; the first stays."""
     nth = F.row_number().over(Window.partitionBy(block, T.folded(T.collapse("passage"))).orderBy("pinned_at", "pin_id"))
     return pins.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+
+
+def filed_here(passages: DataFrame, answers: DataFrame, by: list[str], passage: str = "text") -> DataFrame:
+    """Passages of a section with the questions whose answers are quoted from them, in order; none gives an empty list.
+
+    Answers meet the passages of their own section, which are few.
+    """
+    held = F.when(T.quoted_from("quote", passage), F.col("question"))
+    joined = passages.join(answers.select(*by, "question", "quote"), by, "left")
+    return joined.groupBy(*passages.columns).agg(F.array_sort(F.collect_set(held)).alias("questions"))

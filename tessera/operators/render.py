@@ -61,3 +61,21 @@ def template_problems(templates: DataFrame, declared: DataFrame, key: str, text:
     wanted = templates.select(key).join(F.broadcast(declared.select("tag")), how="cross")  # the blocks of one type, a few dozen
     missing = wanted.join(tags, [key, "tag"], "left_anti").select(key, F.lit("missing").alias("problem"), "tag")
     return unknown.unionByName(missing)
+
+
+# The parts of what a writer is told about a section, in order.
+CONTEXT_PARTS = ("overview", "targets", "answers", "passages", "upstream")
+
+
+def writing_context(lines: DataFrame, by: list[str]) -> DataFrame:
+    """``by`` and context: the parts of a section's context in order, each under its name, blank lines left out.
+
+    ``lines`` has part (one of CONTEXT_PARTS, others are left out), position and
+    line. What one section is told is a page or two.
+    """
+    place = F.array_position(F.array(*[F.lit(p) for p in CONTEXT_PARTS]), F.col("part"))
+    told = lines.where((place > 0) & (F.btrim(F.coalesce("line", F.lit(""))) != "")).withColumn("_place", place)
+    rows = F.array_sort(F.collect_list(F.struct("position", "line")))
+    parts = told.groupBy(*by, "_place", "part").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("_body"))
+    whole = F.array_sort(F.collect_list(F.struct("_place", F.concat("part", F.lit(":\n"), "_body").alias("t"))))
+    return parts.groupBy(*by).agg(F.array_join(F.transform(whole, lambda p: p["t"]), "\n\n").alias("context"))

@@ -104,3 +104,65 @@ def layered_style(*levels: Column) -> Column:
 def cross_ref_targets(columns: DataFrame) -> DataFrame:
     """``section.block.column`` of every column of a table block."""
     return columns.where("kind = 'table'").select(F.concat_ws(".", "section", "block", "column").alias("target"))
+
+
+# The kinds of blocks and columns, and which rules can be asked of which kind of block.
+BLOCK_KINDS = ("prose", "list", "keyvalue", "table")
+COLUMN_KINDS = ("text", "number", "date", "enum", "boolean")
+OFFERED = {"prose": ("present", "length"), "list": ("present",), "keyvalue": ("present",), "table": ("present", "rows", "fields_filled", "format", "cross_ref")}
+
+
+def refs(elements: DataFrame, by: list[str], section_no: str, kind: str, order: list[Column]) -> DataFrame:
+    """Adds ``ref``: ``S3`` for a section, ``S3-Q2`` and ``S3-C1`` for its questions and criteria, counted in order.
+
+    ``elements`` has a row for each element with its section's place from 1; the
+    elements of one section are few.
+    """
+    nth = F.row_number().over(Window.partitionBy(*by, section_no, kind).orderBy(*order)).cast("string")
+    section = F.concat(F.lit("S"), F.col(section_no).cast("string"))
+    letter = F.when(F.col(kind) == "question", "Q").when(F.col(kind) == "criterion", "C")
+    return elements.withColumn("ref", F.when(letter.isNull(), section).otherwise(F.concat(section, F.lit("-"), letter, nth)))
+
+
+def object_problems(objects: DataFrame, key: list[str]) -> DataFrame:
+    """``key`` and problem of blocks and columns that cannot be as they are.
+
+    ``objects`` has level (block, column or question), kind, options (array) and
+    columns (how many a block has).
+    """
+    options = F.coalesce(F.size("options"), F.lit(0))
+    tests = [
+        F.when((F.col("level") == "block") & ~F.col("kind").isin(*BLOCK_KINDS), "unknown kind of block"),
+        F.when((F.col("level") == "column") & ~F.col("kind").isin(*COLUMN_KINDS), "unknown kind of column"),
+        F.when((F.col("level") == "block") & F.col("kind").isin("table", "keyvalue") & (F.coalesce("columns", F.lit(0)) < 1), "no columns"),
+        F.when((F.col("level") == "block") & F.col("kind").isin("prose", "list") & (F.coalesce("columns", F.lit(0)) > 0), "columns that it cannot have"),
+        F.when((F.col("kind").isin("enum", "choice")) & (options < 2), "fewer than two options"),
+        F.when(~F.col("kind").isin("enum", "choice") & (options > 0), "options that it cannot have"),
+        F.when(F.size(F.array_distinct("options")) < F.size("options"), "an option twice"),
+    ]
+    return objects.select(*key, F.explode(F.array_compact(F.array(*tests))).alias("problem"))
+
+
+def with_required(blocks: DataFrame, requirements: DataFrame, by: list[str]) -> DataFrame:
+    """Blocks whose flag ``required`` says whether a rule asks them to be present."""
+    asked = requirements.where("kind = 'present'").select(*by).distinct().withColumn("_asked", F.lit(True))
+    return blocks.drop("required").join(asked, by, "left").withColumn("required", F.coalesce("_asked", F.lit(False))).drop("_asked")
+
+
+def offered(kind: Column) -> Column:
+    """The rules that can be asked of a kind of block; none of an unknown one."""
+    none = F.array().cast("array<string>")
+    known = F.create_map(*[x for k, rules in OFFERED.items() for x in (F.lit(k), F.array(*[F.lit(r) for r in rules]))])
+    return F.coalesce(known[kind], none)
+
+
+def walk(steps: DataFrame, by: list[str], order: list[Column], step: str) -> DataFrame:
+    """Steps with their number, the one before and the one after in the order in which a type is walked through."""
+    over = Window.partitionBy(*by).orderBy(*order)  # the steps of one type, a few dozen
+    return steps.withColumns({"step_no": F.row_number().over(over), "before": F.lag(step).over(over), "after": F.lead(step).over(over)})
+
+
+def form_of(path: Column) -> Column:
+    """The form where a problem at ``section[.block[.column]]`` is mended."""
+    depth = F.size(F.split(path, r"\."))
+    return F.when(F.coalesce(path, F.lit("")) == "", "type").when(depth == 1, "section").when(depth == 2, "block").otherwise("column")
