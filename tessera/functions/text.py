@@ -10,7 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 # Spaces that are read as a space, breaks that are read as a newline.
 SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
@@ -204,31 +204,31 @@ def redacted_url(c: Column | str) -> Column:
     return F.regexp_replace(_text(c), r"^([A-Za-z][A-Za-z0-9+.\-]*://[^:/@]*):[^@/]*@", "$1:***@")
 
 
-def marked(text: Column | str, passages: Column) -> Column:
-    """Spans (``from``, ``to``, end exclusive) of all passages in a text, case aside, those that touch merged."""
-    body = F.lower(_text(text))
-    sought = F.filter(F.transform(F.coalesce(passages, F.array().cast("array<string>")), F.lower), lambda p: F.coalesce(F.char_length(p) > 0, F.lit(False)))
-
-    def places(p: Column) -> Column:
-        parts = F.split(body, F.concat(F.lit(r"\Q"), p, F.lit(r"\E")), -1)
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<from:int,to:int>>").alias("out"))
-
-        def step(s: Column, part: Column) -> Column:
-            begin = s["at"] + F.char_length(part)
-            end = begin + F.char_length(p)
-            return F.struct(end.alias("at"), F.array_append(s["out"], F.struct(begin.alias("from"), end.alias("to"))).alias("out"))
-
-        found = F.aggregate(parts, start, step, lambda s: s["out"])
-        return F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0)))  # after the last part nothing follows
+@F.pandas_udf(ArrayType(StructType([StructField("from", IntegerType()), StructField("to", IntegerType())])))
+def _marked(texts: pd.Series, passages: pd.Series) -> pd.Series:
+    def of(text: str | None, sought: object) -> list[dict[str, int]] | None:
+        if text is None:
+            return None
+        found = []
+        for passage in [] if sought is None else sought:
+            at = text.find(passage) if passage else -1
+            while at >= 0:
+                found.append((at, at + len(passage)))
+                at = text.find(passage, at + len(passage))
+        out: list[dict[str, int]] = []
+        for begin, end in sorted(found):
+            if out and begin <= out[-1]["to"]:
+                out[-1]["to"] = max(out[-1]["to"], end)
+            else:
+                out.append({"from": begin, "to": end})
+        return out
 
-    spans = F.array_sort(F.flatten(F.transform(sought, places)))
+    return pd.Series([of(t, p) for t, p in zip(texts, passages, strict=True)])
 
-    def merge(out: Column, s: Column) -> Column:
-        last = F.element_at(out, -1)
-        joined = F.array_append(F.slice(out, 1, F.size(out) - 1), F.struct(last["from"].alias("from"), F.greatest(last["to"], s["to"]).alias("to")))
-        return F.when((F.size(out) > 0) & (s["from"] <= F.get(out, F.size(out) - 1)["to"]), joined).otherwise(F.array_append(out, s))
 
-    return F.aggregate(spans, F.array().cast("array<struct<from:int,to:int>>"), merge)
+def marked(text: Column | str, passages: Column) -> Column:
+    """Spans (``from``, ``to``, end exclusive) of all passages in a text, case aside, those that touch merged."""
+    return _marked(F.lower(_text(text)), F.transform(passages, F.lower))
 
 
 def apart(spans: Column) -> Column:

@@ -18,6 +18,7 @@ from tessera.functions import text as T
 HITS_A_PASSAGE = 200
 HITS_A_COMMAND = 400
 TIMEOUT = 2.0
+PART = 256
 SPAN = "array<struct<value:string,char_from:int,char_to:int>>"
 
 
@@ -58,13 +59,20 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
     between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
     items = F.zip_with(between, F.arrays_zip(whole.alias("w"), value.alias("v")), lambda b, m: F.struct(F.char_length(b).alias("gap"), F.char_length(m["w"]).alias("n"), m["v"].alias("v")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    none = F.array().cast(SPAN)
 
     def step(s: Column, x: Column) -> Column:
         begin = s["at"] + x["gap"]
         hit = F.struct(x["v"].alias("value"), begin.alias("char_from"), (begin + x["n"]).alias("char_to"))
         return F.struct((begin + x["n"]).alias("at"), F.array_append(s["out"], hit).alias("out"))
 
-    return F.coalesce(F.aggregate(items, start, step, lambda s: s["out"]), F.array().cast(SPAN))
+    # Part by part, so that the array which grows with each match stays short; then every part is moved to its place.
+    part_of = lambda found: F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / PART).cast("int")), lambda k: F.aggregate(F.slice(found, k * PART + 1, F.lit(PART)), start, step))
+    parts = F.flatten(F.transform(F.filter(F.array(items), lambda found: F.size(found) > 0), part_of))
+    placed = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<at:int,out:{SPAN}>>").alias("parts"))
+    after = lambda s, p: F.struct((s["at"] + p["at"]).alias("at"), F.array_append(s["parts"], F.struct(s["at"].alias("at"), p["out"].alias("out"))).alias("parts"))
+    moved = lambda p: F.transform(p["out"], lambda h: F.struct(h["value"].alias("value"), (h["char_from"] + p["at"]).alias("char_from"), (h["char_to"] + p["at"]).alias("char_to")))
+    return F.coalesce(F.aggregate(parts, placed, after, lambda s: F.flatten(F.transform(s["parts"], moved))), none)
 
 
 def native_hits(passages: DataFrame, text: str, pattern: str, group: int = 0, guard: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +13,8 @@ ADDRESS = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 # Fixed value: lines that begin an earlier mail of a thread.
 SEPARATOR = r"^(?:-{2,}\s*(?:Original Message|Ursprüngliche Nachricht|Forwarded message)\s*-{2,}|On .+ wrote:|Am .+ schrieb .*:|From: .+|Von: .+)$"
 
+_SEPARATOR, _QUOTING = re.compile(SEPARATOR), re.compile(r"^(\s*>)+\s*")
+
 
 def domain_of(address: Column) -> Column:
     """What stands behind the last ``@`` in lower case, without signs at its ends; null if that is nothing."""
@@ -44,20 +47,34 @@ def unquoted(paragraph: Column) -> Column:
 
 
 def replies(mails: DataFrame, key: str, body: str) -> DataFrame:
-    """``key``, reply_no, separator, sender, sent_on and text: a thread cut at the lines that begin an earlier mail."""
-    start = F.from_json(F.lit('{"no":0,"separator":"","lines":[],"out":[]}'), "struct<no:int,separator:string,lines:array<string>,out:array<struct<no:int,separator:string,text:string>>>")
-    closed = lambda s: F.array_append(s["out"], F.struct(s["no"].alias("no"), s["separator"].alias("separator"), F.btrim(F.array_join(s["lines"], "\n"), F.lit("\n ")).alias("text")))
-
-    def step(s: Column, line: Column) -> Column:
-        new = F.regexp_replace(line, r"^(\s*>)+\s*", "").rlike(SEPARATOR)
-        opened = F.struct((s["no"] + 1).alias("no"), F.substring(line, 1, 300).alias("separator"), F.array().cast("array<string>").alias("lines"), closed(s).alias("out"))
-        more = F.struct(s["no"].alias("no"), s["separator"].alias("separator"), F.array_append(s["lines"], line).alias("lines"), s["out"].alias("out"))
-        return F.when(new, opened).otherwise(more)
-
-    found = F.aggregate(F.split(F.col(body), "\n"), start, step, closed)
-    rows = mails.select(key, F.explode(found).alias("r")).where("r.text <> ''")
-    separator = F.nullif(F.col("r.separator"), F.lit(""))
-    return rows.select(key, F.col("r.no").alias("reply_no"), separator.alias("separator"), sender(separator)["address"].alias("sender"), loose_date(separator).alias("sent_on"), F.col("r.text").alias("text"))
+    """``key``, reply_no, separator, sender, sent_on and text: a thread cut at the lines that begin an earlier mail.
+
+    One pass over a mail's lines, whatever its length; replies without words are
+    left out, but counted.
+    """
+    kind = mails.schema[key].dataType.simpleString()
+
+    def cut(text: str) -> Iterator[tuple[int, str | None, str]]:
+        number, separator, lines = 0, None, []
+        for line in text.split("\n"):
+            if _SEPARATOR.match(_QUOTING.sub("", line)):
+                yield number, separator, "\n".join(lines)
+                number, separator, lines = number + 1, line[:300], []
+            else:
+                lines.append(line)
+        yield number, separator, "\n".join(lines)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, n, s, t.strip("\n ")) for i, text in enumerate(batch.column(1).to_pylist()) if text is not None for n, s, t in cut(text)]
+            who, number, separator, said = zip(*[r for r in rows if r[3]], strict=True) if any(r[3] for r in rows) else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(who, pa.int64())), pa.array(number, pa.int32()), pa.array(separator, pa.string()), pa.array(said, pa.string())], ["key", "no", "separator", "text"]
+            )
+
+    rows = mails.select(key, F.col(body).cast("string")).mapInArrow(run, f"`{key}` {kind}, no int, separator string, text string")
+    separator = F.nullif(F.col("separator"), F.lit(""))
+    return rows.select(key, F.col("no").alias("reply_no"), separator.alias("separator"), sender(separator)["address"].alias("sender"), loose_date(separator).alias("sent_on"), "text")
 
 
 def parsed(files: DataFrame, key: str, content: str) -> DataFrame:

@@ -6,8 +6,12 @@ of the headings above it.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 UNIT = "struct<kind:string,text:string,path:array<string>>"
 # What a file is, by its extension first and its media type else.
@@ -41,24 +45,42 @@ def decoded(content: Column) -> Column:
     return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(western)
 
 
-def text_units(text: Column) -> Column:
-    """Blank lines end a unit; a heading of one to six ``#`` is its own and stands above what follows."""
-    state = "struct<open:array<string>,path:array<struct<level:int,title:string>>,out:array<" + UNIT + ">>"
-    start = F.from_json(F.lit('{"open":[],"path":[],"out":[]}'), state)
-    titles = lambda path: F.transform(path, lambda p: p["title"])
-    unit = lambda kind, body, path: F.struct(F.lit(kind).alias("kind"), body.alias("text"), titles(path).alias("path")).cast(UNIT)
-    closed = lambda s: F.when(F.size(s["open"]) > 0, F.array_append(s["out"], unit("text", F.array_join(s["open"], "\n"), s["path"]))).otherwise(s["out"])
-    none = F.array().cast("array<string>")
-
-    def step(s: Column, line: Column) -> Column:
-        marks, title = F.char_length(F.regexp_extract(line, r"^(#{1,6})\s+\S", 1)), F.btrim(F.regexp_extract(line, r"^#{1,6}\s+(.*?)\s*#*\s*$", 1))
-        above = F.filter(s["path"], lambda p: p["level"] < marks)
-        heading = F.struct(none.alias("open"), F.array_append(above, F.struct(marks.alias("level"), title.alias("title"))).alias("path"), F.array_append(closed(s), unit("heading", title, above)).alias("out"))
-        blank = F.struct(none.alias("open"), s["path"].alias("path"), closed(s).alias("out"))
-        more = F.struct(F.array_append(s["open"], F.rtrim(line)).alias("open"), s["path"].alias("path"), s["out"].alias("out"))
-        return F.when(marks > 0, heading.cast(state)).when(F.btrim(line) == "", blank.cast(state)).otherwise(more.cast(state))
-
-    return F.aggregate(F.split(text, "\n"), start, step, closed)
+_HEADING = re.compile(r"(#{1,6})\s+(\S.*?)\s*#*\s*$")
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("kind", StringType()), StructField("text", StringType()), StructField("path", ArrayType(StringType()))])))
+def text_units(texts: pd.Series) -> pd.Series:
+    """Blank lines end a unit; a heading of one to six ``#`` is its own and stands above what follows.
+
+    One pass over a text's lines, whatever its length; a null text has no units.
+    """
+
+    def of(text: str | None) -> list[dict] | None:
+        if text is None:
+            return None
+        units, block, above = [], [], []
+
+        def close() -> None:
+            if block:
+                units.append({"kind": "text", "text": "\n".join(block), "path": [title for _, title in above]})
+                block.clear()
+
+        for line in text.split("\n"):
+            heading = _HEADING.match(line)
+            if heading:
+                close()
+                marks, title = len(heading[1]), heading[2].strip(" ")
+                above[:] = [h for h in above if h[0] < marks]
+                units.append({"kind": "heading", "text": title, "path": [t for _, t in above]})
+                above.append((marks, title))
+            elif line.strip(" "):
+                block.append(line.rstrip(" "))
+            else:
+                close()
+        close()
+        return units
+
+    return texts.map(of)
 
 
 def _cells(line: Column, delimiter: str, quoted: Column) -> Column:

@@ -100,3 +100,23 @@ def test_word_files(spark):
 def test_scans(spark):
     rows = spark.createDataFrame([("a", "x"), ("a", ""), ("b", "enough text here"), ("c", None)], "s string, t string")
     assert {r.s: r.scan for r in plain.is_scan(rows, "s", "t").collect()} == {"a": True, "b": False, "c": True}
+
+
+def test_long_texts_are_read_in_one_pass(spark):
+    import time
+
+    from tessera.functions import text as T
+    from tessera.operators import patterns
+
+    n = 16000
+    text = "".join(f"# T{i}\n\npart {i} a@b.de\n\n" for i in range(n))
+    body = "".join(f"line {i}\nFrom: x{i}@y.org\n" for i in range(n))
+    df = spark.createDataFrame([(1, text, body), (2, None, None)], "id int, t string, b string")
+    began = time.time()
+    units = df.select("id", F.size(plain.text_units("t")).alias("n")).collect()
+    cut = mail.replies(df, "id", "b").count()
+    hits = patterns.native_hits(df.select("id", "t"), "t", r"a@b\.de").select("value", "char_from", "char_to").collect()
+    spans = df.where("id = 1").select(F.size(T.marked("t", F.array(F.lit("A@B.DE")))).alias("n")).first()
+    assert {r.id: r.n for r in units}[1] == 2 * n and cut == n and len(hits) == n and spans.n == n
+    assert all(text[h.char_from : h.char_to] == h.value for h in hits)
+    assert time.time() - began < 40
