@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The model compiles into three parts. The normaliser adds the leading space and
-turns spaces into the visible mark. The piece part has an arc for each
+The model compiles into three parts. The normaliser replaces characters by the
+model's map, adds the leading space and turns spaces into the visible mark. The
+piece part has an arc for each
 ordinary piece, and for a character without a piece an arc that writes its UTF-8
 bytes. The joint part, for models of merged pairs, lets one piece follow
 another only if merging the two together yields just these two; for unigram
@@ -33,12 +34,52 @@ from tessera.llm.words import chunks
 
 MARK = "▁"
 MODEL_BYTES = 64 << 20
-CHARACTERS_KEPT = 6 << 20
-CHUNK_BYTES = 8 << 20
-JOINTS_KEPT = 1 << 20
+CHARACTERS_KEPT = 2 << 20
+CHUNK_BYTES = 1 << 20
+JOINTS_KEPT = 1 << 18
 RESULT = "n_pieces long, n_byte_pieces long, round_trip boolean, pieces array<int>"
 
 
+def character_map(packed: bytes) -> dict[str, str]:
+    """The strings that a model's normaliser replaces, from the double array that the model keeps them in.
+
+    A unit of the array has a label, an offset to its children and whether a
+    value hangs there; a value is a place among the replacements.
+    """
+    size = int.from_bytes(packed[:4], "little")
+    units, replacements = np.frombuffer(packed[4 : 4 + size], "<u4").tolist(), packed[4 + size :]
+    children = lambda at: at ^ (units[at] >> 10 << ((units[at] >> 9 & 1) * 8))
+    found, ways = {}, [(children(0), b"")]
+    while ways:
+        base, read = ways.pop()
+        for label in range(1, 256):
+            at = base ^ label
+            if at >= len(units) or units[at] & 0x800000FF != label:
+                continue
+            if units[at] >> 8 & 1:
+                begin = units[children(at)] & 0x7FFFFFFF
+                found[(read + bytes([label])).decode()] = replacements[begin : replacements.index(0, begin)].decode()
+            ways.append((children(at), read + bytes([label])))
+    return found
+
+
+class Characters:
+    """The normaliser's replacements compiled to patterns: the longest string that begins at a place is replaced."""
+
+    def __init__(self, packed: bytes):
+        self.by = character_map(packed)
+        self.single = {ord(k): v for k, v in self.by.items() if len(k) == 1}
+        several = sorted((k for k in self.by if len(k) > 1), key=len, reverse=True)
+        one = "[" + "".join(re.escape(chr(c)) for c in sorted(self.single)) + "]"
+        self.several = re.compile("|".join(map(re.escape, several))) if several else None
+        self.every = re.compile("|".join([*map(re.escape, several), *([one] if self.single else [])]))
+
+    def mapped(self, text: str) -> str:
+        if self.several is None or self.several.search(text) is None:
+            return text.translate(self.single)
+        return self.every.sub(lambda m: self.by[m[0]], text)
+
+
 class Transducer:
     """A compiled model."""
 
@@ -48,8 +89,7 @@ class Transducer:
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(model)
         rules, kinds = proto.normalizer_spec, sentencepiece_model_pb2.ModelProto.SentencePiece
-        if rules.precompiled_charsmap:
-            raise ValueError(f"the model's normaliser {rules.name!r} maps characters; only the identity is supported")
+        self.characters = Characters(rules.precompiled_charsmap) if rules.precompiled_charsmap else None
         self.merges = proto.trainer_spec.model_type == 2
         self.prefix, self.squeeze = rules.add_dummy_prefix, rules.remove_extra_whitespaces
         self.ids: dict[str, int] = {}
@@ -187,6 +227,8 @@ class Transducer:
         return found
 
     def normalise(self, text: str) -> str:
+        if self.characters:
+            text = self.characters.mapped(text)
         if self.squeeze:
             text = re.sub(" +", " ", text).strip(" ")
         if not text:
