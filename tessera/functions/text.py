@@ -1,8 +1,8 @@
 """Text functions on columns: cleaning, keys, quotes, windows, display.
 
-All are built-in expressions but :func:`compose` and :func:`deaccent`, for which
-Spark has no function; those are Arrow functions and are applied only to rows
-that a built-in test says they can change.
+All are built-in expressions but those that compose, take marks off, read JSON
+or compare word by word, for which Spark has no function; those are Arrow
+functions over whole columns.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ BREAKS = "\u000c\u0085\u2028\u2029"
 # Fixed value: punctuation that does not belong to a value at its edges.
 EDGE = ".,;:!?\"'()[]{}«»„“”‚‘’<>"
 HIDDEN = r"[\p{Cc}\p{Cf}\p{Cs}\p{Co}&&[^\t\n]]"
-COMPOSABLE = r"[\p{M}\u1100-\u11ff\u2126\u212a\u212b\uf900-\ufaff\u0374\u037e\u0387\u1f71-\u1fff]"
 BEYOND_ASCII = r"[^\x00-\x7f]"
 
 
@@ -52,16 +51,36 @@ def _unaccented(texts: pd.Series) -> pd.Series:
     return texts.map(fold)
 
 
-def with_clean(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
-    """``df`` with the cleaned, composed text; only rows with composable characters leave the JVM.
+@F.pandas_udf(StringType())
+def cleaned(texts: pd.Series) -> pd.Series:
+    """:func:`plain_clean` and :func:`compose` in one pass; texts of printable ASCII pass as they are."""
+    import re
+    import unicodedata
 
-    Null stays null. The rows are split before the Arrow function, as a
-    condition around it would not keep the others out of it.
-    """
-    name = name or column
-    ready = df.withColumn(name, plain_clean(column))
-    needs = F.coalesce(F.col(name).rlike(COMPOSABLE), F.lit(False))
-    return ready.where(~needs).unionByName(ready.where(needs).withColumn(name, compose(F.col(name))))
+    odd = re.compile(r"[\x00-\x08\x0b-\x1f\x7f]")
+    spaces = {ord(c): " " for c in SPACES} | {ord(c): "\n" for c in BREAKS}
+    hidden: dict[str, bool] = {}
+
+    def is_hidden(c: str) -> bool:
+        if c not in hidden:
+            hidden[c] = c not in "\t\n" and unicodedata.category(c) in ("Cc", "Cf", "Cs", "Co")
+        return hidden[c]
+
+    def of(text: str | None) -> str | None:
+        if text is None or (text.isascii() and not odd.search(text)):
+            return text
+        text = text.replace("\r\n", "\n").replace("\r", "\n").translate(spaces)
+        gone = [c for c in set(text) if is_hidden(c)]
+        if gone:
+            text = text.translate(dict.fromkeys(map(ord, gone)))
+        return unicodedata.normalize("NFC", text)
+
+    return texts.map(of)
+
+
+def with_clean(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
+    """``df`` with the cleaned, composed text, in one scan. Null stays null."""
+    return df.withColumn(name or column, cleaned(F.col(column)))
 
 
 def with_deaccented(df: DataFrame, column: str, name: str | None = None) -> DataFrame:

@@ -9,7 +9,8 @@ from tessera.functions import text as T
 from tessera.functions import words as W
 
 K1, B = 1.5, 0.75
-MOST_PHRASES = 1000
+PHRASES_AT_ONCE = 1000
+FEW_TERMS = 64
 
 
 def keyword_hits(passages: DataFrame, keywords: DataFrame, key: str, text: str, *, stem: bool = True) -> DataFrame:
@@ -18,8 +19,9 @@ def keyword_hits(passages: DataFrame, keywords: DataFrame, key: str, text: str,
     ``passages`` has a column lang where words are stemmed; ``keywords`` has
     term and, then, lang. A term counts by the stem of its first word, and a term
     of several words also as a phrase, case aside. Of terms with one stem the
-    last by name wins. Phrases are sought in every text, so there may be at most
-    MOST_PHRASES of them.
+    last by name wins. Phrases are sought in every text, PHRASES_AT_ONCE at a
+    time. A few terms without stems are first sought as they are, so that only
+    texts that have one are cut into words.
     """
     terms = keywords.where(~T.blank("term")).withColumn("term", F.btrim("term"))
     langs = ["lang"] if stem else []
@@ -27,16 +29,23 @@ def keyword_hits(passages: DataFrame, keywords: DataFrame, key: str, text: str,
     if stem:
         words, first = W.stems(words, F.col("lang")), W.stems(first, F.col("lang"))
     by_stem = terms.withColumn("_words", first).where(F.size("_words") > 0).groupBy(F.col("_words")[0].alias("_token"), *langs).agg(F.max("term").alias("term"))
+    few = [] if stem else [r.term for r in terms.limit(FEW_TERMS + 1).select(T.folded("term").alias("term")).collect()]
+    if 0 < len(few) <= FEW_TERMS:
+        first_words = F.array(*[F.lit(t) for t in few])
+        heads = F.filter(F.transform(first_words, lambda t: F.get(W.tokens(t), F.lit(0))), lambda t: t.isNotNull())
+        passages = passages.where(F.exists(heads, lambda t: F.contains(T.folded(text), t)))
     counted = passages.withColumn("_w", words).select(key, *langs, F.explode("_w").alias("_token"))
     single = counted.join(by_stem, ["_token", *langs]).groupBy(key, "term").agg(F.count("*").alias("n"))
     phrases = terms.where(F.contains("term", F.lit(" "))).select("term", *[F.col(c).alias(f"_{c}") for c in langs]).distinct()
-    if phrases.limit(MOST_PHRASES + 1).count() > MOST_PHRASES:
-        raise ValueError(f"more than {MOST_PHRASES} phrases")
     body = passages.select(key, *langs, T.folded(text).alias("_body"))
     phrase = T.folded("term")
     same = F.contains("_body", phrase) & (F.col("lang") == F.col("_lang") if stem else F.lit(True))
     times = (F.char_length("_body") - F.char_length(F.replace(F.col("_body"), phrase, F.lit("")))) / F.char_length(phrase)
-    spoken = body.join(F.broadcast(phrases), same).select(key, "term", times.cast("long").alias("n"))  # counted above
+    blocks = -(-phrases.count() // PHRASES_AT_ONCE)
+    spoken = single.limit(0)
+    for k in range(blocks):
+        some = phrases.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k)
+        spoken = spoken.unionByName(body.join(F.broadcast(some), same).select(key, "term", times.cast("long").alias("n")))
     every = single.unionByName(spoken).groupBy(key, "term").agg(F.sum("n").alias("n"))
     return every.groupBy(key).agg(F.array_sort(F.collect_set("term")).alias("terms"), F.sum("n").alias("hits"))
 

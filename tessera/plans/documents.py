@@ -114,10 +114,19 @@ def quote_verification(spark: SparkSession, folder: str) -> DataFrame:
     return _candidates(docs, "source", items, inner).where(T.quoted_from("quote", "source")).select("item_id", "doc_id")
 
 
+FEW_WORDS = 5000
+
+
 def _candidates(docs: DataFrame, text: str, items: DataFrame, words: Column) -> DataFrame:
-    """Items with the documents that have the longest of the given words of theirs."""
+    """Items with the documents that have the longest of the given words of theirs.
+
+    Where the items have few such words, only these leave a document.
+    """
     keyed = items.withColumn("_word", F.element_at(F.array_sort(F.transform(words, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w")))), -1)["w"])
-    having = docs.select("doc_id", F.explode(F.array_distinct(F.split(text, " "))).alias("_word"))
+    sought = [r._word for r in keyed.select("_word").where("_word is not null").distinct().limit(FEW_WORDS + 1).collect()]
+    own = F.split(text, " ")
+    own = F.array_intersect(own, F.lit(sought).cast("array<string>")) if len(sought) <= FEW_WORDS else F.array_distinct(own)
+    having = docs.select("doc_id", F.explode(own).alias("_word"))
     return having.join(keyed, "_word").drop("_word").join(docs, "doc_id")
 
 
