@@ -50,3 +50,37 @@ def test_odd_texts_and_labels(spark, odd_docs, odd_rows):
 
 def test_empty_table(spark, no_docs):
     assert q.score(no_docs, spark.createDataFrame([], "doc_id long, quality int")).collect() == []
+
+
+def test_against_a_plain_fit(spark):
+    """Scores equal those of one ridge and one isotonic fit over all labelled rows in memory, ties, nulls and repeated rows included."""
+    import random
+    import zlib
+
+    import numpy as np
+    from planted import words
+
+    rng = random.Random(17)
+    texts = {d: " ".join(words(rng, rng.randint(5, 90))) if d % 3 else "BUY!!! $$$ " * rng.randint(1, 30) for d in range(240)}
+    rows = [(d, t) for d, t in texts.items()] + [(5, texts[5]), (6, texts[6]), (300, None), (301, ""), (None, texts[7])]
+    marks = [(d, int(d % 3 > 0)) for d in range(240) if d % 7] + [(301, None), (None, 1)]
+    docs = spark.createDataFrame([(k, t, "f", 1.0) for k, t in rows], "doc_id long, text string, fold string, score double").repartition(3)
+    got = q.score(docs, spark.createDataFrame(marks, "doc_id long, quality int")).collect()
+
+    fold = lambda k: zlib.crc32(str(k).encode()) % 3 if k is not None else -1
+    label = {k: y for k, y in marks if k is not None and y is not None}
+    known = [(np.array(q.statistics((t or "").encode())), label[k], fold(k)) for k, t in rows if k in label and fold(k) != 1]
+    f, y, part = np.array([x for x, _, _ in known]), np.array([v for _, v, _ in known], float), np.array([p for _, _, p in known])
+    fit, rest = part == 2, part != 2
+    mean, spread = f[fit].mean(axis=0), f[fit].std(axis=0)
+    spread[spread < 1e-9] = 1.0
+    x = q.fourier(f[fit], mean, spread)
+    weights = np.linalg.solve(x.T @ x + q.RIDGE * max(1.0, len(x)) * np.eye(x.shape[1]) / x.shape[1], x.T @ y[fit])
+    raw = lambda a: q.fourier(a, mean, spread) @ weights
+    bins = np.floor((np.clip(raw(f[rest]), -0.5, 1.5) + 0.5) / 2 * q.BINS).astype(int)
+    used = np.unique(bins)
+    hits = np.array([y[rest][bins == b].sum() for b in used])
+    counts = np.array([(bins == b).sum() for b in used])
+    level = np.array([max(min(hits[i : j + 1].sum() / counts[i : j + 1].sum() for j in range(k, len(used))) for i in range(k + 1)) for k in range(len(used))])  # isotonic by its minimax formula
+    wanted = sorted((str(k), round(float(np.clip(np.interp(raw(np.array([q.statistics((t or "").encode())])), (used + 0.5) / q.BINS * 2 - 0.5, level), 0, 1)[0]), 4)) for k, t in rows)
+    assert [(k, s) for k, s in sorted((str(r.doc_id), round(r.score, 4)) for r in got)] == wanted
