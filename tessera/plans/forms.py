@@ -150,18 +150,18 @@ def placements_checked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(r"""
-WITH p AS (SELECT o_custkey AS section, o_orderkey % 7 AS part_no, o_orderkey AS ord, o_orderpriority AS quote, o_totalprice / 1000000.0 AS confidence FROM orders),
+WITH p AS (SELECT o_custkey AS section, o_orderkey % 7 AS part_no, o_orderkey AS ord, o_orderpriority AS quote, (o_orderkey % 8) / 8.0 AS confidence FROM orders),
 m AS (SELECT section, lower(quote) AS q, min_by(part_no, part_no * 1000000000 + ord) AS part_no, count(*) AS times FROM p GROUP BY 1, 2),
 c AS (SELECT section, round(avg(c), 6) AS confidence FROM (SELECT section, part_no, avg(confidence) AS c FROM p GROUP BY 1, 2) GROUP BY 1),
 t AS (SELECT section, list_sort(list(DISTINCT part_no))[1:3] AS part_nos FROM p GROUP BY 1)
-SELECT m.section, m.q AS quote, m.part_no, t.part_nos, round(c.confidence, 4) AS confidence FROM m JOIN c ON c.section = m.section JOIN t ON t.section = m.section
+SELECT m.section, m.q AS quote, m.part_no, t.part_nos, c.confidence FROM m JOIN c ON c.section = m.section JOIN t ON t.section = m.section
 """)
 def placements_merged(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as placements under their customer: repeats merged, the parts they are from, and how sure they are."""
     orders = table(spark, folder, "orders")
-    rows = orders.select(F.col("o_custkey").alias("section"), (F.col("o_orderkey") % 7).alias("part_no"), F.col("o_orderkey").alias("ord"), F.col("o_orderpriority").alias("quote"), (F.col("o_totalprice") / 1000000.0).alias("confidence"))
+    rows = orders.select(F.col("o_custkey").alias("section"), (F.col("o_orderkey") % 7).alias("part_no"), F.col("o_orderkey").alias("ord"), F.col("o_orderpriority").alias("quote"), (F.col("o_orderkey") % 8 / 8.0).alias("confidence"))
     merged = I.merged(rows, ["section"]).select("section", F.lower("quote").alias("quote"), "part_no")
-    sure = I.part_confidence(rows, ["section"]).select("section", F.round("confidence", 4).alias("confidence"))
+    sure = I.part_confidence(rows, ["section"])
     return merged.join(sure, "section").join(I.section_context(rows, ["section"]), "section")
 
 
