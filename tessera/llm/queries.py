@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import op1_lm_scoring, op2_near_vectors, op3_ngram_join, op4_quality, op5_passages, op6_url_filters, op7_decontamination, op8_sharding, op9_secret_scans, op10_sentencepiece
+from tessera.llm import (
+    op1_lm_scoring,
+    op2_near_vectors,
+    op3_ngram_join,
+    op4_quality,
+    op5_passages,
+    op6_url_filters,
+    op7_decontamination,
+    op8_sharding,
+    op9_secret_scans,
+    op10_sentencepiece,
+    op11_ranked_search,
+    op12_chat_windows,
+    op13_whitening,
+)
+from tessera.llm.workspace import keep
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +110,41 @@ def op10_sentencepiece_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_sentencepiece.encode(_table(spark, sf_dir, "documents"), SENTENCEPIECE_MODEL)
 
 
+def op11_ranked_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = keep(op11_ranked_search.build_index(_table(spark, sf_dir, "documents")), "search-index")
+    return op11_ranked_search.search(index, _table(spark, sf_dir, "benchmark"), 50)
+
+
+# Fixed value: both turns of the added conversation say this.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op12_chat_windows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation read back from its windows; the digests need each one whole, the windows do not."""
+    asked = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], asked.schema)
+    read = op12_chat_windows.read_back(op12_chat_windows.chat_windows(asked.unionByName(added)))
+    fresh = F.filter("said", lambda t: ~t["repeated"])
+    targets = F.filter(F.transform("said", lambda t: t["target"]), lambda t: t.isNotNull())
+    said = F.array_join(F.transform(fresh, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    part = F.struct("segment", "window", said.alias("said"), F.array_join(targets, "").alias("target"))
+    parts = F.array_sort(F.collect_list(part))
+    sums = read.groupBy("conv_id").agg(parts.alias("parts"), F.sum(F.size(fresh)).cast("long").alias("n_turns"), F.sum(F.char_length("formatted")).cast("long").alias("formatted_chars"))
+    whole = lambda name: F.array_join(F.transform("parts", lambda p: p[name]), "")
+    return sums.select(
+        "conv_id",
+        "n_turns",
+        F.sha2(whole("said"), 256).alias("turns_sha256"),
+        F.char_length(whole("target")).cast("long").alias("loss_chars"),
+        F.sha2(whole("target"), 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+def op13_whitening_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_whitening.report(_table(spark, sf_dir, "embeddings"))
+
+
 OP2_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
@@ -135,6 +185,39 @@ FROM documents d LEFT JOIN t USING (doc_id) GROUP BY d.doc_id"""
 
 OP9_SQL = _op9_sql()
 
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
+d AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY 1),
+s AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM d),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE text IS NOT NULL),
+m AS (SELECT doc_id, 100 - 50 + ((50 * n * n_docs) // n_terms) AS m FROM d, s),
+r AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (doc_id) GROUP BY 1, 2),
+o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 50
+"""
+
+OP12_SQL = r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, x.turn, x.role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) x(turn, role)),
+t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role) - 1 AS i,
+  len(regexp_extract_all(text, '[\p{L}\p{N}]{1,6}|[^\x20\x09-\x0D\p{L}\p{N}]')) AS n, 15 + length(role) + length(regexp_replace(text, '<(\\*/?turn)', '<\\\1', 'g')) AS chars FROM c),
+s AS (SELECT conv_id, min(i) AS si, arg_min(n, i) AS sn, arg_min(chars, i) AS sc FROM t WHERE role = 'system' GROUP BY 1),
+u AS (SELECT t.conv_id, i, n, chars, CASE WHEN si < i THEN sn ELSE 0 END AS top, CASE WHEN si < i THEN sc ELSE 0 END AS top_chars,
+  CASE WHEN i = si THEN 0 ELSE n END AS own, CASE WHEN i = si THEN 0 ELSE chars END AS own_chars FROM t LEFT JOIN s USING (conv_id)),
+h AS (SELECT conv_id, i, max(past) AS past, max(past_chars) AS past_chars FROM (
+  SELECT a.conv_id, a.i, a.n, a.top, sum(b.own) OVER w AS past, sum(b.own_chars) OVER w AS past_chars FROM u a JOIN u b ON a.conv_id = b.conv_id AND b.i BETWEEN a.i - 8 AND a.i - 1
+  WINDOW w AS (PARTITION BY a.conv_id, a.i ORDER BY b.i DESC)) WHERE past <= least(192, 768 - top - n) GROUP BY 1, 2),
+v AS (SELECT u.*, top + coalesce(past, 0) AS again, top_chars + coalesce(past_chars, 0) AS again_chars FROM u LEFT JOIN h USING (conv_id, i)),
+r AS (SELECT conv_id, i, again + n AS used, again_chars + chars AS out FROM v WHERE i = 0
+  UNION ALL SELECT v.conv_id, v.i, CASE WHEN r.used + n > 768 THEN again + n ELSE r.used + n END, r.out + chars + CASE WHEN r.used + n > 768 THEN again_chars ELSE 0 END FROM r JOIN v ON v.conv_id = r.conv_id AND v.i = r.i + 1),
+f AS (SELECT conv_id, CAST(max(out) AS BIGINT) AS formatted_chars FROM r GROUP BY 1)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256, any_value(formatted_chars) AS formatted_chars
+FROM t JOIN f USING (conv_id) GROUP BY conv_id
+"""
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring_query,
     "op2_near_vectors": op2_near_vectors_query,
@@ -146,5 +229,8 @@ QUERIES = {
     "op8_sharding": op8_sharding_query,
     "op9_secret_scans": op9_secret_scans_query,
     "op10_sentencepiece": op10_sentencepiece_query,
+    "op11_ranked_search": op11_ranked_search_query,
+    "op12_chat_windows": op12_chat_windows_query,
+    "op13_whitening": op13_whitening_query,
 }
-ORACLES = {"op2_near_vectors": OP2_SQL, "op3_ngram_join": OP3_SQL, "op6_url_filters": OP6_SQL, "op9_secret_scans": OP9_SQL}
+ORACLES = {"op2_near_vectors": OP2_SQL, "op3_ngram_join": OP3_SQL, "op6_url_filters": OP6_SQL, "op9_secret_scans": OP9_SQL, "op11_ranked_search": OP11_SQL, "op12_chat_windows": OP12_SQL}
