@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import words as W
+from tessera.operators import phrases
 
 K1, B = 1.5, 0.75
-PHRASES_AT_ONCE = 1000
 FEW_TERMS = 64
 
 
@@ -19,8 +19,7 @@ def keyword_hits(passages: DataFrame, keywords: DataFrame, key: str, text: str,
     ``passages`` has a column lang where words are stemmed; ``keywords`` has
     term and, then, lang. A term counts by the stem of its first word, and a term
     of several words also as a phrase, case aside. Of terms with one stem the
-    last by name wins. Phrases are sought in every text, PHRASES_AT_ONCE at a
-    time. A few terms without stems are first sought as they are, so that only
+    last by name wins. All phrases are sought in one pass over each text. A few terms without stems are first sought as they are, so that only
     texts that have one are cut into words.
     """
     terms = keywords.where(~T.blank("term")).withColumn("term", F.btrim("term"))
@@ -36,16 +35,9 @@ def keyword_hits(passages: DataFrame, keywords: DataFrame, key: str, text: str,
         passages = passages.where(F.exists(heads, lambda t: F.contains(T.folded(text), t)))
     counted = passages.withColumn("_w", words).select(key, *langs, F.explode("_w").alias("_token"))
     single = counted.join(by_stem, ["_token", *langs]).groupBy(key, "term").agg(F.count("*").alias("n"))
-    phrases = terms.where(F.contains("term", F.lit(" "))).select("term", *[F.col(c).alias(f"_{c}") for c in langs]).distinct()
-    body = passages.select(key, *langs, T.folded(text).alias("_body"))
-    phrase = T.folded("term")
-    same = F.contains("_body", phrase) & (F.col("lang") == F.col("_lang") if stem else F.lit(True))
-    times = (F.char_length("_body") - F.char_length(F.replace(F.col("_body"), phrase, F.lit("")))) / F.char_length(phrase)
-    blocks = -(-phrases.count() // PHRASES_AT_ONCE)
-    spoken = single.limit(0)
-    for k in range(blocks):
-        some = phrases.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k)
-        spoken = spoken.unionByName(body.join(F.broadcast(some), same).select(key, "term", times.cast("long").alias("n")))
+    spoken = terms.where(F.contains("term", F.lit(" "))).select("term", T.folded("term").alias("_phrase"), *langs).distinct()
+    body = passages.select(key, T.folded(text).alias("_body"), *langs)
+    spoken = phrases.occurrences(body, spoken, key, "_body", phrase="_phrase", by="lang" if stem else None)
     every = single.unionByName(spoken).groupBy(key, "term").agg(F.sum("n").alias("n"))
     return every.groupBy(key).agg(F.array_sort(F.collect_set("term")).alias("terms"), F.sum("n").alias("hits"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -13,6 +13,7 @@ from tessera.operators import discussion as D
 from tessera.operators import gate as G
 from tessera.operators import intake as I
 from tessera.operators import lexical as L
+from tessera.operators import phrases as H
 from tessera.operators import render as R
 from tessera.operators import sources as S
 from tessera.operators import split as P
@@ -107,27 +108,48 @@ k AS (SELECT item_id, q, string_split(q, ' ') AS w FROM p)
 SELECT item_id, doc_id FROM k JOIN d ON contains(s, array_to_string(w[1:8], ' '))
 """.replace("\\\\", "\\"))
 def quote_verification(spark: SparkSession, folder: str) -> DataFrame:
-    """Quotes meet the documents that have the longest word inside their first eight; texts are joined only to these pairs."""
-    items = table(spark, folder, "benchmark").select("item_id", T.folded(T.collapse("text")).alias("quote"))
-    docs = _docs(spark, folder).select("doc_id", T.folded(T.collapse("text")).alias("source"))
-    inner = F.slice(F.split("quote", " "), 2, 6)
-    return _candidates(docs, "source", items, inner).where(T.quoted_from("quote", "source")).select("item_id", "doc_id")
+    """All quotes in one pass over the documents."""
+    items = table(spark, folder, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return H.quoted(_docs(spark, folder), items, "doc_id", "text", quote_key="item_id")
+
+
+# Of how many words quotes are asked for.
+QUOTE_SIZES = (0, 1, 2, 3, 9)
+
 
+def _short_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    """The last words of each item, of each size, without its last letter, so that most end inside a word."""
+    words = F.split(T.collapse("text"), " ")
+    items = table(spark, folder, "benchmark").select("item_id", words.alias("w"), F.explode(F.lit(list(QUOTE_SIZES))).alias("n_words"))
+    tail = F.array_join(F.slice("w", F.greatest(F.size("w") - F.col("n_words") + 1, F.lit(1)), F.col("n_words")), " ")
+    return items.select(F.struct("item_id", "n_words").alias("id"), F.substring(tail, 1, F.greatest(F.char_length(tail) - 1, F.lit(0))).alias("quote"))
 
-FEW_WORDS = 5000
 
+SHORT_QUOTES_SQL = r"""
+WITH w AS (SELECT item_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w, unnest([0, 1, 2, 3, 9]) AS n_words FROM benchmark),
+t AS (SELECT item_id, n_words, array_to_string(w[greatest(len(w) - n_words + 1, 1):len(w)], ' ') AS t FROM w WHERE n_words > 0),
+q AS (SELECT item_id, n_words, substr(t, 1, greatest(length(t) - 1, 0)) AS q FROM t)
+"""
 
-def _candidates(docs: DataFrame, text: str, items: DataFrame, words: Column) -> DataFrame:
-    """Items with the documents that have the longest of the given words of theirs.
 
-    Where the items have few such words, only these leave a document.
-    """
-    keyed = items.withColumn("_word", F.element_at(F.array_sort(F.transform(words, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w")))), -1)["w"])
-    sought = [r._word for r in keyed.select("_word").where("_word is not null").distinct().limit(FEW_WORDS + 1).collect()]
-    own = F.split(text, " ")
-    own = F.array_intersect(own, F.lit(sought).cast("array<string>")) if len(sought) <= FEW_WORDS else F.array_distinct(own)
-    having = docs.select("doc_id", F.explode(own).alias("_word"))
-    return having.join(keyed, "_word").drop("_word").join(docs, "doc_id")
+@query(SHORT_QUOTES_SQL + r""", p AS (SELECT item_id, n_words, array_to_string(string_split(trim(lower(q)), ' ')[1:8], ' ') AS p FROM q WHERE trim(q) <> ''),
+d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS s FROM documents)
+SELECT item_id, n_words, doc_id FROM p JOIN d ON contains(s, p)
+""")
+def short_quote_verification(spark: SparkSession, folder: str) -> DataFrame:
+    """Quotes of no, one, two, three and nine words."""
+    found = H.quoted(_docs(spark, folder), _short_quotes(spark, folder), "doc_id", "text", quote_key="id")
+    return found.select("id.item_id", "id.n_words", "doc_id")
+
+
+@query(SHORT_QUOTES_SQL + r""", p AS (SELECT item_id, n_words, array_to_string(list_transform(string_split(trim(q), ' '), lambda w: regexp_escape(w)), '[\s>]+') AS p FROM q WHERE trim(q) <> ''),
+m AS (SELECT item_id, n_words, doc_id, text, regexp_extract(text, p) AS m FROM p, documents)
+SELECT item_id, n_words, doc_id, CAST(strpos(text, m) - 1 AS INTEGER) AS char_from, CAST(strpos(text, m) - 1 + length(m) AS INTEGER) AS char_to FROM m WHERE m <> ''
+""")
+def short_quote_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Where documents hold the same quotes."""
+    found = H.quote_places(_docs(spark, folder), _short_quotes(spark, folder), "doc_id", "text", quote_key="id")
+    return found.select("id.item_id", "id.n_words", "doc_id", "char_from", "char_to")
 
 
 @query("""
@@ -221,14 +243,9 @@ m AS (SELECT item_id, doc_id, text, regexp_extract(text, p) AS m FROM q, documen
 SELECT item_id, doc_id, CAST(strpos(text, m) - 1 AS INTEGER) AS char_from, CAST(strpos(text, m) - 1 + length(m) AS INTEGER) AS char_to FROM m WHERE m <> ''
 """)
 def quote_spans(spark: SparkSession, folder: str) -> DataFrame:
-    """Where documents hold quotes, also across line ends and marks of quoting; a quote meets the documents that have the longest of its words."""
+    """Where documents hold quotes, also across line ends and marks of quoting."""
     items = table(spark, folder, "benchmark").select("item_id", F.col("text").alias("quote"))
-    docs = _docs(spark, folder).select("doc_id", "text", T.collapse(F.translate("text", ">", " ")).alias("_line"))
-    words = F.split(T.collapse("quote"), " ")
-    inner = F.when(F.size(words) > 2, F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(1)))).otherwise(words)
-    pairs = _candidates(docs, "_line", items, inner).withColumn("pair", F.struct("item_id", "doc_id"))
-    found = I.quote_spans(pairs, "pair", "text", "quote").where("char_from is not null")
-    return found.select("pair.item_id", "pair.doc_id", "char_from", "char_to")
+    return H.quote_places(_docs(spark, folder), items, "doc_id", "text", quote_key="item_id")
 
 
 @query("""
