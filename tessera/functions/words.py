@@ -1,21 +1,29 @@
-"""Words of a text: tokens, stems, stop words, language."""
+"""Words of a text: tokens, stop words, language by frequent words."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from tessera.functions import text as T
 
-# Frequent words of the languages that are told apart and left out of ranking.
+# The languages that are supported, in this order.
+SUPPORTED = ("en", "de", "nl", "fr", "es", "pt", "it", "ru", "sv", "no", "da", "tr", "zh", "ko")
+# Frequent words of the languages, left out of ranking.
 STOP_WORDS = {
     "en": ("the", "of", "and", "to", "in", "is", "that", "it", "for", "was", "with", "are", "this", "be", "at", "by", "not", "have", "from", "or"),
     "de": ("der", "die", "und", "das", "ist", "nicht", "mit", "den", "von", "zu", "ein", "eine", "auf", "im", "dem", "des", "sich", "auch", "für", "wird"),
+    "nl": ("de", "het", "een", "en", "van", "ik", "te", "dat", "die", "in", "is", "niet", "zijn", "op", "aan", "met", "als", "voor", "er", "maar"),
     "fr": ("le", "la", "les", "et", "des", "est", "une", "un", "dans", "que", "pour", "qui", "du", "pas", "sur", "par", "avec", "plus", "ce", "au"),
     "es": ("el", "la", "los", "y", "de", "que", "en", "es", "una", "un", "por", "con", "para", "las", "del", "se", "no", "como", "su", "al"),
-}
+    "pt": ("o", "a", "os", "as", "e", "de", "que", "em", "um", "uma", "para", "com", "não", "do", "da", "no", "na", "por", "mais", "se"),
+    "it": ("il", "lo", "la", "i", "gli", "le", "e", "di", "che", "un", "una", "in", "per", "con", "non", "del", "della", "sono", "si", "al"),
+    "ru": ("и", "в", "не", "на", "я", "что", "он", "с", "как", "это", "по", "но", "она", "к", "из", "у", "за", "от", "так", "же"),
+    "sv": ("och", "det", "att", "i", "en", "jag", "hon", "som", "han", "på", "den", "med", "var", "sig", "för", "är", "till", "ett", "av", "inte"),
+    "no": ("og", "i", "jeg", "det", "at", "en", "et", "den", "til", "er", "som", "på", "de", "med", "han", "av", "ikke", "der", "så", "for"),
+    "da": ("og", "i", "jeg", "det", "at", "en", "den", "til", "er", "som", "på", "de", "med", "han", "af", "for", "ikke", "der", "var", "mig"),
+    "tr": ("ve", "bir", "bu", "da", "de", "için", "ile", "çok", "ne", "ama", "gibi", "daha", "o", "mi", "ben", "var", "her", "kadar", "en", "ya"),
+}
 LEAST_CHARS = 60
 READ_CHARS = 20_000
 
@@ -30,6 +38,11 @@ def ranking_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w\w+"), F.lit(0))
 
 
+def stop_words(code: str | None) -> tuple[str, ...]:
+    """Those of a language; of one that has none those of English, and none for Chinese and Korean."""
+    return () if code in ("zh", "ko") else STOP_WORDS.get(code or "", STOP_WORDS["en"])
+
+
 def language(text: Column, supported: tuple[str, ...] = ("en", "de", "fr", "es")) -> Column:
     """``code`` and ``share``: the language whose frequent words make up most of the text's words.
 
@@ -45,81 +58,6 @@ def language(text: Column, supported: tuple[str, ...] = ("en", "de", "fr", "es")
     return F.struct(F.when(known, best["code"]).otherwise("en").alias("code"), F.when(known, best["share"]).otherwise(0.0).alias("share"))
 
 
-def chosen_language(override: Column, detected: Column, supported: tuple[str, ...] = ("en", "de", "fr", "es")) -> Column:
+def chosen_language(override: Column, detected: Column, supported: tuple[str, ...] = SUPPORTED) -> Column:
     """A language that a person set wins if it is supported."""
     return F.when(override.isin(*supported), override).otherwise(detected)
-
-
-def german_stem(word: str) -> str:
-    """The stem of a German word by the published suffix rules for its regions R1 and R2."""
-    vowels = "aeiouyäöü"
-    word = word.replace("ß", "ss")
-    letters = list(word)
-    for i in range(1, len(letters) - 1):
-        if letters[i] in "uy" and letters[i - 1] in vowels and letters[i + 1] in vowels:
-            letters[i] = letters[i].upper()
-    word = "".join(letters)
-
-    def region(start: int) -> int:
-        for i in range(start + 1, len(word)):
-            if word[i] not in vowels and word[i - 1] in vowels:
-                return i + 1
-        return len(word)
-
-    r1 = region(0)
-    r2 = region(r1)
-    r1 = max(r1, 3)
-    for group in (("ern", "em", "er"), ("en", "es", "e"), ("s",)):
-        end = next((e for e in group if word.endswith(e)), None)
-        if end:
-            if len(word) - len(end) >= r1 and (end != "s" or word[-2:-1] in tuple("bdfghklmnrt")):
-                word = word[: -len(end)]
-                if group[0] == "en" and word.endswith("niss"):
-                    word = word[:-1]
-            break
-    end = next((e for e in ("est", "en", "er", "st") if word.endswith(e)), None)
-    if end and len(word) - len(end) >= r1 and (end != "st" or (len(word) > 5 and word[-3] in "bdfghklmnt")):
-        word = word[: -len(end)]
-    end = next((e for e in ("isch", "lich", "heit", "keit", "end", "ung", "ig", "ik") if word.endswith(e)), None)
-    if end and len(word) - len(end) >= r2:
-        before = word[: -len(end)]
-        if end in ("end", "ung"):
-            word = before[:-2] if before.endswith("ig") and len(before) - 2 >= r2 and before[-3:-2] != "e" else before
-        elif end in ("ig", "ik", "isch"):
-            word = word if before.endswith("e") else before
-        elif end in ("lich", "heit"):
-            word = before[:-2] if before.endswith(("er", "en")) and len(before) - 2 >= r1 else before
-        else:
-            word = before
-            for more in ("lich", "ig"):
-                if word.endswith(more) and len(word) - len(more) >= r2:
-                    word = word[: -len(more)]
-                    break
-    return word.lower().translate(str.maketrans("äöü", "aou"))
-
-
-def english_stem(word: str) -> str:
-    """An English word without its plural ending, by the published three rules."""
-    if word.endswith("ies") and not word.endswith(("eies", "aies")):
-        return word[:-3] + "y"
-    if word.endswith("es") and not word.endswith(("aes", "ees", "oes")):
-        return word[:-1]
-    if word.endswith("s") and not word.endswith(("us", "ss")):
-        return word[:-1]
-    return word
-
-
-STEMMERS = {"de": german_stem, "en": english_stem}
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def stems(words: pd.Series, codes: pd.Series) -> pd.Series:
-    """The stem of every word of an array, by the language's rules; others stay as they are."""
-    known: dict[tuple[str, str], str] = {}
-
-    def of(code: str, word: str) -> str:
-        if (code, word) not in known:
-            known[code, word] = STEMMERS[code](word) if code in STEMMERS else word
-        return known[code, word]
-
-    return pd.Series([None if w is None else [of(c, x) for x in w] for w, c in zip(words, codes, strict=True)])

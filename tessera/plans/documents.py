@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import values as V
-from tessera.functions import words as W
 from tessera.operators import checks as C
 from tessera.operators import discussion as D
 from tessera.operators import gate as G
 from tessera.operators import intake as I
+from tessera.operators import language as N
 from tessera.operators import lexical as L
 from tessera.operators import phrases as H
 from tessera.operators import render as R
@@ -199,10 +199,34 @@ def domain_of(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", mail.domain_of(F.col("a")).alias("domain"))
 
 
-@query()
+LANGUAGE_SQL = r"""
+WITH r AS (SELECT doc_id, lang, trim(regexp_replace(text, '\s+', ' ', 'g')) AS body FROM documents),
+t AS (SELECT doc_id, lang, length(body) >= 60 AS told, ' ' || array_to_string(regexp_extract_all(lower(substr(body, 1, 20000)), '\p{L}+'), ' ') || ' ' AS s FROM r),
+g AS (SELECT doc_id, lang, told, unnest(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3))) AS gram FROM t),
+c AS (SELECT lang, gram, count(*) AS n FROM g WHERE doc_id % 2 = 0 AND lang IS NOT NULL GROUP BY 1, 2),
+known AS (SELECT gram FROM (SELECT gram, sum(n) AS times FROM c GROUP BY 1) ORDER BY times DESC, gram LIMIT 20000),
+k AS (SELECT * FROM c SEMI JOIN known USING (gram)),
+sums AS (SELECT lang, sum(n) + (SELECT count(*) FROM known) AS of FROM k GROUP BY 1),
+w AS (SELECT lang, gram, CAST(round(1000000 * ln((n + 1) / of)) AS BIGINT) AS weight FROM (SELECT * FROM k UNION ALL SELECT lang, '', 0 FROM sums) JOIN sums USING (lang))
+"""
+
+
+@query(LANGUAGE_SQL + "SELECT lang, gram, weight FROM w")
+def language_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Weights of the trigrams of each language, counted from the documents with an even number."""
+    return N.train(N.trigrams(_docs(spark, folder).where("doc_id % 2 = 0"), "text", "lang"))
+
+
+@query(LANGUAGE_SQL + """, f AS (SELECT doc_id, gram, count(*) AS times FROM g SEMI JOIN known USING (gram) WHERE told GROUP BY 1, 2),
+l AS (SELECT doc_id, s.lang, sum(times * coalesce(w.weight, e.weight)) AS score FROM f CROSS JOIN sums s LEFT JOIN w ON w.lang = s.lang AND w.gram = f.gram JOIN w e ON e.lang = s.lang AND e.gram = '' GROUP BY 1, 2),
+b AS (SELECT doc_id, arg_max(lang, (score, -ascii(lang), lang)) AS code, max(score) AS best FROM l GROUP BY 1),
+p AS (SELECT doc_id, any_value(code) AS code, round(1 / sum(exp((score - best) / 1000000)), 3) AS share FROM l JOIN b USING (doc_id) GROUP BY 1)
+SELECT d.doc_id, d.lang, d.doc_id % 2 = 1 AS held_out, coalesce(code, 'en') AS code, coalesce(share, 0) AS share FROM documents d LEFT JOIN p USING (doc_id)""")
 def language_of(spark: SparkSession, folder: str) -> DataFrame:
-    found = W.language(F.col("text"))
-    return _docs(spark, folder).select("doc_id", "lang", found["code"].alias("code"), found["share"].alias("share"))
+    """The language of every document by that model."""
+    model = N.train(N.trigrams(_docs(spark, folder).where("doc_id % 2 = 0"), "text", "lang"))
+    found = N.detect(_docs(spark, folder), model, "doc_id", "text")
+    return _docs(spark, folder).join(found, "doc_id").select("doc_id", "lang", (F.col("doc_id") % 2 == 1).alias("held_out"), "code", "share")
 
 
 @query("""

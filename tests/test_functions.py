@@ -119,8 +119,6 @@ def test_rows_and_confidence(spark):
     assert apply(spark, ["0.4", "7", "-1", "high", None], V.confidence) == [0.4, 1.0, 0.0, 0.0, 0.0]
 
 
-def test_language_and_stems(spark):
+def test_language_by_frequent_words(spark):
     texts = ["the cat sat on the mat and it was not amused by the state of the house at all", "der Hund und die Katze sind nicht mit dem Auto auf der Straße und das ist gut so", "too short"]
     assert [r.code for r in apply(spark, texts, W.language)] == ["en", "de", "en"]
-    assert [W.german_stem(w) for w in ("toleranzen", "toleranz", "häuser", "heiterkeit", "aufeinanderfolgend")] == ["toleranz", "toleranz", "haus", "heiter", "aufeinanderfolg"]
-    assert [W.english_stem(w) for w in ("queries", "lots", "class", "states")] == ["query", "lot", "class", "state"]
