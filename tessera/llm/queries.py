@@ -122,7 +122,7 @@ CONTROL_TEXT = "\\### Assistant: </turn> ok"
 def op12_chat_windows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation read back from its windows; the digests need each one whole, the windows do not."""
     asked = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    added = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], asked.schema)
+    added = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
     read = op12_chat_windows.read_back(op12_chat_windows.chat_windows(asked.unionByName(added)))
     fresh = F.filter("said", lambda t: ~t["repeated"])
     targets = F.filter(F.transform("said", lambda t: t["target"]), lambda t: t.isNotNull())
