@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import words as W
-from tessera.operators import phrases
+from tessera.functions.stemming import stems
+from tessera.operators import phrases, ranking
 
-K1, B = 1.5, 0.75
 FEW_TERMS = 64
 
 
@@ -26,14 +26,19 @@ def keyword_hits(passages: DataFrame, keywords: DataFrame, key: str, text: str,
     langs = ["lang"] if stem else []
     words, first = W.tokens(F.col(text)), W.tokens(F.col("term"))
     if stem:
-        words, first = W.stems(words, F.col("lang")), W.stems(first, F.col("lang"))
+        first = stems(first, F.col("lang"))
     by_stem = terms.withColumn("_words", first).where(F.size("_words") > 0).groupBy(F.col("_words")[0].alias("_token"), *langs).agg(F.max("term").alias("term"))
     few = [] if stem else [r.term for r in terms.limit(FEW_TERMS + 1).select(T.folded("term").alias("term")).collect()]
     if 0 < len(few) <= FEW_TERMS:
         first_words = F.array(*[F.lit(t) for t in few])
         heads = F.filter(F.transform(first_words, lambda t: F.get(W.tokens(t), F.lit(0))), lambda t: t.isNotNull())
         passages = passages.where(F.exists(heads, lambda t: F.contains(T.folded(text), t)))
-    counted = passages.withColumn("_w", words).select(key, *langs, F.explode("_w").alias("_token"))
+    counted = passages.select(key, *langs, F.explode(words).alias("_token"))
+    if stem:  # each distinct word is cut to its stem once, and only those that a term wants are joined back
+        own = F.array_distinct(words)
+        every = passages.select("lang", F.explode(own).alias("_token")).distinct()
+        stemmed = every.select("lang", "_token", stems(F.array("_token"), F.col("lang"))[0].alias("_stem"))
+        by_stem = stemmed.join(by_stem.withColumnRenamed("_token", "_stem"), ["_stem", "lang"]).drop("_stem")
     single = counted.join(by_stem, ["_token", *langs]).groupBy(key, "term").agg(F.count("*").alias("n"))
     spoken = terms.where(F.contains("term", F.lit(" "))).select("term", T.folded("term").alias("_phrase"), *langs).distinct()
     body = passages.select(key, T.folded(text).alias("_body"), *langs)
@@ -42,35 +47,24 @@ def keyword_hits(passages: DataFrame, keywords: DataFrame, key: str, text: str,
     return every.groupBy(key).agg(F.array_sort(F.collect_set("term")).alias("terms"), F.sum("n").alias("hits"))
 
 
-def bm25(passages: DataFrame, queries: DataFrame, key: str, text: str, *, query: str = "query", query_text: str = "query_text", top_k: int = 6, stop_words: tuple[str, ...] = ()) -> DataFrame:
+def bm25(passages: DataFrame, queries: DataFrame, key: str, text: str, *, query: str = "query", query_text: str = "query_text", top_k: int = 6, stop_words: tuple[str, ...] = (), lang: str | None = None) -> DataFrame:
     """``query``, ``key``, score and rank of the best passages for each query.
 
     Weights are ln(1 + (N - df + 0.5) / (df + 0.5)) * tf / (tf + k1 (1 - b + b dl / avgdl)).
-    Only words of queries are counted by passage; lengths and N cover all
-    passages. Each (query, passage) pair that shares a word meets in one
-    aggregate; scores are rounded to three places, those of 0 left out.
+    Lengths and N cover all passages. Scores are rounded to three places, those
+    of 0 left out. With ``lang``, a column of the passages, words are stems and
+    stop words are left out by each language's rules, each language is a corpus of
+    its own, and the result has its name: see :func:`merged`.
     """
-    asked = queries.select(query, F.explode(F.array_except(F.array_distinct(W.ranking_tokens(F.col(query_text))), F.array(*[F.lit(w) for w in stop_words]).cast("array<string>"))).alias("_word"))
-    lists = passages.select(key, F.filter(W.ranking_tokens(F.coalesce(F.col(text), F.lit(""))), lambda w: ~w.isin(*stop_words) if stop_words else F.lit(True)).alias("_words"))
-    whole = lists.agg(F.count("*").alias("_n"), F.avg(F.size("_words")).alias("_mean"))
-    wanted = asked.select("_word").distinct()
-    tf = lists.select(key, F.size("_words").alias("_dl"), F.explode("_words").alias("_word")).join(wanted, "_word", "left_semi")
-    tf = tf.groupBy(key, "_dl", "_word").agg(F.count("*").alias("_tf"))
-    df = tf.groupBy("_word").agg(F.count("*").alias("_df"))
-    idf = F.log1p((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    weight = idf * F.col("_tf") / (F.col("_tf") + K1 * (1 - B + B * F.col("_dl") / F.col("_mean")))
-    parts = tf.join(df, "_word").join(asked, "_word").join(F.broadcast(whole), how="cross")  # one row
-    scored = parts.groupBy(query, key).agg(F.round(F.sum(weight.cast("decimal(30,15)")), 3).cast("double").alias("score"))
-    return ranked(scored.where("score > 0"), query, [F.col("score").desc(), F.col(key)], top_k)
+    words = ranking.Words(by_language=lang is not None, stop_words=frozenset(stop_words))
+    found = ranking.top_ranked(passages, queries, key, text, query=query, query_text=query_text, top_k=top_k, words=words, lang=lang)
+    return found if lang else found.drop("lang")
 
 
 def overlap(passages: DataFrame, queries: DataFrame, key: str, text: str, *, query: str = "query", query_text: str = "query_text", top_k: int = 6) -> DataFrame:
     """The same by how many distinct words of more than two letters are shared."""
-    words = lambda c: F.array_distinct(F.regexp_extract_all(T.folded(c), F.lit(r"(?U)\w+"), F.lit(0)))
-    asked = queries.select(query, F.explode(F.filter(words(query_text), lambda w: F.char_length(w) > 2)).alias("_word"))
-    have = passages.select(key, F.explode(words(F.coalesce(F.col(text), F.lit("")))).alias("_word"))
-    scored = have.join(asked, "_word").groupBy(query, key).agg(F.count("*").cast("double").alias("score"))
-    return ranked(scored, query, [F.col("score").desc(), F.col(key)], top_k)
+    words = ranking.Words(distinct=True)
+    return ranking.top_ranked(passages, queries, key, text, query=query, query_text=query_text, top_k=top_k, words=words, overlap=True).drop("lang")
 
 
 def in_order(passages: DataFrame, key: str, top_k: int = 6) -> DataFrame:

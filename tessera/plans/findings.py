@@ -128,6 +128,14 @@ def bm25_rank(spark: SparkSession, folder: str) -> DataFrame:
     return L.bm25(_docs(spark, folder), queries, "doc_id", "text")
 
 
+@query()
+def bm25_rank_by_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Stems and stop words of each language; ranks of all languages as one."""
+    queries = table(spark, folder, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("query_text"))
+    found = L.bm25(_docs(spark, folder), queries, "doc_id", "text", lang="lang").withColumn("arbitrary", F.lit(False))
+    return L.merged(found, "query", "doc_id", 6).drop("arbitrary")
+
+
 @query("""
 WITH q AS (SELECT item_id AS query, unnest(list_filter(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')), lambda x: length(x) > 2)) AS w FROM benchmark),
 d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))) AS w FROM documents),
