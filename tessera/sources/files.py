@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +14,8 @@ from tessera.sources import mail, office, pages, plain
 
 MOST_BYTES = 25 << 20
 UNITS = "array<" + plain.UNIT + ">"
+MESSAGES = "array<struct<kind:string,text:string,path:array<string>,sender:string,sender_domain:string,separator:string,sent_on:date>>"
+ATTACHED = "array<struct<name:string,media:string,content:binary>>"
 
 
 def files(spark: SparkSession, path: str, *, glob: str = "*") -> DataFrame:
@@ -18,18 +24,37 @@ def files(spark: SparkSession, path: str, *, glob: str = "*") -> DataFrame:
     return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "content", "length")
 
 
-def _cleaned(units: Column) -> Column:
-    """Units with clean texts; those that are blank then are gone."""
-    clean = F.transform(units, lambda u: F.struct(u["kind"].alias("kind"), T.plain_clean(u["text"]).alias("text"), u["path"].alias("path")).cast(plain.UNIT))
-    return F.filter(clean, lambda u: F.btrim(u["text"]) != "")
+def _composed(rows: DataFrame) -> DataFrame:
+    """Rows with composed texts in their units, and composed titles of the way to them."""
+    at = rows.columns.index("units")
 
+    def nfc(text: str | None) -> str | None:
+        return text if text is None or text.isascii() else unicodedata.normalize("NFC", text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(at)
+            own = [None if units is None else [{**u, "text": nfc(u["text"]), "path": u["path"] and [nfc(p) for p in u["path"]]} for u in units] for units in column.to_pylist()]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(own, column.type))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _with_clean(rows: DataFrame) -> DataFrame:
+    """Rows whose units have clean, composed texts; units that are blank then are gone. Only rows beyond ASCII are composed."""
+    clean = F.transform("units", lambda u: u.withField("text", T.plain_clean(u["text"])))
+    rows = rows.withColumn("units", F.filter(clean, lambda u: F.btrim(u["text"]) != ""))
+    needs = F.coalesce(F.exists("units", lambda u: u["text"].rlike(T.BEYOND_ASCII)), F.lit(False))
+    return rows.where(~needs).unionByName(_composed(rows.where(needs)))
 
-def absorbed(found: DataFrame, *, key: str = "path", media: str | None = None) -> DataFrame:
-    """``key``, format, units and error of every file.
+
+def read(found: DataFrame, *, key: str = "path", media: str | None = None) -> DataFrame:
+    """``key``, format, units, error, subject, sender, sent and attachments of every file.
 
     Text, delimited text and pages are read by expressions, mails and Word files
     in Arrow functions that only their rows reach. Empty and too large files,
-    formats without a reader and files without text have an error.
+    formats without a reader and files without text or attachments have an error.
+    Units are structs of kind, text, path and, in mails, who wrote them.
     """
     kinds = plain.source_format(F.col("name"), F.col(media) if media else F.lit(None).cast("string"))
     rows = found.select(key, "content", kinds.alias("format"), F.octet_length("content").alias("_n"))
@@ -37,13 +62,34 @@ def absorbed(found: DataFrame, *, key: str = "path", media: str | None = None) -
     body = F.regexp_replace(text, r"\r\n?", "\n")
     nothing = F.lit(None).cast(UNITS)
     bad = F.when(F.col("_n") == 0, "the file is empty").when(F.col("_n") > MOST_BYTES, "the file is too large").when(F.col("format").isNull() | F.col("format").isin("image", "pdf"), "no reader for this format")
-    read = F.when(F.col("format") == "csv", plain.csv_units(body)).when(F.col("format") == "tsv", plain.csv_units(body, "\t")).when(F.col("format") == "text", plain.text_units(body))
+    inline = F.when(F.col("format") == "csv", plain.csv_units(body)).when(F.col("format") == "tsv", plain.csv_units(body, "\t")).when(F.col("format") == "text", plain.text_units(body))
+    of_mail = ["subject", "sender", "sent", "attachments"]
+    told = lambda units, error, *own: [key, "format", _as_messages(units).alias("units"), error.alias("error"), *(own or [F.lit(None).cast(ATTACHED if c == "attachments" else "string").alias(c) for c in of_mail])]
+    none = F.lit(None).cast("string")
     fine = rows.withColumn("error", bad)
-    inline = fine.where("error is not null or format in ('text', 'csv', 'tsv')").select(key, "format", F.when(F.col("error").isNull(), read).otherwise(nothing).alias("units"), "error")
+    texts = fine.where("error is not null or format in ('text', 'csv', 'tsv')").select(*told(F.when(F.col("error").isNull(), inline).otherwise(nothing), F.col("error")))
     good = fine.where("error is null")
-    html = good.where("format = 'html'").select(key, "format", plain.text_units(pages.faithful(text)).alias("units"), F.lit(None).cast("string").alias("error"))
-    letters = good.where("format = 'mail'").select(key, "content")
-    letters = mail.parsed(letters, key, "content").select(key, F.lit("mail").alias("format"), plain.text_units(F.regexp_replace("body", r"\r\n?", "\n")).alias("units"), "error")
-    word = office.parsed(good.where("format = 'docx'").select(key, "content"), key, "content").select(key, F.lit("docx").alias("format"), F.col("units").cast(UNITS).alias("units"), "error")
-    every = inline.unionByName(html).unionByName(letters).unionByName(word).withColumn("units", _cleaned(F.col("units")))
-    return every.withColumn("error", F.coalesce("error", F.when(F.coalesce(F.size("units"), F.lit(0)) <= 0, "the file has no text")))
+    html = good.where("format = 'html'").select(*told(plain.text_units(pages.faithful(text)), none))
+    letters = mail.parsed(good.where("format = 'mail'").select(key, "content"), key, "content").withColumn("format", F.lit("mail"))
+    who = mail.sender(F.col("sender"))["address"]
+    units = mail.message_units(F.col("body"), who, F.col("subject")).cast(MESSAGES)
+    letters = letters.select(key, "format", units.alias("units"), "error", "subject", who.alias("sender"), "sent", "attachments")
+    word = office.parsed(good.where("format = 'docx'").select(key, "content"), key, "content").withColumn("format", F.lit("docx"))
+    word = word.select(*told(F.col("units").cast(UNITS), F.col("error")))
+    every = _with_clean(texts.unionByName(html).unionByName(letters).unionByName(word))
+    empty = (F.coalesce(F.size("units"), F.lit(0)) <= 0) & (F.coalesce(F.size("attachments"), F.lit(0)) <= 0)
+    return every.withColumn("error", F.coalesce("error", F.when(empty, "the file has no text")))
+
+
+def _as_messages(units: Column) -> Column:
+    """Units of files that do not say who wrote them, in the shape of those that do."""
+    no = lambda kind: F.lit(None).cast(kind)
+    return F.transform(
+        units,
+        lambda u: F.struct(u["kind"].alias("kind"), u["text"].alias("text"), u["path"].alias("path"), no("string").alias("sender"), no("string").alias("sender_domain"), no("string").alias("separator"), no("date").alias("sent_on")),
+    ).cast(MESSAGES)
+
+
+def absorbed(found: DataFrame, *, key: str = "path", media: str | None = None) -> DataFrame:
+    """``key``, format, units and error of every file, see :func:`read`."""
+    return read(found, key=key, media=media).select(key, "format", "units", "error")

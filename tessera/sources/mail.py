@@ -5,11 +5,17 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 ADDRESS = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
+# Fixed value: what may stand in angle brackets as an address; a domain needs no dot there.
+ANGLED = r"<([^<>@\s,;\"]+@[^<>@\s,;\"]+)>"
+# Fixed value: lines from which on a mail is a signature or a notice.
+SIGN_OFF = r"(?im)^[ \t]*(?:--[ \t]*|_{5,}|Sent from my .*|Von meinem .* gesendet.*|(?:This e-?mail|This message|Diese E-?Mail|Diese Nachricht)\b.*(?:confidential|vertraulich).*)$"
 # Fixed value: lines that begin an earlier mail of a thread.
 SEPARATOR = r"^(?:-{2,}\s*(?:Original Message|Ursprüngliche Nachricht|Forwarded message)\s*-{2,}|On .+ wrote:|Am .+ schrieb .*:|From: .+|Von: .+)$"
 
@@ -23,8 +29,9 @@ def domain_of(address: Column) -> Column:
 
 
 def sender(header: Column) -> Column:
-    """``address`` and ``name``: the address in angle brackets or else the first one, and the words before it."""
-    address = F.coalesce(F.nullif(F.regexp_extract(header, f"<({ADDRESS})>", 1), F.lit("")), F.nullif(F.regexp_extract(header, ADDRESS, 0), F.lit("")))
+    """``address`` and ``name``: the address in angle brackets, one that is all there is, or else the first one, and the words before it."""
+    first = lambda pattern, group: F.nullif(F.regexp_extract(header, pattern, group), F.lit(""))
+    address = F.coalesce(first(ANGLED, 1), first(r"^\s*([^<>@\s,;\":]+@[^<>@\s,;\"]+)\s*$", 1), first(ADDRESS, 0))
     before = F.regexp_extract(header, r"^(?:.*:)?\s*([^<:]*?)\s*<", 1)
     return F.struct(F.lower(address).alias("address"), F.nullif(F.btrim(before, F.lit("\"' ")), F.lit("")).alias("name"))
 
@@ -46,35 +53,57 @@ def unquoted(paragraph: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), " ")
 
 
+@F.pandas_udf(S.ArrayType(S.StructType([S.StructField("no", S.IntegerType()), S.StructField("separator", S.StringType()), S.StructField("text", S.StringType())])))
+def thread(bodies: pd.Series) -> pd.Series:
+    """A mail cut at the lines that begin an earlier one, in one pass over its lines; replies without words are left out, but counted."""
+
+    def cut(text: str | None) -> list[dict] | None:
+        if text is None:
+            return None
+        number, separator, lines, found = 0, None, [], []
+        for line in [*text.split("\n"), None]:
+            if line is not None and not _SEPARATOR.match(_QUOTING.sub("", line)):
+                lines.append(line)
+                continue
+            said = "\n".join(lines).strip("\n ")
+            if said:
+                found.append({"no": number, "separator": separator, "text": said})
+            number, separator, lines = number + 1, line and line[:300], []
+        return found
+
+    return bodies.map(cut)
+
+
 def replies(mails: DataFrame, key: str, body: str) -> DataFrame:
-    """``key``, reply_no, separator, sender, sent_on and text: a thread cut at the lines that begin an earlier mail.
+    """``key``, reply_no, separator, sender, sent_on and text: a thread cut at the lines that begin an earlier mail."""
+    rows = mails.select(key, F.explode(thread(F.col(body).cast("string"))).alias("_r"))
+    separator = F.nullif(F.col("_r.separator"), F.lit(""))
+    return rows.select(key, F.col("_r.no").alias("reply_no"), separator.alias("separator"), sender(separator)["address"].alias("sender"), loose_date(separator).alias("sent_on"), F.col("_r.text").alias("text"))
+
+
+def signed_off(text: Column) -> Column:
+    """A reply without its signature and what follows."""
+    return F.split(text, SIGN_OFF, 2)[0]
 
-    One pass over a mail's lines, whatever its length; replies without words are
-    left out, but counted.
+
+def message_units(body: Column, own_sender: Column, subject: Column) -> Column:
+    """A mail's paragraphs as units, each with who wrote it: kind, text, path, sender, sender_domain, separator, sent_on.
+
+    The first reply is the mail's own; later ones say in their separator who
+    wrote them. Signatures are cut, marks of quoting are gone.
     """
-    kind = mails.schema[key].dataType.simpleString()
-
-    def cut(text: str) -> Iterator[tuple[int, str | None, str]]:
-        number, separator, lines = 0, None, []
-        for line in text.split("\n"):
-            if _SEPARATOR.match(_QUOTING.sub("", line)):
-                yield number, separator, "\n".join(lines)
-                number, separator, lines = number + 1, line[:300], []
-            else:
-                lines.append(line)
-        yield number, separator, "\n".join(lines)
+    trail = F.when(F.btrim(subject) != "", F.array(F.btrim(subject))).otherwise(F.array().cast("array<string>"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(i, n, s, t.strip("\n ")) for i, text in enumerate(batch.column(1).to_pylist()) if text is not None for n, s, t in cut(text)]
-            who, number, separator, said = zip(*[r for r in rows if r[3]], strict=True) if any(r[3] for r in rows) else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(who, pa.int64())), pa.array(number, pa.int32()), pa.array(separator, pa.string()), pa.array(said, pa.string())], ["key", "no", "separator", "text"]
-            )
+    def of_reply(reply: Column) -> Column:
+        separator = F.nullif(F.btrim(F.regexp_replace(reply["separator"], r"\s+", " ")), F.lit(""))
+        who = F.when(reply["no"] == 0, own_sender).otherwise(sender(reply["separator"])["address"])
+        texts = F.filter(F.transform(F.split(signed_off(reply["text"]), r"\n[ \t]*\n"), unquoted), lambda t: t != "")
+        return F.transform(
+            texts,
+            lambda t: F.struct(F.lit("message").alias("kind"), t.alias("text"), trail.alias("path"), who.alias("sender"), domain_of(who).alias("sender_domain"), separator.alias("separator"), loose_date(reply["separator"]).alias("sent_on")),
+        )
 
-    rows = mails.select(key, F.col(body).cast("string")).mapInArrow(run, f"`{key}` {kind}, no int, separator string, text string")
-    separator = F.nullif(F.col("separator"), F.lit(""))
-    return rows.select(key, F.col("no").alias("reply_no"), separator.alias("separator"), sender(separator)["address"].alias("sender"), loose_date(separator).alias("sent_on"), "text")
+    return F.flatten(F.transform(thread(F.regexp_replace(body, r"\r\n?", "\n")), of_reply))
 
 
 def parsed(files: DataFrame, key: str, content: str) -> DataFrame:
@@ -84,6 +113,14 @@ def parsed(files: DataFrame, key: str, content: str) -> DataFrame:
     read gives its error and nulls.
     """
     kind = dict(files.dtypes)[key]
+
+    def attached_file(part) -> dict:
+        """A mail that is attached is a file like any, named by its subject."""
+        if part.get_content_type() == "message/rfc822":
+            inner = part.get_content()
+            return {"name": part.get_filename() or f"{inner['subject'] or 'mail'}.eml", "media": "message/rfc822", "content": inner.as_bytes()}
+        return {"name": part.get_filename(), "media": part.get_content_type(), "content": part.get_payload(decode=True)}
+
     attached = pa.list_(pa.struct([("name", pa.string()), ("media", pa.string()), ("content", pa.binary())]))
     names = ["key", "subject", "sender", "sent", "body", "attachments", "error"]
     types = [pa.string(), pa.string(), pa.string(), pa.string(), attached, pa.string()]
@@ -100,7 +137,7 @@ def parsed(files: DataFrame, key: str, content: str) -> DataFrame:
             body = part.get_content() if part is not None else ""
             if part is not None and part.get_content_type() == "text/html":
                 body = page_text(body)
-            files = [{"name": a.get_filename(), "media": a.get_content_type(), "content": a.get_payload(decode=True)} for a in mail.iter_attachments()]
+            files = [attached_file(a) for a in mail.iter_attachments()]
             return mail["subject"], mail["from"], mail["date"], body, files, None
         except Exception as e:  # a broken mail is a row with its error, never a failed job
             return None, None, None, None, None, f"{type(e).__name__}: {e}"
