@@ -107,13 +107,25 @@ def tree_order(nodes: DataFrame, key: str, parent: str, order: str) -> DataFrame
 def edited(drafts: DataFrame, edits: DataFrame, by: list[str], columns: list[str], token: str = "token") -> DataFrame:
     """Drafts after edits that were made to the version they say: ``columns`` and the token change, and ``state`` tells what happened.
 
-    An edit whose token is not the draft's is a ``conflict`` and changes nothing;
-    drafts without an edit are ``kept``, edited ones ``changed``. Of several edits
-    of one draft with its token one may be given.
+    One row for each draft. Of edits with the draft's token one is made, the first
+    by its values; all others are conflicts and change nothing: see
+    :func:`conflicts`. Drafts without an edit are ``kept``, edited ones
+    ``changed``, those with conflicts alone ``conflict``.
     """
-    asked = edits.select(*by, F.col(token).alias("_token"), *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_asked"))
-    joined = drafts.join(asked, by, "left")
-    ok = F.coalesce(F.col("_asked") & (F.col(token) == F.col("_token")), F.lit(False))
+    values = F.struct(*[F.col(c).alias(f"_{c}") for c in columns])
+    asked = edits.groupBy(*by, F.col(token).alias("_token")).agg(F.min(values).alias("_edit"))
+    any_edit = edits.select(*by).distinct().withColumn("_asked", F.lit(True))
+    joined = drafts.join(any_edit, by, "left").join(asked.withColumnRenamed("_token", token).withColumn("_ok", F.lit(True)), [*by, token], "left")
+    ok = F.coalesce("_ok", F.lit(False))
     state = F.when(ok, "changed").when(F.col("_asked"), "conflict").otherwise("kept")
-    changed = {c: F.when(ok, F.col(f"_{c}")).otherwise(F.col(c)) for c in columns}
-    return joined.select(*[changed[c].alias(c) if c in changed else (F.when(ok, F.col(c) + 1).otherwise(F.col(c)).alias(c) if c == token else F.col(c)) for c in drafts.columns], state.alias("state"))
+    changed = {c: F.when(ok, F.col(f"_edit._{c}")).otherwise(F.col(c)) for c in columns} | {token: F.when(ok, F.col(token) + 1).otherwise(F.col(token))}
+    return joined.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in drafts.columns], state.alias("state"))
+
+
+def conflicts(drafts: DataFrame, edits: DataFrame, by: list[str], columns: list[str], token: str = "token") -> DataFrame:
+    """Edits that were not made: their token is not the draft's, or another edit with it was made."""
+    values = F.struct(*columns)
+    made = edits.join(drafts.select(*by, token), [*by, token], "left_semi").groupBy(*by, token).agg(F.min(values).alias("_made"))
+    rows = edits.join(made, [*by, token], "left").withColumn("_same", F.coalesce(F.col("_made") == values, F.lit(False)))
+    nth = F.row_number().over(Window.partitionBy(*by, token, "_same").orderBy(*columns))
+    return rows.withColumn("_nth", nth).where(~F.col("_same") | (F.col("_nth") > 1)).select(*edits.columns)

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators.split import split_parts
+from tessera.session import checkpointed
 
 PART_CHARS, TOLERANCE, PARTS, MOST_PLACED = 12_000, 15, 20, 40
+WIDTH = 1024
 
 
 def parts(pastes: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -64,26 +66,82 @@ def quote_kept(old_value: Column, new_value: Column, old_quote: Column, new_quot
     return F.when(old_value.eqNullSafe(new_value), F.coalesce(new_quote, old_quote)).otherwise(new_quote)
 
 
-def claims(answers: DataFrame, pastes: DataFrame, case: str) -> DataFrame:
-    """Each quoted answer with the newest paste of its case that has the quote.
+def _meeting(quotes: DataFrame, texts: DataFrame, by: list[str], quote: str, text: str) -> DataFrame:
+    """``_q`` and ``_t`` of quotes and texts with the same ``by`` that may hold them.
 
-    A quote of three words or more meets pastes by its case and the longest word
-    inside its first eight, shorter ones by their case alone; texts are joined
-    only to the pairs found. ``answers`` has a key, ``pastes`` a paste_id.
+    Quotes of three words or more meet the texts that have the longest word inside
+    their first eight, shorter ones all of their ``by``; neither quotes nor texts
+    are in what is joined.
     """
-    words = F.split(T.folded(T.collapse("quote")), " ")
+    words = F.split(T.folded(T.collapse(quote)), " ")
     inner = F.transform(F.slice(words, 2, F.least(F.size(words) - 2, F.lit(6))), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w")))
-    asked = answers.where(~T.blank("quote")).withColumn("_word", F.when(F.size(words) > 2, F.element_at(F.array_sort(inner), -1)["w"]))
-    having = pastes.select(case, "paste_id", F.explode(F.array_distinct(F.split(T.folded(T.collapse("text")), " "))).alias("_word"))
-    found = asked.where("_word is not null").join(having, [case, "_word"])
-    short = asked.where("_word is null").join(pastes.select(case, "paste_id"), case)
-    pairs = found.select(*answers.columns, "paste_id").unionByName(short.select(*answers.columns, "paste_id"))
-    joined = pairs.join(pastes.select("paste_id", "pasted_at", F.col("text").alias("_text")), "paste_id").where(T.quoted_from("quote", "_text"))
-    return joined.groupBy(*answers.columns).agg(F.max_by("paste_id", F.struct("pasted_at", "paste_id")).alias("paste_id"))
+    asked = quotes.where(~T.blank(quote)).select("_q", *by, F.when(F.size(words) > 2, F.try_element_at(F.array_sort(inner), F.lit(-1))["w"]).alias("_word"))
+    having = texts.select("_t", *by, F.explode(F.array_distinct(F.split(T.folded(T.collapse(text)), " "))).alias("_word"))
+    found = asked.where("_word is not null").join(having, [*by, "_word"]).select("_q", "_t")
+    short = asked.where("_word is null").join(texts.select("_t", *by), by).select("_q", "_t")
+    return found.unionByName(short)
+
+
+def claims(answers: DataFrame, pastes: DataFrame, case: str) -> DataFrame:
+    """Each quoted answer with the newest paste of its case that has the quote; rows that repeat stay apart.
+
+    Quotes and texts are numbered, and joined only to the pairs that may match.
+    ``pastes`` has paste_id and pasted_at.
+    """
+    asked = checkpointed(answers.withColumn("_q", F.monotonically_increasing_id()))
+    texts = checkpointed(pastes.select("paste_id", "pasted_at", case, F.col("text").alias("_text"), F.monotonically_increasing_id().alias("_t")))
+    pairs = _meeting(asked, texts, [case], "quote", "_text").join(asked.select("_q", F.col("quote").alias("_quote")), "_q").join(texts.drop(case), "_t")
+    newest = pairs.where(T.quoted_from("_quote", "_text")).groupBy("_q").agg(F.max_by("paste_id", F.struct("pasted_at", "paste_id")).alias("paste_id"))
+    return asked.join(newest, "_q").drop("_q")
+
+
+def sections_filed(links: DataFrame, claimed: DataFrame, sections: DataFrame) -> DataFrame:
+    """A paste's digest by section: paste_id, section, section_no, links, questions, confirmed.
+
+    ``links`` has link_id, paste_id, section and created_at; ``claimed`` the answers
+    that :func:`claims` gave a paste, with section, question, question_no and
+    source; ``sections`` section and section_no. A section that none declares is
+    the hundredth. Links are in the order in which they were made, questions in
+    that of their section.
+    """
+    in_order = lambda order, what: F.transform(F.array_sort(F.collect_list(F.struct(*order, what))), lambda x: x[what])
+    filed = links.groupBy("paste_id", "section").agg(in_order(["created_at"], "link_id").alias("links"))
+    told = claimed.groupBy("paste_id", "section").agg(in_order(["question_no"], "question").alias("questions"), F.count_if(F.col("source") != "proposed").alias("confirmed"))
+    rows = filed.join(told, ["paste_id", "section"], "full_outer").join(sections.select("section", "section_no"), "section", "left")
+    none = lambda like: F.array().cast(dict(rows.dtypes)[like])
+    return rows.select("paste_id", "section", F.coalesce("section_no", F.lit(100)).alias("section_no"), F.coalesce("links", none("links")).alias("links"), F.coalesce("questions", none("questions")).alias("questions"), F.coalesce("confirmed", F.lit(0)).alias("confirmed"))
+
+
+def link_spans(links: DataFrame, pastes: DataFrame, sections: DataFrame) -> DataFrame:
+    """paste_id, section_no, char_from, char_to: where each paste has what was filed from it."""
+    rows = links.select("link_id", "paste_id", "section", "quote").join(pastes.select("paste_id", "text"), "paste_id")
+    rows = rows.join(sections.select("section", "section_no"), "section", "left").withColumn("at", F.struct("paste_id", F.coalesce("section_no", F.lit(100)).alias("section_no"), "link_id"))
+    found = quote_spans(rows, "at", "text", "quote").where("char_from is not null")
+    return found.select("at.paste_id", "at.section_no", "char_from", "char_to")
+
+
+def united(spans: DataFrame, by: list[str], begin: str = "char_from", end: str = "char_to", width: int = WIDTH) -> DataFrame:
+    """``by``, ``begin``, ``end``: the stretches that any span covers, those that touch as one.
+
+    A sweep over ordered starts, first within stretches of ``width`` characters,
+    then over what is left, which is not more than a text has characters however
+    many spans lie on it. Null and empty spans cover nothing.
+    """
+
+    def swept(rows: DataFrame, within: list[str]) -> DataFrame:
+        order = Window.partitionBy(*within).orderBy(begin, end)
+        before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        begun = rows.withColumn("_new", F.when(F.col(begin) <= before, 0).otherwise(1))
+        runs = begun.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        return runs.groupBy(*within, "_run").agg(F.min(begin).alias(begin), F.max(end).alias(end)).drop("_run")
+
+    rows = spans.where(F.col(end) > F.col(begin)).select(*by, begin, end)
+    near = rows.distinct().withColumn("_stretch", F.floor(F.col(begin) / width))
+    return swept(swept(near, [*by, "_stretch"]).drop("_stretch"), by)
 
 
 def quote_spans(rows: DataFrame, key: str, text: str, quote: str) -> DataFrame:
-    """``key``, char_from and char_to of the first place of a quote in a text, white space and ``>`` between words aside."""
+    """``key``, char_from and char_to of the first place of a quote in a text, case, white space and ``>`` between words aside."""
     kind = dict(rows.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,8 +150,8 @@ def quote_spans(rows: DataFrame, key: str, text: str, quote: str) -> DataFrame:
         for batch in batches:
             found = []
             for body, said in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = (said or "").split()
-                m = re.search(r"[\s>]+".join(map(re.escape, words)), body or "") if words else None
+                words = [re.escape(w) for w in (said or "").split() if w != ">"]
+                m = re.search(r"[\s>]+".join(words), body or "", re.IGNORECASE) if words else None
                 found.append((m.start(), m.end()) if m else (None, None))
             begin, end = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(begin, pa.int32()), pa.array(end, pa.int32())], ["key", "char_from", "char_to"])
@@ -116,8 +174,12 @@ def distinct_pins(pins: DataFrame, block: str = "block") -> DataFrame:
 def filed_here(passages: DataFrame, answers: DataFrame, by: list[str], passage: str = "text") -> DataFrame:
     """Passages of a section with the questions whose answers are quoted from them, in order; none gives an empty list.
 
-    Answers meet the passages of their own section, which are few.
+    Passages that repeat stay apart. Rows are numbered, so that texts are joined
+    only to the pairs that may match.
     """
-    held = F.when(T.quoted_from("quote", passage), F.col("question"))
-    joined = passages.join(answers.select(*by, "question", "quote"), by, "left")
-    return joined.groupBy(*passages.columns).agg(F.array_sort(F.collect_set(held)).alias("questions"))
+    rows = checkpointed(passages.withColumn("_t", F.monotonically_increasing_id()))
+    asked = checkpointed(answers.select(*by, "question", "quote", F.monotonically_increasing_id().alias("_q")))
+    pairs = _meeting(asked, rows, by, "quote", passage).join(asked.drop(*by), "_q").join(rows.select("_t", F.col(passage).alias("_text")), "_t")
+    held = pairs.where(T.quoted_from("quote", "_text")).groupBy("_t").agg(F.array_sort(F.collect_set("question")).alias("questions"))
+    kind = held.schema["questions"].dataType
+    return rows.join(held, "_t", "left").withColumn("questions", F.coalesce("questions", F.array().cast(kind))).drop("_t")

@@ -41,7 +41,12 @@ def _automaton(block: str, phrases: list[str]) -> object:
     return _built[block]
 
 
-def _scanned(texts: DataFrame, phrases: DataFrame, key: str, phrase_key: str, extra: list[S.StructField], hits: Callable[[object, pa.RecordBatch, list], Iterator[tuple]]) -> DataFrame:
+def _folded(text: str) -> str:
+    """Folded so that whatever a search without case takes for the same is the same."""
+    return text.translate({0x130: "i", 0x131: "i"}).casefold()
+
+
+def _scanned(texts: DataFrame, phrases: DataFrame, key: str, phrase_key: str, extra: list[S.StructField], hits: Callable[[object, pa.RecordBatch, list], Iterator[tuple]], fold: Callable[[str], str] = str) -> DataFrame:
     """Rows of ``key``, ``phrase_key`` and ``extra`` that ``hits`` finds in each batch of ``texts``.
 
     ``phrases`` has ``phrase_key``, ``_phrase`` and what else ``hits`` reads of it.
@@ -60,7 +65,7 @@ def _scanned(texts: DataFrame, phrases: DataFrame, key: str, phrase_key: str, ex
 
         def run(batches: Iterator[pa.RecordBatch], told=told, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
             rows = told.value
-            automaton = _automaton(name, [r._phrase for r in rows])
+            automaton = _automaton(name, [fold(r._phrase) for r in rows])
             for batch in batches:
                 got = list(hits(automaton, batch, rows))
                 if got:
@@ -117,12 +122,13 @@ def quoted(texts: DataFrame, quotes: DataFrame, key: str, text: str, *, quote_ke
 def quote_places(texts: DataFrame, quotes: DataFrame, key: str, text: str, *, quote_key: str, quote: str = "quote") -> DataFrame:
     """``quote_key``, ``key``, char_from, char_to: a quote's first place in each text that has it.
 
-    Between a quote's words a text may have any white space and ``>``. The
-    automaton tells which quotes a text has with both read as one space; only
-    for these the place is looked up, in the text at hand.
+    Case aside; between a quote's words a text may have any white space and ``>``,
+    which is no word of a quote. The automaton tells which quotes a text has with
+    both read as one space; only for these the place is looked up, in the text at
+    hand.
     """
     bare = T.collapse(F.translate(quote, ">", " "))
-    signs = F.when(F.contains(quote, F.lit(">")), F.lit(">")).otherwise(F.lit(""))
+    signs = F.when(F.col(quote).rlike(r">[^\s]"), F.lit(">")).otherwise(F.lit(""))
     asked = quotes.select(quote_key, F.when(bare == "", signs).otherwise(bare).alias("_phrase"), F.col(quote).alias("_quote"))
     texts = texts.select(key, F.col(text).alias("_text"))
 
@@ -132,11 +138,12 @@ def quote_places(texts: DataFrame, quotes: DataFrame, key: str, text: str, *, qu
         for k, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if not body:
                 continue
-            ways = [" ".join(body.replace(">", " ").split())] + ([">"] if ">" in body else [])
+            ways = [_folded(" ".join(body.replace(">", " ").split()))] + ([">"] if ">" in body else [])
             for n in sorted({n for way in ways for _, (_, at) in automaton.iter(way) for n in at}):
-                m = re.search(r"[\s>]+".join(map(re.escape, rows[n]._quote.split())), body)
+                words = [re.escape(w) for w in rows[n]._quote.split() if w != ">"]
+                m = re.search(r"[\s>]+".join(words), body, re.IGNORECASE) if words else None
                 if m:
                     yield k, rows[n][0], m.start(), m.end()
 
     fields = [S.StructField("char_from", S.IntegerType()), S.StructField("char_to", S.IntegerType())]
-    return _scanned(texts, asked, key, quote_key, fields, hits).select(quote_key, key, "char_from", "char_to")
+    return _scanned(texts, asked, key, quote_key, fields, hits, _folded).select(quote_key, key, "char_from", "char_to")

@@ -142,7 +142,7 @@ def short_quote_verification(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("id.item_id", "id.n_words", "doc_id")
 
 
-@query(SHORT_QUOTES_SQL + r""", p AS (SELECT item_id, n_words, array_to_string(list_transform(string_split(trim(q), ' '), lambda w: regexp_escape(w)), '[\s>]+') AS p FROM q WHERE trim(q) <> ''),
+@query(SHORT_QUOTES_SQL + r""", p AS (SELECT item_id, n_words, '(?i)' || array_to_string(list_transform(string_split(trim(q), ' '), lambda w: regexp_escape(w)), '[\s>]+') AS p FROM q WHERE trim(q) <> ''),
 m AS (SELECT item_id, n_words, doc_id, text, regexp_extract(text, p) AS m FROM p, documents)
 SELECT item_id, n_words, doc_id, CAST(strpos(text, m) - 1 AS INTEGER) AS char_from, CAST(strpos(text, m) - 1 + length(m) AS INTEGER) AS char_to FROM m WHERE m <> ''
 """)
@@ -262,7 +262,7 @@ def intake_unread(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(r"""
-WITH q AS (SELECT item_id, array_to_string(list_transform(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: regexp_escape(w)), '[\s>]+') AS p FROM benchmark WHERE trim(text) <> ''),
+WITH q AS (SELECT item_id, '(?i)' || array_to_string(list_transform(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: regexp_escape(w)), '[\s>]+') AS p FROM benchmark WHERE trim(text) <> ''),
 m AS (SELECT item_id, doc_id, text, regexp_extract(text, p) AS m FROM q, documents)
 SELECT item_id, doc_id, CAST(strpos(text, m) - 1 AS INTEGER) AS char_from, CAST(strpos(text, m) - 1 + length(m) AS INTEGER) AS char_to FROM m WHERE m <> ''
 """)

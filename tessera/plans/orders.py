@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tessera.operators import checks as C
 from tessera.operators import gate as G
 from tessera.operators import history as H
+from tessera.operators import intake as I
 from tessera.plans.query import query
-from tessera.session import table
+from tessera.session import checkpointed, table
 
 
 @query("""
@@ -30,11 +31,10 @@ FROM orders o JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o.o_orderkey
 """)
 def document_progress(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem").join(table(spark, folder, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
-    asked = lines.select(F.col("l_orderkey").alias("section"), F.monotonically_increasing_id().alias("question"), "l_quantity", "l_returnflag")
-    said = F.when(F.col("l_quantity") >= 25, "said").otherwise("")
-    joined = asked.select("section", (F.col("l_returnflag") == "N").alias("proposed"), (said != "").alias("said"))
-    sums = joined.groupBy("section").agg(F.count("*").alias("questions"), F.count_if(F.col("said") & ~F.col("proposed")).alias("answered"), F.count_if(F.col("said") & F.col("proposed")).alias("unconfirmed"))
-    return sums.withColumns({"percent": F.bround(100 * F.col("answered") / F.col("questions")).cast("long"), "done": F.col("answered") == F.col("questions")})
+    # Lines repeat, so each is a question by a number that is written with it.
+    lines = checkpointed(lines.select(F.col("l_orderkey").alias("section"), F.monotonically_increasing_id().alias("question"), "l_quantity", "l_returnflag"))
+    said, source = F.when(F.col("l_quantity") >= 25, "said").otherwise(" "), F.when(F.col("l_returnflag") == "N", "proposed").otherwise("user")
+    return G.progress(lines.select("section", "question"), lines.select("section", "question", said.alias("value"), source.alias("source")))
 
 
 @query("""
@@ -159,3 +159,16 @@ def distinct_counts(spark: SparkSession, folder: str) -> DataFrame:
     big = table(spark, folder, "lineitem").where("l_quantity > 45").select("l_suppkey", "l_partkey").distinct()
     joined = table(spark, folder, "nation").join(table(spark, folder, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left").join(big, F.col("l_suppkey") == F.col("s_suppkey"), "left")
     return joined.groupBy("n_name").agg(F.count_distinct("s_suppkey").alias("suppliers"), F.count_distinct("l_partkey").alias("parts"))
+
+
+@query("""
+WITH s AS (SELECT DISTINCT l_suppkey, l_partkey AS a, l_partkey + CAST(l_quantity AS BIGINT) AS b FROM lineitem),
+n AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY l_suppkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM s WHERE b > a),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY l_suppkey ORDER BY a, b) AS run FROM n)
+SELECT l_suppkey, min(a) AS char_from, max(b) AS char_to FROM r GROUP BY l_suppkey, run
+""")
+def united_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of a supplier as spans that begin at their part and are as long as their quantity: the stretches that any covers."""
+    lines = table(spark, folder, "lineitem")
+    spans = lines.select("l_suppkey", F.col("l_partkey").alias("char_from"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("char_to"))
+    return I.united(spans, ["l_suppkey"])

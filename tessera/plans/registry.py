@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import assembly, documents, events, files, findings, forms, orders, specs, values
+from tessera.plans import answers, assembly, documents, events, files, findings, forms, orders, specs, values
 from tessera.plans.query import ORACLES, QUERIES
 
-MODULES = (assembly, documents, events, files, findings, forms, orders, specs, values)
+MODULES = (answers, assembly, documents, events, files, findings, forms, orders, specs, values)
 
 __all__ = ["MODULES", "ORACLES", "QUERIES"]

@@ -14,6 +14,8 @@ from dataclasses import asdict, dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as S
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.functions.answers import MOST_BLANKS
@@ -81,15 +83,20 @@ def guarded(pieces: DataFrame, call: str = "call", seq: str = "seq", piece: str
     closed: the root object ends at code point ``at``; padded: the 81st blank in a
     row outside a string ends there; open: neither comes. A null piece is empty.
     """
-    kind = pieces.schema[call].dataType.simpleString()
+    ordered = F.array_sort(F.collect_list(F.struct(seq, F.coalesce(piece, F.lit("")).alias(piece))))
+    calls = pieces.groupBy(call).agg(F.transform(ordered, lambda p: p[piece]).alias("_pieces"))
+    return calls.select(call, _read("_pieces").alias("_g")).select(call, "_g.outcome", "_g.at")
+
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+@F.pandas_udf(S.StructType([S.StructField("outcome", S.StringType()), S.StructField("at", S.LongType())]))
+def _read(calls: pd.Series) -> pd.DataFrame:
+    def one(texts: list[str]) -> tuple[str, int]:
         state = Guard()
-        for text in frame.sort_values(seq)[piece]:
-            state.feed(text or "")
-        return pd.DataFrame({call: [frame[call].iloc[0]], "outcome": [state.outcome], "at": [state.at]})
+        for text in texts:
+            state.feed(text)
+        return state.outcome, state.at
 
-    return pieces.select(call, seq, piece).groupBy(call).applyInPandas(run, f"`{call}` {kind}, {FOUND}")
+    return pd.DataFrame([one(c) for c in calls], columns=["outcome", "at"])
 
 
 def guarded_stream(pieces: DataFrame, call: str = "call", seq: str = "seq", piece: str = "piece") -> DataFrame:

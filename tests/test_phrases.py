@@ -12,7 +12,7 @@ TEXTS = [
     (1, "foo foobar, baz"), (2, "Foo\n> foobar,\n> BAZ qux"), (3, None), (4, ""), (5, "x > y >> z"), (6, "ein Straßenname aus Köln 😀 und mehr, " * 50),
     (7, "aaaa aaaa"), (8, "one two three four five six seven eight and other words than those"), (8, "one two"), (None, "no key but foo"),
 ]
-QUOTES = ["", None, " ", "foo", "foobar", "foo foobar", "oo  fooba", "foo foobar, baz", "foobar, baz qux", ">", "> y", "y >> z", "STRASSENNAME aus", "köln 😀 und", "aa", "one two three four five six seven eight nine ten", "one two three four five six seven nine", "x", "nowhere"]
+QUOTES = ["", None, " ", "foo", "foobar", "foo foobar", "oo  fooba", "foo foobar, baz", "foobar, baz qux", ">", "> y", "y >> z", "STRASSENNAME aus", "köln 😀 und", "aa", "one two three four five six seven eight nine ten", "one two three four five six seven nine", "x", "nowhere", ">>", "> >", "ſtrassenname", "İ"]
 
 
 def fold(text):
@@ -48,9 +48,9 @@ def test_places_of_any_length(texts, quotes, blocks):
     got = sorted(map(repr, map(tuple, phrases.quote_places(texts, quotes, "id", "t", quote_key="q").collect())))
     want = []
     for q, quote in enumerate(QUOTES):
-        words = (quote or "").split()
+        words = [w for w in (quote or "").split() if w != ">"]
         for k, t in TEXTS:
-            m = re.search(r"[\s>]+".join(map(re.escape, words)), t or "") if words else None
+            m = re.search(r"[\s>]+".join(map(re.escape, words)), t or "", re.IGNORECASE) if words else None
             if m:
                 want.append((q, k, m.start(), m.end()))
     assert got == sorted(map(repr, want))
