@@ -44,14 +44,14 @@ def export_allowed(passed: Column, reason: Column) -> Column:
     return passed | F.coalesce(F.btrim(reason) != "", F.lit(False))
 
 
-def section_status(stale: Column, completed: Column, n_blockers: Column, has_content: Column, n_missing: Column) -> Column:
-    """The status that wins: stale, complete, blocked, empty, needs_input, drafted."""
+def section_status(stale: Column, completed: Column, n_blockers: Column, has_content: Column, n_missing: Column, n_waiting: Column | None = None) -> Column:
+    """The status that wins: stale, complete (no blocker fails), blocked (it waits for others), empty, needs_input, drafted."""
     return (
         F.when(stale, "stale")
         .when(completed & (n_blockers == 0), "complete")
-        .when(completed, "blocked")
+        .when(F.lit(False) if n_waiting is None else n_waiting > 0, "blocked")
         .when(~has_content, "empty")
-        .when(n_missing > 0, "needs_input")
+        .when((n_missing > 0) | (n_blockers > 0), "needs_input")
         .otherwise("drafted")
     )
 

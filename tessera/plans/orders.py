@@ -94,12 +94,12 @@ def format_check(spark: SparkSession, folder: str) -> DataFrame:
 @query("""
 WITH c AS (SELECT o_orderkey, o_orderstatus AS s, o_totalprice AS t, o_orderdate AS d, count(l_orderkey) AS n, count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS b
   FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
-SELECT o_orderkey, CASE WHEN t > 450000 THEN 'stale' WHEN s = 'F' AND b = 0 THEN 'complete' WHEN s = 'F' THEN 'blocked' WHEN n = 0 THEN 'empty' WHEN n < 3 THEN 'needs_input' ELSE 'drafted' END AS status FROM c
+SELECT o_orderkey, CASE WHEN t > 450000 THEN 'stale' WHEN s = 'F' AND b = 0 THEN 'complete' WHEN s = 'P' THEN 'blocked' WHEN n = 0 THEN 'empty' WHEN n < 3 OR b > 0 THEN 'needs_input' ELSE 'drafted' END AS status FROM c
 """)
 def section_status(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
     counted = H.with_counts(table(spark, folder, "orders"), lines, "o_orderkey", {"n": F.count("*"), "b": F.count_if(F.col("l_returnflag") == "R")})
-    status = G.section_status(F.col("o_totalprice") > 450000, F.col("o_orderstatus") == "F", F.col("b"), F.col("n") > 0, F.when(F.col("n") < 3, 1).otherwise(0))
+    status = G.section_status(F.col("o_totalprice") > 450000, F.col("o_orderstatus") == "F", F.col("b"), F.col("n") > 0, F.when(F.col("n") < 3, 1).otherwise(0), F.when(F.col("o_orderstatus") == "P", 1).otherwise(0))
     return counted.select("o_orderkey", status.alias("status"))
 
 
