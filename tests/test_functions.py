@@ -102,6 +102,8 @@ def test_form_values(spark):
     cases = [
         ("8.9.2026", "date", "2026-09-08"), ("31/2/2026", "date", "31/2/2026"), ("2026-09-08", "date", "2026-09-08"), ("1.234,56", "number", "1234.56"), ("12,5", "number", "12.5"), ("1 000", "number", "1000"),
         ("x", "boolean", "true"), ("nope", "boolean", "false"), ("high", "enum", "High"), ("mid", "enum", "mid"), ("", "number", ""), ("abc", "number", "abc"),
+        ("-1.234.567,8", "number", "-1234567.8"), ("1234,5", "number", "1234.5"), ("1234.567,5", "number", "1234.567,5"), ("12.34,5", "number", "12.34,5"), ("1,2,3", "number", "1,2,3"), ("12.5", "number", "12.5"), ("1,", "number", "1,"), (",5", "number", ",5"),
+        ("8-9/2026", "date", "2026-09-08"), ("1.1.26", "date", "1.1.26"), (None, "date", None), ("x", "text", "x"),
     ]
     assert apply(spark, [(a, b) for a, b, _ in cases], lambda raw, kind: V.form_value(raw, kind, options)) == [c for *_, c in cases]
 
