@@ -128,7 +128,8 @@ def shard(docs: DataFrame, n_shards: int = 40, *, text: str = "text", key: str =
     are not equal to each other, each row is a group by its key. Repeated rows
     and null keys keep a row and a slot each. An empty table gives no rows.
     Slots run from 0 without gaps in each shard; hot groups are numbered in
-    parts, so no task ever holds a whole group.
+    parts, dealt by a number that each row is written with, so no task ever
+    holds a whole group, however often key and text repeat.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = keep(
@@ -137,6 +138,7 @@ def shard(docs: DataFrame, n_shards: int = 40, *, text: str = "text", key: str =
             (F.octet_length(body) + F.lit(overhead)).cast("long").alias("size"),
             F.crc32(body.cast("binary")).alias("text_crc32"),
             F.when(F.col(text).isNull(), F.xxhash64(F.lit("no text"), F.col(key))).otherwise(F.xxhash64(text)).alias("place"),
+            F.monotonically_increasing_id().alias("salt"),
         ),
         "shard-rows",
     )
@@ -147,12 +149,12 @@ def shard(docs: DataFrame, n_shards: int = 40, *, text: str = "text", key: str =
         number = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("place")))
     rows = rows.withColumns({"shard": number.cast("int"), "block": _prefix(FIRST_BITS)})
     blocks = rows.groupBy("block").agg(F.ceil(F.count("*") / CELL_ROWS).alias("parts"))  # at most 2**FIRST_BITS rows
-    rows = rows.join(F.broadcast(blocks), "block").withColumn("part", F.pmod(F.xxhash64("row_key", "size", "text_crc32", F.lit(1)), "parts"))
+    rows = rows.join(F.broadcast(blocks), "block").withColumn("part", F.pmod(F.xxhash64("salt", F.lit(1)), "parts"))
     cell = ["shard", "block", "part"]
     cells = rows.groupBy(*cell).agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("block", "part")) - F.col("n")
     cells = cells.select(*cell, before.alias("before"))
-    inside = F.row_number().over(Window.partitionBy(*cell).orderBy("place", "row_key"))
+    inside = F.row_number().over(Window.partitionBy(*cell).orderBy("place", "row_key", "salt"))
     return rows.join(cells, cell).select(
         F.col("row_key").alias(key),
         "size",

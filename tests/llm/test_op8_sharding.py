@@ -75,3 +75,17 @@ def test_fewer_groups_than_shards_and_none(spark, no_docs):
     rows = [(1, "a"), (2, "a"), (3, "b")]
     check(rows, sh.shard(spark.createDataFrame(rows, "doc_id long, text string"), 40).collect(), 40)
     assert sh.shard(no_docs, 40).collect() == []
+
+
+def test_one_row_repeated(spark, monkeypatch):
+    """Key and text of most rows are the same, some keys are null: cells stay small."""
+    monkeypatch.setattr(sh, "CELL_ROWS", 50)
+    rows = [(1, "same")] * 2000 + [(None, "same")] * 1000 + [(2, "x" * 300_000), (3, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    seen = []
+    real = sh.Window.partitionBy
+    monkeypatch.setattr(sh.Window, "partitionBy", lambda *c: (seen.append(c), real(*c))[1])
+    got = sh.shard(df, 4)
+    check(rows, got.collect(), 4)
+    assert ("shard", "block", "part") in seen
+    assert got.where("text_crc32 = crc32('same')").select("shard").distinct().count() == 1
