@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import graph
+from tessera.operators import rewrite as W
 from tessera.operators import sections as S
 from tessera.plans.query import query
 from tessera.session import table
@@ -77,3 +78,29 @@ def edits_told(spark: SparkSession, folder: str) -> DataFrame:
     below = below.join(_orders(spark, folder).withColumnRenamed("section", "target"), "target")
     told = S.told_of_edits(_log(spark, folder), below, BY, "kind", ORDER)
     return told.groupBy("document", "section", "dependents").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS document, o_orderkey AS id, lag(o_orderkey) OVER w AS before, min(o_orderkey) OVER (PARTITION BY o_custkey) AS first, max(o_orderkey) OVER (PARTITION BY o_custkey) AS last FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+n AS (SELECT l_orderkey AS id, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1)
+SELECT document, CASE WHEN id = first THEN 'first' ELSE 'o' || id END AS section, CASE WHEN before = first THEN 'first' WHEN before IS NOT NULL THEN 'o' || before ELSE '' END AS depends_on,
+  CASE WHEN before = first THEN coalesce(n, 0) ELSE 0 END AS to_first FROM o LEFT JOIN n USING (id) WHERE id <> last OR first = last
+""")
+def rewritten_specs(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers as specifications: the first section is renamed, the last deleted, and what names them follows."""
+    lines = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("section"), F.concat(F.lit("l"), "l_linenumber").alias("key")).distinct()
+    orders = _orders(spark, folder).join(_needs(spark, folder).select("section", "depends_on"), "section", "left")
+    name = lambda c: F.concat(F.lit("o"), F.col(c).cast("string"))
+    block = F.struct("key", F.lit("prose").alias("kind"), F.array().cast("array<struct<key:string>>").alias("columns"))
+    asked = F.struct(F.col("key").alias("id"), F.col("key").alias("block"), F.lit(None).cast("string").alias("field"), F.lit(None).cast("array<string>").alias("fields"), F.concat(name("depends_on"), F.lit(".l1.x")).alias("references"))
+    has = lambda what: F.array_sort(F.collect_list(F.when(F.col("key").isNotNull(), what)))
+    by_section = orders.join(lines, "section", "left").groupBy("document", "section", "depends_on").agg(F.collect_list(F.when(F.col("key").isNotNull(), block)).alias("blocks"), has(asked).alias("requirements"))
+    section = F.struct(name("section").alias("key"), F.array_compact(F.array(name("depends_on"))).alias("depends_on"), "blocks", "requirements")
+    whole = by_section.groupBy("document").agg(F.array_sort(F.collect_list(F.struct("section", section.alias("s")))).alias("all"))
+    specs = whole.select("document", F.transform("all", lambda x: x["s"]).alias("sections"), F.array().cast("array<struct<id:string,scope:array<string>>>").alias("criteria"))
+    ends = _orders(spark, folder).groupBy("document").agg(F.min("section").alias("first"), F.max("section").alias("last"))
+    first = ends.select("document", F.lit(0).alias("seq"), F.array(name("first")).alias("path"), F.lit("first").alias("new"))
+    last = ends.where("first <> last").select("document", F.lit(1).alias("seq"), F.array(name("last")).alias("path"), F.lit(None).cast("string").alias("new"))
+    done = W.rewritten(specs, first.unionByName(last), "document").select("document", F.explode("sections").alias("s"))
+    to_first = F.size(F.filter("s.requirements", lambda r: F.startswith(r["references"], F.lit("first."))))
+    return done.select("document", F.col("s.key").alias("section"), F.array_join("s.depends_on", ",").alias("depends_on"), to_first.cast("long").alias("to_first"))
