@@ -13,16 +13,16 @@ SUPPORTED = ("en", "de", "nl", "fr", "es", "pt", "it", "ru", "sv", "no", "da", "
 STOP_WORDS = {
     "en": ("the", "of", "and", "to", "in", "is", "that", "it", "for", "was", "with", "are", "this", "be", "at", "by", "not", "have", "from", "or"),
     "de": ("der", "die", "und", "das", "ist", "nicht", "mit", "den", "von", "zu", "ein", "eine", "auf", "im", "dem", "des", "sich", "auch", "für", "wird"),
-    "nl": ("de", "het", "een", "en", "van", "ik", "te", "dat", "die", "in", "is", "niet", "zijn", "op", "aan", "met", "als", "voor", "er", "maar"),
+    "nl": ("de", "het", "een", "en", "van", "ik", "te", "dat", "die", "in", "is", "niet", "zijn", "op"),
     "fr": ("le", "la", "les", "et", "des", "est", "une", "un", "dans", "que", "pour", "qui", "du", "pas", "sur", "par", "avec", "plus", "ce", "au"),
     "es": ("el", "la", "los", "y", "de", "que", "en", "es", "una", "un", "por", "con", "para", "las", "del", "se", "no", "como", "su", "al"),
-    "pt": ("o", "a", "os", "as", "e", "de", "que", "em", "um", "uma", "para", "com", "não", "do", "da", "no", "na", "por", "mais", "se"),
-    "it": ("il", "lo", "la", "i", "gli", "le", "e", "di", "che", "un", "una", "in", "per", "con", "non", "del", "della", "sono", "si", "al"),
-    "ru": ("и", "в", "не", "на", "я", "что", "он", "с", "как", "это", "по", "но", "она", "к", "из", "у", "за", "от", "так", "же"),
-    "sv": ("och", "det", "att", "i", "en", "jag", "hon", "som", "han", "på", "den", "med", "var", "sig", "för", "är", "till", "ett", "av", "inte"),
-    "no": ("og", "i", "jeg", "det", "at", "en", "et", "den", "til", "er", "som", "på", "de", "med", "han", "av", "ikke", "der", "så", "for"),
-    "da": ("og", "i", "jeg", "det", "at", "en", "den", "til", "er", "som", "på", "de", "med", "han", "af", "for", "ikke", "der", "var", "mig"),
-    "tr": ("ve", "bir", "bu", "da", "de", "için", "ile", "çok", "ne", "ama", "gibi", "daha", "o", "mi", "ben", "var", "her", "kadar", "en", "ya"),
+    "pt": ("o", "a", "os", "as", "e", "de", "que", "em", "um", "uma", "para", "com", "não", "do"),
+    "it": ("il", "lo", "la", "i", "gli", "le", "e", "di", "che", "un", "una", "in", "per", "con"),
+    "ru": ("и", "в", "не", "на", "я", "что", "он", "с", "как", "это", "по", "но", "она", "к"),
+    "sv": ("och", "det", "att", "i", "en", "jag", "hon", "som", "han", "på", "den", "med", "var", "sig"),
+    "no": ("og", "i", "jeg", "det", "at", "en", "et", "den", "til", "er", "som", "på", "de", "med"),
+    "da": ("og", "i", "jeg", "det", "at", "en", "den", "til", "er", "som", "på", "de", "med", "han"),
+    "tr": ("ve", "bir", "bu", "da", "de", "için", "ile", "çok", "ne", "ama", "gibi", "daha", "o", "mi"),
 }
 LEAST_CHARS = 60
 READ_CHARS = 20_000

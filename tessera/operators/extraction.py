@@ -138,3 +138,30 @@ def findings_report(found: DataFrame) -> DataFrame:
     lines = F.array_sort(F.collect_list(F.struct("ord", "line")))
     body = F.array_join(F.transform(lines, lambda x: x["line"]), "\n")
     return by_quote.groupBy("question").agg(F.concat(F.lit("## "), F.col("question"), F.lit("\n\n"), body).alias("markdown"))
+
+
+def findings_json(found: DataFrame) -> DataFrame:
+    """Per question a JSON array of passages in order of their first value: quote, and its values sorted, each once."""
+    values = F.array_sort(F.collect_set("value")).alias("values")
+    by_quote = found.groupBy("question", T.collapse("quote").alias("quote")).agg(F.min("ord").alias("ord"), values)
+    rows = F.array_sort(F.collect_list(F.struct("ord", "quote", "values")))
+    return by_quote.groupBy("question").agg(F.to_json(F.transform(rows, lambda x: F.struct(x["quote"].alias("quote"), x["values"].alias("values")))).alias("json"))
+
+
+def run_rows(steps: DataFrame, run: str = "run") -> DataFrame:
+    """What a run came to: ``run``, sources, passages, calls, errors, found, seconds.
+
+    ``steps`` has a row for each passage that a command looked at: source,
+    passage, tier (2 asks a model), outcome, began and ended. Null outcomes are
+    steps that were not made.
+    """
+    made = steps.where("outcome is not null")
+    last, first = F.max("ended").cast("timestamp"), F.min("began").cast("timestamp")
+    return made.groupBy(run).agg(
+        F.count_distinct("source").alias("sources"),
+        F.count_distinct("passage").alias("passages"),
+        F.count_if(F.col("tier") == 2).alias("calls"),
+        F.count_if(F.col("outcome") == "error").alias("errors"),
+        F.count_if(F.col("outcome") == "found").alias("found"),
+        (F.unix_micros(last) - F.unix_micros(first)).alias("micros"),
+    ).withColumn("seconds", F.round(F.col("micros") / 1_000_000, 3)).drop("micros")

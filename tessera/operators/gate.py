@@ -84,3 +84,16 @@ def assessed(stored: DataFrame, results: DataFrame, run: Column, at: Column) ->
     """
     new = results.withColumns({"run": run, "assessed_at": at})
     return stored.unionByName(new.select(*stored.columns))
+
+
+def export_records(exports: DataFrame, reports: DataFrame, document: str = "document") -> DataFrame:
+    """Exports with ``state`` (exported or blocked) and ``gate``, the document's report at that time as JSON.
+
+    A document whose gate has not passed, or that has no report, is blocked
+    unless a reason is given; the reason is kept only where it was needed.
+    """
+    told = reports.select(document, "passed", F.to_json(F.struct(*[c for c in reports.columns if c != document])).alias("gate"))
+    rows = exports.join(told, document, "left")
+    passed = F.coalesce("passed", F.lit(False))
+    state = F.when(export_allowed(passed, F.col("reason")), "exported").otherwise("blocked")
+    return rows.withColumn("state", state).withColumn("reason", F.when(~passed & (F.col("state") == "exported"), F.btrim("reason"))).drop("passed")

@@ -49,6 +49,43 @@ def lint(sections: DataFrame, blocks: DataFrame, edges: DataFrame, requirements:
     return out
 
 
+RULE_KINDS = ("present", "length", "rows", "fields_filled", "format", "cross_ref")
+
+
+def lint_references(sections: DataFrame, columns: DataFrame, questions: DataFrame, requirements: DataFrame, criteria: DataFrame, scopes: DataFrame, longest: int = 100) -> DataFrame:
+    """More problems of types, in what lies below blocks and in criteria: ``spec``, ``rule``, ``subject``.
+
+    Tables: sections(spec, section), columns(spec, section, block, column,
+    position), questions(spec, section, question, position), requirements(spec,
+    id, section, block, field, references, position), criteria(spec, id, kind,
+    position), scopes(spec, id, section). A repetition is told once, at its second
+    place; what a requirement names must be a column of its own block,
+    what it refers to one of any block, ``section.block.column``.
+    """
+    say = lambda df, rule, subject: df.select("spec", F.lit(rule).alias("rule"), subject.alias("subject"))
+    place = F.concat_ws(".", "section", "block", "column")
+    targets = columns.select("spec", place.alias("target"))
+    ids = requirements.select("spec", "id", F.lit(0).alias("_of"), "position").unionByName(criteria.select("spec", "id", F.lit(1).alias("_of"), "position"))
+    ids = ids.withColumn("_order", F.struct("_of", "position"))
+    long = lambda df, key: say(df.where(F.char_length(key) > longest).select("spec", key).distinct(), "key too long", F.substring(key, 1, 40))
+    found = [
+        say(repeated(columns, ["spec", "section", "block", "column"], "position"), "column twice", place),
+        say(repeated(questions, ["spec", "section", "question"], "position"), "question twice", F.concat_ws(".", "section", "question")),
+        say(repeated(ids, ["spec", "id"], "_order"), "id twice", F.col("id")),
+        say(unknown(requirements.where("field is not null"), columns, ["spec", "section", "block", "field"], ["spec", "section", "block", "column"]), "unknown field", F.concat_ws(": ", "id", "field")),
+        say(unknown(requirements.where("references is not null"), targets, ["spec", "references"], ["spec", "target"]), "unknown reference", F.concat_ws(": ", "id", "references")),
+        say(unknown(scopes, sections, ["spec", "section"], ["spec", "section"]), "unknown scope", F.concat_ws(": ", "id", "section")),
+        say(criteria.where(F.col("kind").isin(*RULE_KINDS)), "a rule and no criterion", F.col("id")),
+        long(columns, "column"),
+        long(questions, "question"),
+        long(ids, "id"),
+    ]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def renamed(refs: DataFrame, old: Column, new: Column, *columns: str) -> DataFrame:
     """References with one key renamed."""
     return refs.withColumns({c: F.when(F.col(c) == old, new).otherwise(F.col(c)) for c in columns})

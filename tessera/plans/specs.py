@@ -120,3 +120,39 @@ def unique_slugs(spark: SparkSession, folder: str) -> DataFrame:
 
     rows = table(spark, folder, "nation").withColumn("_s", F.lit(1)).select("n_nationkey", T.slug(F.substring("n_name", 1, 6)).alias("slug"))
     return S.unique_slugs(rows, "slug", [], "n_nationkey")
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS spec, o_orderkey AS section, o_orderpriority AS p, o_orderstatus AS st FROM orders),
+l AS (SELECT spec, section, l_returnflag AS block, 'c' || l_linenumber AS col, 'r' || l_partkey AS id, 'c' || CAST(l_quantity AS BIGINT) AS field, section || '.' || l_linestatus || '.c' || l_linenumber AS ref,
+  row_number() OVER (PARTITION BY spec ORDER BY section, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS position FROM lineitem JOIN o ON l_orderkey = section),
+c AS (SELECT spec, section, block, col, row_number() OVER (PARTITION BY spec, section, block, col ORDER BY position) AS nth FROM l),
+ids AS (SELECT spec, id, 0 AS of, position FROM l UNION ALL SELECT spec, 'r' || section, 1, section FROM o),
+k AS (SELECT DISTINCT spec, section || '.' || block || '.' || col AS target FROM l)
+SELECT spec, rule, subject FROM (
+  SELECT spec, 'column twice' AS rule, section || '.' || block || '.' || col AS subject FROM c WHERE nth = 2
+  UNION ALL SELECT spec, 'id twice', id FROM (SELECT spec, id, row_number() OVER (PARTITION BY spec, id ORDER BY of, position) AS nth FROM ids) WHERE nth = 2
+  UNION ALL SELECT spec, 'unknown field', id || ': ' || field FROM l WHERE NOT EXISTS (SELECT 1 FROM l m WHERE m.spec = l.spec AND m.section = l.section AND m.block = l.block AND m.col = l.field)
+  UNION ALL SELECT spec, 'unknown reference', id || ': ' || ref FROM l WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.spec = l.spec AND k.target = l.ref)
+  UNION ALL SELECT spec, 'unknown scope', 'r' || section || ': ' || (section + 1) FROM o WHERE NOT EXISTS (SELECT 1 FROM o n WHERE n.spec = o.spec AND n.section = o.section + 1)
+  UNION ALL SELECT spec, 'a rule and no criterion', 'r' || section FROM o WHERE st = 'F')
+""")
+def lint_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers as types: orders are sections and criteria, lines are columns and requirements."""
+    from pyspark.sql import Window
+
+    orders = table(spark, folder, "orders").select(F.col("o_custkey").alias("spec"), F.col("o_orderkey").alias("section"), "o_orderpriority", "o_orderstatus")
+    lines = table(spark, folder, "lineitem").withColumnRenamed("l_orderkey", "section").join(orders, "section")
+    nth = F.row_number().over(Window.partitionBy("spec").orderBy("section", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"))
+    text = lambda c: F.col(c).cast("string")
+    column = F.concat(F.lit("c"), text("l_linenumber"))
+    rows = lines.select(
+        "spec", text("section").alias("section"), F.col("l_returnflag").alias("block"), column.alias("column"), F.concat(F.lit("r"), text("l_partkey")).alias("id"),
+        F.concat(F.lit("c"), F.col("l_quantity").cast("long").cast("string")).alias("field"), F.concat_ws(".", text("section"), "l_linestatus", column).alias("references"), nth.cast("long").alias("position"),
+    )
+    name = F.concat(F.lit("r"), text("section"))
+    kind = F.when(F.col("o_orderstatus") == "F", "present").otherwise("rubric")
+    questions = orders.select("spec", text("section").alias("section"), F.col("o_orderpriority").alias("question"), F.col("section").alias("position"))
+    criteria = orders.select("spec", name.alias("id"), kind.alias("kind"), F.col("section").cast("long").alias("position"))
+    scopes = orders.select("spec", name.alias("id"), (F.col("section") + 1).cast("string").alias("section"))
+    return S.lint_references(orders.select("spec", text("section").alias("section")), rows, questions, rows, criteria, scopes)

@@ -111,6 +111,7 @@ def test_form_values(spark):
 def test_parses_as(spark):
     options = F.array(F.lit("a"))
     cases = [("2026-09-08", "date", True), ("20260908", "date", True), ("8.9.2026", "date", False), ("2026-02-31", "date", False), ("1e5", "number", True), ("nan", "number", True), ("1_000", "number", True), ("1,5", "number", False), ("a", "enum", True), ("b", "enum", False), ("x", "string", True)]
+    cases += [("2026-W53-7", "date", True), ("2025-W53-1", "date", False), ("2020W53", "date", True), ("2026-W01", "date", True), ("2026W011", "date", True), ("2026-W00-1", "date", False), ("2026-W011", "date", False), ("2026W01-1", "date", False), ("2026-W01-8", "date", False), ("0000-W01-1", "date", False)]
     assert apply(spark, [(a, b) for a, b, _ in cases], lambda raw, kind: V.parses_as(raw, kind, options)) == [c for *_, c in cases]
 
 

@@ -156,3 +156,21 @@ def test_spec_words(spark):
     assert got == ["s.text must have at least 5 words", "id in s.rows must occur in a.b.c"]
     paths = spark.createDataFrame([("a",), ("a.b",), ("ab.c",)], "p string").select(specs.renamed_path(F.col("p"), "a", "z")).collect()
     assert [x[0] for x in paths] == ["z", "z.b", "ab.c"]
+
+
+def test_lint_of_references(spark):
+    frame = spark.createDataFrame
+    long = "x" * 101
+    sections = frame([("s", "a")], "spec string, section string")
+    columns = frame([("s", "a", "b", "c", 0), ("s", "a", "b", "c", 1), ("s", "a", "b", "c", 2), ("s", "a", "b", long, 3)], "spec string, section string, block string, column string, position int")
+    questions = frame([("s", "a", "q", 0), ("s", "a", "q", 1), ("s", "a", "p", 2)], "spec string, section string, question string, position int")
+    needs = frame([("s", "r1", "a", "b", "c", "a.b.c", 0), ("s", "r1", "a", "b", "d", "a.b.d", 1), ("s", "r2", "a", "b", None, None, 2)], "spec string, id string, section string, block string, field string, references string, position int")
+    criteria = frame([("s", "r2", "rubric", 0), ("s", "k", "present", 1)], "spec string, id string, kind string, position int")
+    scopes = frame([("s", "k", "a"), ("s", "k", "z")], "spec string, id string, section string")
+    from tessera.operators import specs
+
+    got = sorted((r.rule, r.subject) for r in specs.lint_references(sections, columns, questions, needs, criteria, scopes).collect())
+    assert got == sorted([
+        ("column twice", "a.b.c"), ("question twice", "a.q"), ("id twice", "r1"), ("id twice", "r2"), ("unknown field", "r1: d"), ("unknown reference", "r1: a.b.d"),
+        ("unknown scope", "k: z"), ("a rule and no criterion", "k"), ("key too long", "x" * 40),
+    ])
