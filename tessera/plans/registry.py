@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import answers, assembly, documents, events, files, findings, forms, orders, reports, sections, specs, values
+from tessera.plans import answers, assembly, documents, events, files, findings, forms, judged, orders, reports, sections, specs, values
 from tessera.plans.query import ORACLES, QUERIES
 
-MODULES = (answers, assembly, documents, events, files, findings, forms, orders, reports, sections, specs, values)
+MODULES = (answers, assembly, documents, events, files, findings, forms, judged, orders, reports, sections, specs, values)
 
 __all__ = ["MODULES", "ORACLES", "QUERIES"]
