@@ -69,8 +69,7 @@ SELECT doc_id, CAST(pos AS INTEGER) AS pos, value FROM (SELECT *, row_number() O
 """)
 def pattern_hit_cap(spark: SparkSession, folder: str) -> DataFrame:
     found = P.native_hits(_docs(spark, folder).select("doc_id", "text"), "text", PHONE).withColumn("command", F.lit("phone"))
-    first = found.select("command", "doc_id", "pos", "value").orderBy("doc_id", "pos").limit(20)  # one command: a top-n in place of a window
-    return P.capped(first, ["command"], [F.col("doc_id"), F.col("pos")], 20).select("doc_id", "pos", "value")
+    return P.capped(found.select("command", "doc_id", "pos", "value"), ["command"], [F.col("doc_id"), F.col("pos")], 20).select("doc_id", "pos", "value")
 
 
 @query()

@@ -16,7 +16,7 @@ from tessera.sources import mail, plain
 
 
 @query(r"""
-WITH d AS (SELECT doc_id, lang, source, left(text, 60) AS t FROM documents)
+WITH d AS (SELECT doc_id, lang, source, text AS t FROM documents)
 SELECT doc_id, regexp_replace('- ' || t, '^[\s\-*•·>–—.:;]+', '') AS without_marker,
   regexp_replace((doc_id % 9) || '. ' || t, '^\s*' || (doc_id % 9) || '\s*[.):\-–]\s*', '') AS without_number,
   CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN lang WHEN 2 THEN lang || ' and ' || source ELSE lang || ', ' || source || ' and z' END AS listed,
@@ -27,7 +27,7 @@ SELECT doc_id, regexp_replace('- ' || t, '^[\s\-*•·>–—.:;]+', '') AS with
 """)
 def text_forms(spark: SparkSession, folder: str) -> DataFrame:
     """How lines, titles, lists, counts, answers and addresses are shown."""
-    docs = table(spark, folder, "documents").select("doc_id", "lang", "source", F.substring("text", 1, 60).alias("t"))
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "source", F.col("text").alias("t"))
     number = (F.col("doc_id") % 9).cast("string")
     some = F.slice(F.array("lang", "source", F.lit("z")), F.lit(1), (F.col("doc_id") % 4).cast("int"))
     answer = F.when(F.col("doc_id") % 3 == 0, "TRUE").when(F.col("doc_id") % 3 == 1, "false").otherwise(F.col("lang"))
@@ -39,11 +39,11 @@ def text_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(r"""
-WITH d AS (SELECT doc_id, lower(left(text, 300)) AS t FROM documents), k AS (SELECT doc_id, trim(regexp_replace(t, '[^a-z0-9]+', '_', 'g'), '_') AS k FROM d)
+WITH d AS (SELECT doc_id, lower(text) AS t FROM documents), k AS (SELECT doc_id, trim(regexp_replace(t, '[^a-z0-9]+', '_', 'g'), '_') AS k FROM d)
 SELECT doc_id, CASE WHEN rtrim(left(k, 60), '_') = '' THEN 'question' ELSE rtrim(left(k, 60), '_') END AS slug FROM k
 """)
 def slugs(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", T.slug(F.substring("text", 1, 300)).alias("slug"))
+    return table(spark, folder, "documents").select("doc_id", T.slug("text").alias("slug"))
 
 
 @query(r"""
