@@ -58,13 +58,15 @@ def section_status(stale: Column, completed: Column, n_blockers: Column, has_con
 
 def progress(questions: DataFrame, answers: DataFrame, section: str = "section", question: str = "question") -> DataFrame:
     """Per section: questions, answered, unconfirmed, percent (rounded half to even) and whether all are answered."""
-    said = answers.select(section, question, (F.col("source") == "proposed").alias("_proposed"), (F.btrim(F.coalesce("value", F.lit(""))) != "").alias("_said"))
-    joined = questions.select(section, question).join(said, [section, question], "left")
-    sums = joined.groupBy(section).agg(
-        F.count("*").alias("questions"),
-        F.count_if(F.coalesce(F.col("_said") & ~F.col("_proposed"), F.lit(False))).alias("answered"),
-        F.count_if(F.coalesce(F.col("_said") & F.col("_proposed"), F.lit(False))).alias("unconfirmed"),
-    )
+    given = answers.select(section, question, "source", "value")
+    return progress_of(questions.select(section, question).join(given, [section, question], "left"), section)
+
+
+def progress_of(asked: DataFrame, section: str = "section") -> DataFrame:
+    """The same of questions that have the source and value of their answer beside them, null for none."""
+    said = F.btrim(F.coalesce("value", F.lit(""))) != ""
+    proposed = F.coalesce(F.col("source") == "proposed", F.lit(False))
+    sums = asked.groupBy(section).agg(F.count("*").alias("questions"), F.count_if(said & ~proposed).alias("answered"), F.count_if(said & proposed).alias("unconfirmed"))
     return sums.withColumns({"percent": F.bround(100 * F.col("answered") / F.col("questions")).cast("long"), "done": F.col("answered") == F.col("questions")})
 
 

@@ -10,7 +10,7 @@ from tessera.operators import gate as G
 from tessera.operators import history as H
 from tessera.operators import intake as I
 from tessera.plans.query import query
-from tessera.session import checkpointed, table
+from tessera.session import table
 
 
 @query("""
@@ -31,10 +31,8 @@ FROM orders o JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o.o_orderkey
 """)
 def document_progress(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem").join(table(spark, folder, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
-    # Lines repeat, so each is a question by a number that is written with it.
-    lines = checkpointed(lines.select(F.col("l_orderkey").alias("section"), F.monotonically_increasing_id().alias("question"), "l_quantity", "l_returnflag"))
     said, source = F.when(F.col("l_quantity") >= 25, "said").otherwise(" "), F.when(F.col("l_returnflag") == "N", "proposed").otherwise("user")
-    return G.progress(lines.select("section", "question"), lines.select("section", "question", said.alias("value"), source.alias("source")))
+    return G.progress_of(lines.select(F.col("l_orderkey").alias("section"), said.alias("value"), source.alias("source")))
 
 
 @query("""

@@ -83,3 +83,12 @@ def test_edits_of_complete_sections_are_told(spark):
     below = spark.createDataFrame([("d", "c", "a", 3), ("d", "b", "a", 2)], "document string, source string, target string, position int")
     got = sections.told_of_edits(spark.createDataFrame(rows, SCHEMA), below, BY, "kind", ["at"]).orderBy(F.col("section")).collect()
     assert [(r.section, r.at, r.dependents) for r in got] == [("a", 3, ["b", "c"]), ("b", 3, [])]
+
+
+def test_progress(spark):
+    from tessera.operators import gate
+
+    questions = spark.createDataFrame([("a", q) for q in "wxyz"] + [("b", "x")], "section string, question string")
+    answers = spark.createDataFrame([("a", "w", "said", "user"), ("a", "x", "said", "proposed"), ("a", "y", " ", "user"), ("b", "x", "said", None)], "section string, question string, value string, source string")
+    got = {r.section: tuple(r)[1:] for r in gate.progress(questions, answers).collect()}
+    assert got == {"a": (4, 1, 1, 25, False), "b": (1, 1, 0, 100, True)}
