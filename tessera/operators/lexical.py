@@ -61,9 +61,9 @@ def bm25(passages: DataFrame, queries: DataFrame, key: str, text: str, *, query:
     return found if lang else found.drop("lang")
 
 
-def overlap(passages: DataFrame, queries: DataFrame, key: str, text: str, *, query: str = "query", query_text: str = "query_text", top_k: int = 6) -> DataFrame:
-    """The same by how many distinct words of more than two letters are shared."""
-    words = ranking.Words(distinct=True)
+def overlap(passages: DataFrame, queries: DataFrame, key: str, text: str, *, query: str = "query", query_text: str = "query_text", top_k: int = 6, sharp_s: str = "ss") -> DataFrame:
+    """The same by how many distinct words of more than two letters are shared; ß is read as ``sharp_s``."""
+    words = ranking.Words(distinct=True, sharp_s=sharp_s)
     return ranking.top_ranked(passages, queries, key, text, query=query, query_text=query_text, top_k=top_k, words=words, overlap=True).drop("lang")
 
 

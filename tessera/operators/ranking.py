@@ -43,10 +43,11 @@ class Words:
     distinct: bool = False
     by_language: bool = False
     stop_words: frozenset[str] = frozenset()
+    sharp_s: str = "ss"  # what ß is read as where words are distinct
 
     def of(self, text: str, lang: str, stems: stemming.Stems) -> list[str]:
         if self.distinct:
-            return list(dict.fromkeys(w for w in _WORD.findall(text.lower().replace("ß", "ss")) if len(w) > 2))
+            return list(dict.fromkeys(w for w in _WORD.findall(text.lower().replace("ß", self.sharp_s)) if len(w) > 2))
         found = [w for w in _RANKING.findall(text.lower()) if w not in self.stop_words]
         if not self.by_language:
             return found

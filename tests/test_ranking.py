@@ -100,3 +100,12 @@ def test_stemmed_keywords(spark):
     terms = spark.createDataFrame([("en", "connecting"), ("de", "Toleranz"), ("ru", "вагон"), ("xx", "connect")], "lang string, term string")
     got = {r.id: (r.terms, r.hits) for r in lexical.keyword_hits(passages, terms, "id", "t").collect()}
     assert got == {1: (["connecting"], 2), 2: (["Toleranz"], 1), 3: (["вагон"], 2), 4: (["connect"], 1), 5: (["connecting"], 1)}
+
+
+def test_overlap_by_lower_case_alone(spark):
+    rows = [(1, "weißt"), (2, "weisst"), (3, "sß auf"), (4, "WEIẞT auf")]
+    passages = spark.createDataFrame(rows, "id long, t string")
+    asked = spark.createDataFrame([(7, "Weißt sß")], "k long, q string")
+    told = lambda **how: sorted((r.id, r.score) for r in lexical.overlap(passages, asked, "id", "t", query="k", query_text="q", **how).collect())
+    assert told() == [(1, 1.0), (2, 1.0), (3, 1.0), (4, 1.0)]
+    assert told(sharp_s="ß") == [(1, 1.0), (4, 1.0)]
