@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -106,16 +106,17 @@ def occurrences(texts: DataFrame, phrases: DataFrame, key: str, text: str, *, ph
     return _scanned(texts, phrases, key, phrase_key, [S.StructField("n", S.LongType())], hits)
 
 
-def quoted(texts: DataFrame, quotes: DataFrame, key: str, text: str, *, quote_key: str, quote: str = "quote") -> DataFrame:
+def quoted(texts: DataFrame, quotes: DataFrame, key: str, text: str, *, quote_key: str, quote: str = "quote", fold: Callable[[Column], Column] = T.folded) -> DataFrame:
     """``quote_key`` and ``key`` of each quote and the texts that have it, case and spaces aside.
 
     The rule is that of :func:`text.quoted_from`: a quote of more than eight
-    words passes on its first eight. Quotes of any length are found, also inside
+    words passes on its first eight. ``fold`` says what case is; with ``F.lower``
+    ß is not ss. Quotes of any length are found, also inside
     words; blank ones are in no text.
     """
-    words = F.split(T.folded(T.collapse(quote)), " ")
+    words = F.split(fold(T.collapse(quote)), " ")
     begins = quotes.select(quote_key, F.array_join(F.slice(words, 1, FIRST_WORDS), " ").alias("_begin"))
-    folded = texts.select(key, T.folded(T.collapse(text)).alias("_folded"))
+    folded = texts.select(key, fold(T.collapse(text)).alias("_folded"))
     return occurrences(folded, begins, key, "_folded", phrase_key=quote_key, phrase="_begin").select(quote_key, key)
 
 

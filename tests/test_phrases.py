@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from tessera.operators import phrases
 
 TEXTS = [
@@ -91,3 +92,17 @@ def test_many_phrases_take_one_pass(spark):
         phrases.occurrences(texts, terms, "id", "t").count()
         took.append(time.perf_counter() - began)
     assert took[1] < 10 * took[0] + 2
+
+
+@pytest.mark.parametrize(("query", "ids"), [("quote_verification", [(1, 0), (2, 1)])])
+def test_queries_keep_sharp_s(spark, tmp_path, query, ids):
+    """As their SQL, which lowers case and no more."""
+    from tessera.plans.registry import QUERIES
+
+    spark.createDataFrame([(0, "grüßx"), (1, "grüssx")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "GRÜßX"), (2, "Grüssx")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted({(r.doc_id, r.item_id) for r in QUERIES[query](spark, str(tmp_path)).collect()}) == ids
+    texts, quotes = (spark.createDataFrame([(1, "ß"), (2, "ss")], f"{k} long, {t} string") for k, t in (("id", "t"), ("q", "quote")))
+    pairs = lambda **how: sorted((r.q, r.id) for r in phrases.quoted(texts, quotes, "id", "t", quote_key="q", **how).collect())
+    assert pairs() == [(1, 1), (1, 2), (2, 1), (2, 2)]
+    assert pairs(fold=F.lower) == [(1, 1), (2, 2)]
