@@ -94,7 +94,7 @@ def test_many_phrases_take_one_pass(spark):
     assert took[1] < 10 * took[0] + 2
 
 
-@pytest.mark.parametrize(("query", "ids"), [("quote_verification", [(1, 0), (2, 1)])])
+@pytest.mark.parametrize(("query", "ids"), [("quote_verification", [(1, 0), (2, 1)]), ("short_quote_verification", [(1, 0), (2, 1)])])
 def test_queries_keep_sharp_s(spark, tmp_path, query, ids):
     """As their SQL, which lowers case and no more."""
     from tessera.plans.registry import QUERIES
