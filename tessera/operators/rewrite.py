@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 TRIES = 20
 
 
+def _with(value: Column, do: Callable[[Column], Column]) -> Column:
+    """``do`` of a value that is worked out once, however often ``do`` names it."""
+    return F.get(F.transform(F.array(value), do), F.lit(0))
+
+
 def _each(items: Column, at: Column, do: Callable[[Column], Column]) -> Column:
     """``items`` with ``do`` applied to those whose key is ``at``."""
     return F.transform(items, lambda x: F.when(x["key"] == at, do(x)).otherwise(x))
@@ -23,9 +28,8 @@ def _each(items: Column, at: Column, do: Callable[[Column], Column]) -> Column:
 
 def _free(new: Column, old: Column, items: Column) -> Column:
     """``new``, or with a number behind it where another of ``items`` has it."""
-    taken = F.filter(F.transform(items, lambda x: x["key"]), lambda k: k != old)
     tries = F.concat(F.array(new), F.transform(F.sequence(F.lit(2), F.lit(TRIES)), lambda n: F.concat_ws("_", new, n.cast("string"))))
-    return F.get(F.filter(tries, lambda k: ~F.array_contains(taken, k)), F.lit(0))
+    return _with(F.filter(F.transform(items, lambda x: x["key"]), lambda k: k != old), lambda taken: F.get(F.filter(tries, lambda k: ~F.array_contains(taken, k)), F.lit(0)))
 
 
 def _named(items: Column, old: Column, new: Column) -> Column:
@@ -43,12 +47,14 @@ def _references(sections: Column, path: Column, depth: int, new: Column) -> Colu
     """Sections whose references of three parts follow a renamed part; a deleted one leaves them as they are."""
 
     def moved(reference: Column) -> Column:
-        parts = F.split(reference, r"\.")
-        same = F.lit(True)
-        for i in range(depth):
-            same = same & (F.get(parts, F.lit(i)) == F.get(path, F.lit(i)))
-        out = F.concat_ws(".", *[new if i == depth - 1 else F.get(parts, F.lit(i)) for i in range(3)])
-        return F.when(new.isNotNull() & (F.size(parts) == 3) & same, out).otherwise(reference)
+        def of(parts: Column) -> Column:
+            same = F.lit(True)
+            for i in range(depth):
+                same = same & (F.get(parts, F.lit(i)) == F.get(path, F.lit(i)))
+            out = F.concat_ws(".", *[new if i == depth - 1 else F.get(parts, F.lit(i)) for i in range(3)])
+            return F.when(new.isNotNull() & (F.size(parts) == 3) & same, out).otherwise(reference)
+
+        return _with(F.split(reference, r"\."), of)
 
     return F.transform(sections, lambda s: s.withField("requirements", F.transform(s["requirements"], lambda r: r.withField("references", moved(r["references"])))))
 
@@ -63,39 +69,46 @@ def _there(state: Column, path: Column, depth: int) -> Column:
 
 def _of_section(state: Column, path: Column, new: Column) -> Column:
     old = F.get(path, F.lit(0))
-    new = F.when(new.isNotNull(), _free(new, old, state["sections"]))
-    sections = F.transform(_keys(state["sections"], old, new), lambda s: s.withField("depends_on", _named(s["depends_on"], old, new)))
-    criteria = F.transform(state["criteria"], lambda c: c.withField("scope", _named(c["scope"], old, new)))
-    return F.struct(_references(sections, path, 1, new).alias("sections"), criteria.alias("criteria"))
+
+    def named(new: Column) -> Column:
+        sections = F.transform(_keys(state["sections"], old, new), lambda s: s.withField("depends_on", _named(s["depends_on"], old, new)))
+        criteria = F.transform(state["criteria"], lambda c: c.withField("scope", _named(c["scope"], old, new)))
+        return F.struct(_references(sections, path, 1, new).alias("sections"), criteria.alias("criteria"))
+
+    return _with(F.when(new.isNotNull(), _free(new, old, state["sections"])), named)
 
 
 def _of_block(state: Column, path: Column, new: Column) -> Column:
     at, old = F.get(path, F.lit(0)), F.get(path, F.lit(1))
     own = F.get(F.filter(state["sections"], lambda s: s["key"] == at), F.lit(0))
-    new = F.when(new.isNotNull(), _free(new, old, own["blocks"]))
 
-    def section(s: Column) -> Column:
-        kept = F.filter(s["requirements"], lambda r: new.isNotNull() | ~F.coalesce(r["block"] == old, F.lit(False)))
-        asked = F.transform(kept, lambda r: F.when(r["block"] == old, r.withField("block", new)).otherwise(r))
-        return s.withField("blocks", _keys(s["blocks"], old, new)).withField("requirements", asked)
+    def named(new: Column) -> Column:
+        def section(s: Column) -> Column:
+            kept = F.filter(s["requirements"], lambda r: new.isNotNull() | ~F.coalesce(r["block"] == old, F.lit(False)))
+            asked = F.transform(kept, lambda r: F.when(r["block"] == old, r.withField("block", new)).otherwise(r))
+            return s.withField("blocks", _keys(s["blocks"], old, new)).withField("requirements", asked)
+
+        return F.struct(_references(_each(state["sections"], at, section), path, 2, new).alias("sections"), state["criteria"].alias("criteria"))
 
-    return F.struct(_references(_each(state["sections"], at, section), path, 2, new).alias("sections"), state["criteria"].alias("criteria"))
+    return _with(F.when(new.isNotNull(), _free(new, old, own["blocks"])), named)
 
 
 def _of_column(state: Column, path: Column, new: Column) -> Column:
     at, block, old = (F.get(path, F.lit(i)) for i in range(3))
     own = F.get(F.filter(F.get(F.filter(state["sections"], lambda s: s["key"] == at), F.lit(0))["blocks"], lambda b: b["key"] == block), F.lit(0))
-    new = F.when(new.isNotNull(), _free(new, old, own["columns"]))
 
-    def requirement(r: Column) -> Column:
-        told = r.withField("field", F.when(r["field"] == old, new).otherwise(r["field"])).withField("fields", _named(r["fields"], old, new))
-        return F.when(r["block"] == block, told).otherwise(r)
+    def named(new: Column) -> Column:
+        def requirement(r: Column) -> Column:
+            told = r.withField("field", F.when(r["field"] == old, new).otherwise(r["field"])).withField("fields", _named(r["fields"], old, new))
+            return F.when(r["block"] == block, told).otherwise(r)
+
+        def section(s: Column) -> Column:
+            blocks = _each(s["blocks"], block, lambda b: b.withField("columns", _keys(b["columns"], old, new)))
+            return s.withField("blocks", blocks).withField("requirements", F.transform(s["requirements"], requirement))
 
-    def section(s: Column) -> Column:
-        blocks = _each(s["blocks"], block, lambda b: b.withField("columns", _keys(b["columns"], old, new)))
-        return s.withField("blocks", blocks).withField("requirements", F.transform(s["requirements"], requirement))
+        return F.struct(_references(_each(state["sections"], at, section), path, 3, new).alias("sections"), state["criteria"].alias("criteria"))
 
-    return F.struct(_references(_each(state["sections"], at, section), path, 3, new).alias("sections"), state["criteria"].alias("criteria"))
+    return _with(F.when(new.isNotNull(), _free(new, old, own["columns"])), named)
 
 
 def rewritten(specs: DataFrame, changes: DataFrame, key: str = "spec") -> DataFrame:

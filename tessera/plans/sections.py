@@ -101,6 +101,7 @@ def rewritten_specs(spark: SparkSession, folder: str) -> DataFrame:
     ends = _orders(spark, folder).groupBy("document").agg(F.min("section").alias("first"), F.max("section").alias("last"))
     first = ends.select("document", F.lit(0).alias("seq"), F.array(name("first")).alias("path"), F.lit("first").alias("new"))
     last = ends.where("first <> last").select("document", F.lit(1).alias("seq"), F.array(name("last")).alias("path"), F.lit(None).cast("string").alias("new"))
-    done = W.rewritten(specs, first.unionByName(last), "document").select("document", F.explode("sections").alias("s"))
+    # Outer, as Spark would filter by the array that it explodes and work it out for each test.
+    done = W.rewritten(specs, first.unionByName(last), "document").select("document", F.explode_outer("sections").alias("s")).where("s is not null")
     to_first = F.size(F.filter("s.requirements", lambda r: F.startswith(r["references"], F.lit("first."))))
     return done.select("document", F.col("s.key").alias("section"), F.array_join("s.depends_on", ",").alias("depends_on"), to_first.cast("long").alias("to_first"))

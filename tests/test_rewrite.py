@@ -5,6 +5,7 @@ from __future__ import annotations
 import copy
 import random
 
+from pyspark.sql import functions as F
 from tessera.operators import rewrite
 
 SCHEMA = (
@@ -100,3 +101,14 @@ def test_nothing_to_change(spark):
     specs = spark.createDataFrame([("s", "t", [], []), ("n", "t", None, None)], SCHEMA)
     changes = spark.createDataFrame([("s", 0, ["a"], "b"), ("n", 0, ["a", "b"], None), ("x", 0, ["a"], None)], CHANGES)
     assert {r.spec: (r.sections, r.criteria) for r in rewrite.rewritten(specs, changes).collect()} == {"s": ([], []), "n": (None, None)}
+
+
+def test_query_works_each_specification_out_once(spark):
+    """No test of the array that is exploded repeats the fold, and a new name is sought once, not for every key."""
+    from tessera.plans.registry import QUERIES
+
+    plan = QUERIES["rewritten_specs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("aggregate(coalesce(") == 1
+    state = F.struct(F.array(F.struct(F.lit("a").alias("key"), F.array("k").alias("depends_on"), F.array().cast("array<struct<references:string>>").alias("requirements"))).alias("sections"), F.array().cast("array<struct<scope:array<string>>>").alias("criteria"))
+    made = spark.createDataFrame([("a", "b")], "k string, n string").select(rewrite._of_section(state, F.array("k"), F.col("n")))
+    assert made._jdf.queryExecution().analyzed().toString().count("sequence(") == 1
