@@ -17,18 +17,22 @@ DIGITS = 20
 def reachable(edges: DataFrame, source: str, target: str) -> DataFrame:
     """All pairs ``(source, target)`` with a way from one to the other, each once.
 
-    Ways are doubled, after k passes all ways of up to 2**k edges are known, until no pair is new.
+    Ways are doubled: after k passes all pairs of up to 2**k edges are known, and a
+    longer one begins with a way of just 2**k edges, so only these are led on;
+    along a chain every pair is met once. It ends when no pair is new.
     """
-    known = checkpointed(edges.where(F.col(source).isNotNull() & F.col(target).isNotNull()).select(source, target).distinct())
-    size = known.count()
+    exact = known = checkpointed(edges.where(F.col(source).isNotNull() & F.col(target).isNotNull()).select(source, target).distinct())
+
+    def led_on(onward: DataFrame) -> DataFrame:
+        onward = onward.select(F.col(source).alias("_mid"), F.col(target).alias("_end"))
+        return exact.join(onward, F.col(target) == F.col("_mid")).select(source, F.col("_end").alias(target)).distinct()
+
     while True:
-        onward = known.select(F.col(source).alias("_mid"), F.col(target).alias("_end"))
-        longer = known.join(onward, F.col(target) == F.col("_mid")).select(source, F.col("_end").alias(target))
-        known = checkpointed(known.unionByName(longer).distinct())
-        grown = known.count()
-        if grown == size:
+        fresh = checkpointed(led_on(known).join(known, [source, target], "left_anti"))
+        if fresh.isEmpty():
             return known
-        size = grown
+        exact = checkpointed(led_on(exact))
+        known = known.unionByName(fresh)
 
 
 def dependents(edges: DataFrame, source: str, target: str) -> DataFrame:

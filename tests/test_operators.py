@@ -174,3 +174,18 @@ def test_lint_of_references(spark):
         ("column twice", "a.b.c"), ("question twice", "a.q"), ("id twice", "r1"), ("id twice", "r2"), ("unknown field", "r1: d"), ("unknown reference", "r1: a.b.d"),
         ("unknown scope", "k: z"), ("a rule and no criterion", "k"), ("key too long", "x" * 40),
     ])
+
+
+def test_reachable_meets_each_pair_of_a_chain_once(spark, monkeypatch):
+    written = []
+
+    def counted(df):
+        df = checkpointed(df)
+        written.append(df.count())
+        return df
+
+    checkpointed = graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", counted)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(64)], "s int, t int")
+    assert graph.reachable(chain, "s", "t").count() == 64 * 65 // 2
+    assert sum(written) <= 64 * 65
