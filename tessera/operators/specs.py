@@ -12,6 +12,11 @@ def repeated(rows: DataFrame, by: list[str], order: str) -> DataFrame:
     return rows.withColumn("_nth", nth).where("_nth = 2").drop("_nth")
 
 
+def twice(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Every key that occurs more than once, once: counted before the shuffle, so no order is needed where only the key is told."""
+    return rows.groupBy(*by).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+
+
 def unknown(refs: DataFrame, declared: DataFrame, ref: list[str], key: list[str]) -> DataFrame:
     """References to what is not declared."""
     names = declared.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(key)]).distinct()
@@ -34,13 +39,13 @@ def lint(sections: DataFrame, blocks: DataFrame, edges: DataFrame, requirements:
     loops = cyclic(edges.where("section <> depends_on").select(*inner), "_s", "_t").select(F.split("node", "/", 2)[0].alias("spec"), F.split("node", "/", 2)[1].alias("section"))
     found = [
         say(sections.where(F.char_length("section") > longest), "key too long", F.col("section")),
-        say(repeated(sections, ["spec", "section"], "position"), "section twice", F.col("section")),
-        say(repeated(blocks, ["spec", "section", "block"], "position"), "block twice", here),
+        say(twice(sections, ["spec", "section"]), "section twice", F.col("section")),
+        say(twice(blocks, ["spec", "section", "block"]), "block twice", here),
         say(unknown(sections, blocks, ["spec", "section"], ["spec", "section"]).dropDuplicates(["spec", "section"]), "section without blocks", F.col("section")),
         say(edges.where("section = depends_on"), "depends on itself", F.col("section")),
         say(unknown(edges, sections, ["spec", "depends_on"], ["spec", "section"]), "unknown dependency", F.concat_ws(" -> ", "section", "depends_on")),
         say(loops, "cycle", F.col("section")),
-        say(repeated(requirements, ["spec", "id"], "position"), "requirement twice", F.col("id")),
+        say(twice(requirements, ["spec", "id"]), "requirement twice", F.col("id")),
         say(unknown(requirements, blocks, ["spec", "section", "block"], ["spec", "section", "block"]), "unknown block", F.concat_ws(": ", F.col("id"), here)),
     ]
     out = found[0]
@@ -65,13 +70,12 @@ def lint_references(sections: DataFrame, columns: DataFrame, questions: DataFram
     say = lambda df, rule, subject: df.select("spec", F.lit(rule).alias("rule"), subject.alias("subject"))
     place = F.concat_ws(".", "section", "block", "column")
     targets = columns.select("spec", place.alias("target"))
-    ids = requirements.select("spec", "id", F.lit(0).alias("_of"), "position").unionByName(criteria.select("spec", "id", F.lit(1).alias("_of"), "position"))
-    ids = ids.withColumn("_order", F.struct("_of", "position"))
+    ids = requirements.select("spec", "id").unionByName(criteria.select("spec", "id"))
     long = lambda df, key: say(df.where(F.char_length(key) > longest).select("spec", key).distinct(), "key too long", F.substring(key, 1, 40))
     found = [
-        say(repeated(columns, ["spec", "section", "block", "column"], "position"), "column twice", place),
-        say(repeated(questions, ["spec", "section", "question"], "position"), "question twice", F.concat_ws(".", "section", "question")),
-        say(repeated(ids, ["spec", "id"], "_order"), "id twice", F.col("id")),
+        say(twice(columns, ["spec", "section", "block", "column"]), "column twice", place),
+        say(twice(questions, ["spec", "section", "question"]), "question twice", F.concat_ws(".", "section", "question")),
+        say(twice(ids, ["spec", "id"]), "id twice", F.col("id")),
         say(unknown(requirements.where("field is not null"), columns, ["spec", "section", "block", "field"], ["spec", "section", "block", "column"]), "unknown field", F.concat_ws(": ", "id", "field")),
         say(unknown(requirements.where("references is not null"), targets, ["spec", "references"], ["spec", "target"]), "unknown reference", F.concat_ws(": ", "id", "references")),
         say(unknown(scopes, sections, ["spec", "section"], ["spec", "section"]), "unknown scope", F.concat_ws(": ", "id", "section")),

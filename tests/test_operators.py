@@ -189,3 +189,10 @@ def test_reachable_meets_each_pair_of_a_chain_once(spark, monkeypatch):
     chain = spark.createDataFrame([(i, i + 1) for i in range(64)], "s int, t int")
     assert graph.reachable(chain, "s", "t").count() == 64 * 65 // 2
     assert sum(written) <= 64 * 65
+
+
+def test_repeated_keys_are_counted_and_not_sorted(spark):
+    from tessera.plans.registry import QUERIES
+
+    plan = QUERIES["lint_orders"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
