@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.batches import pieces
 
 HITS_A_PASSAGE = 200
 HITS_A_COMMAND = 400
@@ -94,7 +95,7 @@ def hits(passages: DataFrame, key: str, text: str, pattern: str, *, timeout: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = compiled(pattern)
-        for batch in batches:
+        for batch in pieces(batches, 1):
             who, rows = [], []
             for i, text_of in enumerate(batch.column(1).to_pylist()):
                 if text_of is None:

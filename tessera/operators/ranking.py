@@ -24,6 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.functions import stemming
 from tessera.functions import words as W
+from tessera.functions.batches import pieces
 from tessera.session import checkpointed
 
 BLOCK_BYTES = 8 << 20
@@ -87,7 +88,7 @@ def _listed(passages: DataFrame, block: _Block, words: Words) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, words = told.value
         stems = stemming.Stems()
-        for batch in batches:
+        for batch in pieces(batches, 2):
             rows = []
             for lang, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 found = words.of(text or "", lang, stems)

@@ -7,12 +7,15 @@ of the headings above it.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from tessera.functions.batches import each_text
+
 UNIT = "struct<kind:string,text:string,path:array<string>>"
 # What a file is, by its extension first and its media type else.
 FORMATS = {
@@ -49,7 +52,7 @@ _HEADING = re.compile(r"(#{1,6})\s+(\S.*?)\s*#*\s*$")
 
 
 @F.pandas_udf(ArrayType(StructType([StructField("kind", StringType()), StructField("text", StringType()), StructField("path", ArrayType(StringType()))])))
-def text_units(texts: pd.Series) -> pd.Series:
+def text_units(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Blank lines end a unit; a heading of one to six ``#`` is its own and stands above what follows.
 
     One pass over a text's lines, whatever its length; a null text has no units.
@@ -80,7 +83,7 @@ def text_units(texts: pd.Series) -> pd.Series:
         close()
         return units
 
-    return texts.map(of)
+    return each_text(of)(columns)
 
 
 def _cells(line: Column, delimiter: str, quoted: Column) -> Column:
