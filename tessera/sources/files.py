@@ -6,10 +6,12 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.batches import pieces
 from tessera.sources import mail, office, pages, plain
 
 MOST_BYTES = 25 << 20
@@ -32,8 +34,12 @@ def _composed(rows: DataFrame) -> DataFrame:
         return text if text is None or text.isascii() else unicodedata.normalize("NFC", text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, at):
             column = batch.column(at)
+            units = column.flatten()
+            if all(pc.all(pc.string_is_ascii(c)).as_py() is not False for c in (units.field("text"), units.field("path").flatten())):
+                yield batch
+                continue
             own = [None if units is None else [{**u, "text": nfc(u["text"]), "path": u["path"] and [nfc(p) for p in u["path"]]} for u in units] for units in column.to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(own, column.type))
 
@@ -41,11 +47,12 @@ def _composed(rows: DataFrame) -> DataFrame:
 
 
 def _with_clean(rows: DataFrame) -> DataFrame:
-    """Rows whose units have clean, composed texts; units that are blank then are gone. Only rows beyond ASCII are composed."""
+    """Rows whose units have clean, composed texts; units that are blank then are gone.
+
+    In one pass: to take rows beyond ASCII apart would read every file twice.
+    """
     clean = F.transform("units", lambda u: u.withField("text", T.plain_clean(u["text"])))
-    rows = rows.withColumn("units", F.filter(clean, lambda u: F.btrim(u["text"]) != ""))
-    needs = F.coalesce(F.exists("units", lambda u: u["text"].rlike(T.BEYOND_ASCII)), F.lit(False))
-    return rows.where(~needs).unionByName(_composed(rows.where(needs)))
+    return _composed(rows.withColumn("units", F.filter(clean, lambda u: F.btrim(u["text"]) != "")))
 
 
 def read(found: DataFrame, *, key: str = "path", media: str | None = None) -> DataFrame:
