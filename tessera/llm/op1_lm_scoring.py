@@ -10,13 +10,14 @@ Both softmaxes are taken whole, by batched matrix products, so probabilities are
 normalised exactly over all outcomes. Within a shared class words have
 discounted relative frequencies, and one share is left for unknown words.
 
-Counts of words cover all training texts and stay in Spark. The vectors are
-trained on one in ``SHARE`` of all training tokens at every size, chosen by a hash
-of the row's key, the text and the place. Examples are dealt by hash to groups of about
-``GROUP``; each group runs noise-contrastive steps in numpy, with noise sampled by
+Counts of words cover all training texts and stay in Spark. The vectors learn
+from every training token once. Texts are dealt as codes, in pieces of ``PIECE``
+tokens with those before them, by a hash of the row's key, the text and the
+piece's number, to ``SHARE`` rounds and in each to groups of about ``GROUP``
+tokens; each group runs noise-contrastive steps in numpy, with noise sampled by
 frequency, from common parameters, which are averaged in two levels by slices
-after each round. What is chosen and how it is dealt depends on the rows alone,
-not on how the table is laid out.
+after each round. How pieces are dealt depends on the rows alone, not on how the
+table is laid out.
 """
 
 from __future__ import annotations
@@ -42,17 +43,17 @@ HEAD = 1 << 18
 CONTEXT = 3
 WIDTH = 32
 CLASS_NOISE = 64
-WORD_NOISE = 4
-SHARE = 16
-ROUNDS = 3
+WORD_NOISE = 16
+SHARE = 3  # rounds, each on another one in SHARE of the tokens
+PIECE = 1 << 10
 LEAST_STEPS = 24
-BATCH = 4096
+BATCH = 1 << 14
 RATE = 0.1
 SEEN = 1.0
 SLICE = 1 << 14
 WORDS_KEPT = 1 << 19
-EXAMPLES_KEPT = 1 << 17
-GROUP = 1 << 18
+EXAMPLES_KEPT = 1 << 20
+GROUP = 1 << 20
 LEVEL = 64
 TOKENS_AT_ONCE = 1 << 12
 SEED = 11
@@ -162,12 +163,17 @@ def contexts(codes: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
 def scatter(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different ``rows``, and the sums of their values."""
     order = np.argsort(rows, kind="stable")
-    cuts = np.flatnonzero(np.diff(rows[order], prepend=-1))
-    return rows[order[cuts]], np.add.reduceat(values[order], cuts, axis=0)
+    cuts = np.flatnonzero(np.diff(rows[order].astype(np.int64), prepend=-1))
+    return rows[order[cuts]].astype(np.int64), np.add.reduceat(values.take(order, axis=0), cuts, axis=0)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """In the place of ``x``."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _log_softmax(z: np.ndarray, chosen: np.ndarray, wide: bool) -> np.ndarray:
@@ -248,35 +254,60 @@ class Model:
         return out
 
     def gradients(self, context: np.ndarray, codes: np.ndarray, rng: np.random.Generator) -> list[tuple]:
-        """Of the noise-contrastive objective, for each part: rows and their gradients, ``...`` for all rows."""
+        """Of the noise-contrastive objective, for each part: rows and their gradients, ``...`` for all rows.
+
+        Examples go in order of their codes, so that those of a class stand together and share its noise.
+        """
         embed, places, of_class, class_bias, of_word, word_bias = self.parts
-        r = self.predicted(context)
+        order = np.argsort(codes.astype(np.uint16), kind="stable")
+        codes, context = codes[order], context[order]
+        near = [embed.take(context[:, k], axis=0) for k in range(CONTEXT)]
+        r = sum(near[k] @ places[k] for k in range(CONTEXT))
         cls = self.class_of[codes]
         noise = rng.choice(len(self.class_share), CLASS_NOISE, p=self.class_share)
         ask = np.log(CLASS_NOISE * self.class_share).astype(np.float32)
-        true = 1 - _sigmoid((r * of_class[cls]).sum(axis=1) + class_bias[cls] - ask[cls])
-        false = -_sigmoid(r @ of_class[noise].T + class_bias[noise] - ask[noise])
-        dr = true[:, None] * of_class[cls] + false @ of_class[noise]
-        rows, values = scatter(np.concatenate([cls, noise]), np.concatenate([np.column_stack([true[:, None] * r, true]), np.column_stack([false.T @ r, false.sum(axis=0)])]))
+        of_true = of_class.take(cls, axis=0)
+        true = 1 - _sigmoid(np.einsum("nd,nd->n", r, of_true) + (class_bias - ask)[cls])
+        false = r @ of_class[noise].T
+        false += (class_bias - ask)[noise]
+        np.negative(_sigmoid(false), out=false)
+        dr = true[:, None] * of_true + false @ of_class[noise]
+        cuts = np.flatnonzero(np.diff(cls, prepend=-1))
+        of_noise = np.column_stack([false.T @ r, false.sum(axis=0)])
+        told = np.column_stack([np.add.reduceat(true[:, None] * r, cuts, axis=0), np.add.reduceat(true, cuts)])
+        rows, values = scatter(np.concatenate([cls[cuts], noise]), np.concatenate([told, of_noise]))
         out = [None, None, (rows, values[:, :-1]), (rows, values[:, -1])]
-        own = np.flatnonzero(codes < self.own)
-        c, w, rw = cls[own], codes[own], r[own]
-        u = self.mass[c][:, None] + rng.random((len(own), WORD_NOISE)) * np.diff(self.mass)[c][:, None]
-        drawn = np.minimum(np.searchsorted(self.upto, u.ravel(), side="right") - 1, self.own - 1).reshape(u.shape)
-        every = np.column_stack([w, drawn])
-        vectors = of_word[every]
-        score = np.einsum("nd,nkd->nk", rw, vectors) + word_bias[every] - np.log(WORD_NOISE * self.word_share[every]).astype(np.float32)
-        g = -_sigmoid(score)
-        g[:, 0] += 1
-        dr[own] += np.einsum("nk,nkd->nd", g, vectors)
-        if len(own):
-            rows, values = scatter(every.ravel(), np.concatenate([g[:, :, None] * rw[:, None, :], g[:, :, None]], axis=2).reshape(-1, WIDTH + 1))
+        own = int(np.searchsorted(codes, self.own))
+        if own:
+            w, rw, c = codes[:own], r[:own], cls[:own]
+            ends = np.append(np.flatnonzero(np.diff(c)) + 1, own)
+            met = c[ends - 1]
+            u = self.mass[met][:, None] + rng.random((len(met), WORD_NOISE)) * np.diff(self.mass)[met][:, None]
+            drawn = np.minimum(np.searchsorted(self.upto, u.ravel(), side="right") - 1, self.own - 1).reshape(u.shape)
+            shift = word_bias - np.log(WORD_NOISE * self.word_share).astype(np.float32)
+            of_true = of_word.take(w, axis=0)
+            true = 1 - _sigmoid(np.einsum("nd,nd->n", rw, of_true) + shift[w])
+            dr[:own] += true[:, None] * of_true
+            vectors, biases = of_word[drawn], shift[drawn]
+            of_noise = np.empty((*drawn.shape, WIDTH + 1), np.float32)
+            low = 0
+            for i, high in enumerate(ends.tolist()):
+                false = -_sigmoid(rw[low:high] @ vectors[i].T + biases[i])
+                dr[low:high] += false @ vectors[i]
+                of_noise[i, :, :-1], of_noise[i, :, -1] = false.T @ rw[low:high], false.sum(axis=0)
+                low = high
+            cuts = np.flatnonzero(np.diff(w, prepend=-1))
+            told = np.column_stack([np.add.reduceat(true[:, None] * rw, cuts, axis=0), np.add.reduceat(true, cuts)])
+            rows, values = scatter(np.concatenate([w[cuts], drawn.ravel()]), np.concatenate([told, of_noise.reshape(-1, WIDTH + 1)]))
             out += [(rows, values[:, :-1]), (rows, values[:, -1])]
         else:
-            out += [(every.ravel(), of_word[:0]), (every.ravel(), word_bias[:0])]
-        back = np.concatenate([dr @ places[k].T for k in range(CONTEXT)])
-        out[0] = scatter(context.T.ravel(), back)
-        out[1] = (..., np.stack([embed[context[:, k]].T @ dr for k in range(CONTEXT)]))
+            out += [(codes[:0], of_word[:0]), (codes[:0], word_bias[:0])]
+        back = np.zeros_like(embed)
+        for k in range(CONTEXT):
+            rows, values = scatter(context[:, k].astype(np.uint16), dr)
+            back[rows] += values @ places[k].T
+        out[0] = (..., back)
+        out[1] = (..., np.stack([near[k].T @ dr for k in range(CONTEXT)]))
         return out
 
     def stepped(self, examples: np.ndarray, rate: float, rng: np.random.Generator) -> None:
@@ -292,25 +323,26 @@ class Model:
         size = min(BATCH, len(examples))
         for step in range(steps):
             at = step * size % len(examples)
-            some = examples[order[at : at + size]]
+            some = examples[order[at : at + size]].astype(np.int64)
             for p, s, (rows, g) in zip(self.parts, self.seen, self.gradients(some[:, :CONTEXT], some[:, CONTEXT], rng), strict=True):
                 s[rows] += g * g
                 p[rows] += rate * g / np.sqrt(s[rows])
         self.placed = None
 
 
-def train(examples: DataFrame, counts: np.ndarray) -> Model:
-    """Fits on packed ``examples`` by group; every round averages what the groups' own steps give, by slices of the parameters.
+def train(pieces: DataFrame, counts: np.ndarray) -> Model:
+    """Fits on the ``pieces`` of texts by group, in SHARE rounds, each on its own pieces; every round averages what the groups' own steps give, by slices of the parameters.
 
     Slices are added up for ``LEVEL`` groups at a time and then for all of them, so what
     meets in a task is the square root of what there is.
     """
-    sc = examples.sparkSession.sparkContext
+    sc = pieces.sparkSession.sparkContext
     model = Model(counts)
     schema = "level long, number long, at long, part binary, weight double"
-    for k in range(ROUNDS):
+    for k in range(SHARE):
         sent = sc.broadcast((counts, model.packed()))
-        parts = examples.groupBy("group").applyInArrow(_round(sent, k), schema).groupBy("level", "at").applyInArrow(_added, schema)
+        own = pieces.where(F.col("round") == k).drop("round")
+        parts = own.groupBy("group").applyInArrow(_round(sent, k), schema).groupBy("level", "at").applyInArrow(_added, schema)
         flat = sent.value[1].copy()
         for p in parts.groupBy("level", "at").applyInArrow(_added, schema).collect():  # one model
             flat[p.at : p.at + SLICE] = (np.frombuffer(p.part, np.float64) / p.weight).astype(np.float32)
@@ -318,6 +350,27 @@ def train(examples: DataFrame, counts: np.ndarray) -> Model:
     return model
 
 
+def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.concatenate([np.frombuffer(blob.as_buffer(), kind) for blob in column])
+
+
+def _moved(sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Where the entries of pieces of some sizes are if the pieces stand in ``order``."""
+    s = sizes[order]
+    return np.repeat((np.cumsum(sizes) - sizes)[order] - (np.cumsum(s) - s), s) + np.arange(s.sum())
+
+
+def examples_of(group: pa.Table) -> np.ndarray:
+    """The tokens of a group's pieces, each with the tokens before it, the nearest first; the same order however the pieces came."""
+    lots, sizes, codes = _joined(group.column("lots"), np.uint64), _joined(group.column("sizes"), np.int32).astype(np.int64), _joined(group.column("codes"), np.uint16)
+    order = np.argsort(lots, kind="stable")  # pieces of one lot are equal
+    codes, sizes = codes[_moved(sizes, order)], sizes[order]
+    is_token = np.ones(len(codes), bool)
+    is_token[((np.cumsum(sizes) - sizes)[:, None] + np.arange(CONTEXT)).ravel()] = False
+    at = np.flatnonzero(is_token)
+    return np.column_stack([*(codes[at - k] for k in range(1, CONTEXT + 1)), codes[at]])
+
+
 def _round(sent, k: int) -> Callable[[pa.Table], pa.Table]:
     """A group's own steps of round ``k``, from the parameters sent: its parameters times its examples, by slices."""
 
@@ -325,8 +378,7 @@ def _round(sent, k: int) -> Callable[[pa.Table], pa.Table]:
         own = Model(sent.value[0])
         own.unpack(sent.value[1])
         number = group.column("group")[0].as_py()
-        found = np.concatenate([np.frombuffer(blob.as_py(), np.int32).reshape(-1, CONTEXT + 1) for blob in group.column("tokens")])
-        found = found[np.lexsort(found.T)]  # the same order however they came
+        found = examples_of(group)
         own.stepped(found, RATE / math.sqrt(1 + k), np.random.default_rng([SEED, k, number]))
         flat = own.packed()
         lows = range(0, len(flat), SLICE)
@@ -391,40 +443,45 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folds: in
     shares[:own] = 0.0
     head = sc.broadcast(Head(names.astype(np.int64).view(np.uint64), times, np.append(shares, 0.0), own))
     groups = max(1, -(-int(tokens) // (SHARE * GROUP)))
-    examples = keep(training.mapInArrow(lambda it: _examples(it, head.value, groups), "group long, tokens binary"), "lm-examples")
-    model = train(examples, of_code)
+    pieces = keep(training.mapInArrow(lambda it: _pieces(it, head.value, groups), "group long, round int, lots binary, sizes binary, codes binary"), "lm-pieces")
+    model = train(pieces, of_code)
     return _scored(rows, counts, head, (of_code, model.packed()), (tokens, words), (discount, sums, unseen)).withColumnRenamed("doc", key)
 
 
-def _examples(batches: Iterator[pa.RecordBatch], head: Head, groups: int) -> Iterator[pa.RecordBatch]:
-    """One in SHARE of the tokens with the tokens before them, as codes, by group; chosen and dealt by hash."""
-    kept, dealt, total = [], [], 0
+def _pieces(batches: Iterator[pa.RecordBatch], head: Head, groups: int) -> Iterator[pa.RecordBatch]:
+    """All texts as codes, in pieces of PIECE tokens after the CONTEXT before them, by group and round; dealt by hash."""
+    kept, total = [], 0
 
     def packed() -> pa.RecordBatch:
-        codes, group = np.concatenate(kept).astype(np.int32), np.concatenate(dealt)
-        order = np.argsort(group, kind="stable")
-        found, cuts = np.unique(group[order], return_index=True)
-        blobs = [part.tobytes() for part in np.split(codes[order], cuts[1:])]
-        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(blobs, pa.binary())], ["group", "tokens"])
+        lots, sizes, codes = (np.concatenate(x) for x in zip(*kept, strict=True))
+        dealt = (mix(lots + np.uint64(SEED)) % np.uint64(groups)).astype(np.int64) * SHARE + (lots % np.uint64(SHARE)).astype(np.int64)
+        order = np.argsort(dealt, kind="stable")
+        codes, lots, sizes, dealt = codes[_moved(sizes, order)], lots[order], sizes[order], dealt[order]
+        cuts = np.flatnonzero(np.diff(dealt, prepend=-1))
+        ends = np.append(cuts[1:], len(dealt))
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        sizes = sizes.astype(np.int32)
+        blobs = [[lots[a:b].tobytes(), sizes[a:b].tobytes(), codes[upto[a] : upto[b]].tobytes()] for a, b in zip(cuts, ends, strict=True)]
+        numbers = [pa.array(dealt[cuts] // SHARE), pa.array((dealt[cuts] % SHARE).astype(np.int32))]
+        return pa.RecordBatch.from_arrays(numbers + [pa.array(x, pa.binary()) for x in zip(*blobs, strict=True)], ["group", "round", "lots", "sizes", "codes"])
 
     for part, t in _tokens(batches, 0):
-        # A token's hash is of its row's key, its text's words and its place.
-        sizes = np.diff(t.first)
+        # A piece's hash is of its row's key, its text's words and its number.
+        own = -(-np.diff(t.first) // PIECE)
+        text = np.repeat(np.arange(len(own)), own)
+        number = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
         whole = np.add.reduceat(t.names, t.first[:-1]) + part.column(1).to_numpy().view(np.uint64)
-        place = np.arange(len(t.names)) - np.repeat(t.first[:-1], sizes)
-        lot = mix(np.repeat(whole, sizes) + mix(place.astype(np.uint64)))
-        some = np.flatnonzero(lot % np.uint64(SHARE) == 0)
-        begin = t.first[np.searchsorted(t.first, some, side="right") - 1]
-        at = some[:, None] - np.array([*range(1, CONTEXT + 1), 0])  # the nearest first, then the token itself
-        here = np.maximum(at, 0)
-        codes = head.codes(Tokens(None, t.shared[here], None), head.places(t.names[here].ravel()).reshape(here.shape))
-        kept.append(np.where(at >= begin[:, None], codes, head.own + SHARED))
-        dealt.append((mix(lot[some] + np.uint64(SEED)) % np.uint64(groups)).astype(np.int64))
-        total += len(some)
+        begin = t.first[:-1][text] + number * PIECE
+        sizes = np.minimum(begin + PIECE, t.first[1:][text]) - begin + CONTEXT
+        at = np.repeat(begin - CONTEXT - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        codes = head.codes(t, head.places(t.names))[np.maximum(at, 0)]
+        codes[at < np.repeat(t.first[:-1][text], sizes)] = head.own + SHARED
+        kept.append((mix(whole[text] + mix(number.astype(np.uint64))), sizes, codes.astype(np.uint16)))
+        total += len(codes)
         if total > EXAMPLES_KEPT:
             yield packed()
-            kept, dealt, total = [], [], 0
-    if total:
+            kept, total = [], 0
+    if kept:
         yield packed()
 
 

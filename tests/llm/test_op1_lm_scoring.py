@@ -138,3 +138,25 @@ def test_scores_do_not_depend_on_the_layout(spark, monkeypatch, groups, folder="
         assert other.keys() == found[0].keys()
         for k, (n, known, score) in other.items():
             assert (n, known) == found[0][k][:2] and score == pytest.approx(found[0][k][2], rel=1e-6)
+
+
+def test_every_training_token_is_learned_from_once(spark, odd_docs, odd_rows, monkeypatch):
+    """The examples of all rounds and groups are the tokens of the training texts, each with the three before it."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm, "PIECE", 64)
+    monkeypatch.setattr(lm, "GROUP", 500)
+    given = {}
+    train = lm.train
+    monkeypatch.setattr(lm, "train", lambda pieces, counts: given.update(pieces=pieces, model=lm.Model(counts)) or train(pieces, counts))
+    tokens = lm.score(odd_docs).first().train_tokens
+    rows = given["pieces"].toArrow()
+    assert len({(r["group"], r["round"]) for r in rows.to_pylist()}) > 2 * lm.SHARE
+    found = Counter(tuple(x) for x in lm.examples_of(rows).tolist())
+    assert sum(found.values()) == tokens
+    start, lengths = given["model"].start, Counter()
+    for k, t in odd_rows:
+        if k is None or zlib.crc32(str(k).encode()) % 7 != 2:
+            lengths[min(2, len(lm.Tokens.of(pa.array([(t or "").encode()], pa.binary()), 0, 1).names) - 1)] += 1
+    assert sum(n for (a, *_), n in found.items() if a == start) == sum(lengths.values())  # a first token for each text, even where it is cut
+    assert sum(n for (_, b, *_), n in found.items() if b == start) == sum(n * (1 + (k > 0)) for k, n in lengths.items())
