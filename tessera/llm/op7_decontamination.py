@@ -1,6 +1,6 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-A randomised singular value decomposition of TF-IDF passages, computed over
+A randomised singular value decomposition of all TF-IDF passages, computed over
 Spark partitions, gives every word a place in a latent space of fixed rank. Its
 vocabulary is that of the corpus, hashed to ``FEATURES``, so words that stand
 with the same other words lie near each other and a paraphrase comes near its
@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +40,8 @@ GROUP_BYTES = 32 << 20
 FEATURES = 1 << 13
 RANK = 64
 OVERSAMPLED = 8
-SAMPLE_DOCS = 20_000
-SAMPLE_TASKS = 8
 FEATURES_A_ROW = 512
+LEVEL = 64
 STEP = 16
 WINDOWS = (2, 4)  # in steps, powers of two
 PASSAGE = 32
@@ -335,72 +335,71 @@ def _holding(row: np.ndarray, gain: np.ndarray, ids: np.ndarray, before: np.ndar
     return out
 
 
-def decompose(sample: DataFrame, items: list[np.ndarray], idf: np.ndarray, feature: np.ndarray) -> Space:
-    """The right singular vectors of the TF-IDF matrix of the sample's passages and the items.
+def decompose(texts: DataFrame, items: list[np.ndarray], idf: np.ndarray, feature: np.ndarray) -> Space:
+    """The right singular vectors of the TF-IDF matrix of all passages of ``texts`` and the items.
 
-    A random test matrix goes through the matrix and back in every partition;
-    the sums come together by blocks of features. The range found that way is
-    made orthonormal on the driver, and a second pass sums the small matrix
-    whose eigenvectors turn it into singular vectors. Both matrices have
-    FEATURES and about RANK rows or columns, whatever the corpus. A direction
+    A random test matrix goes through the matrix and back in every partition,
+    in one pass over the texts; the sums come together by blocks of features,
+    the last of which has the passages' mean. From what comes back (Y = G T for
+    the test matrix T and the matrix G of products of features) the driver takes
+    Nystroem's approximation of G, Y (T'Y)^-1 Y', and its eigenvectors. All these
+    have FEATURES and about RANK rows or columns, whatever the corpus. A direction
     with more than COMMON of its energy in the passages' mean is left out.
     """
     rank = RANK + OVERSAMPLED
     test = np.random.default_rng(SEED).standard_normal((FEATURES, rank)).astype(np.float32)
-    sc = sample.sparkSession.sparkContext
+    sc = texts.sparkSession.sparkContext
 
-    def through(batches: Iterator[pa.RecordBatch], space: Space) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space = test_of.value
+        total, times, n = np.zeros((FEATURES, rank)), np.zeros(FEATURES), 0
         for batch in batches:
             for low, high in _pieces(batch.column(0)):
                 ids, first = _numbered(batch.column(0), low, high)
                 begin, end, _ = _passages(first, PASSAGE, PASSAGE)
-                if len(begin):
-                    yield space.features(ids), np.repeat(np.arange(len(begin)), end - begin), space.sums(ids, begin, end)
-
-    def back(features: np.ndarray, who: np.ndarray, placed: np.ndarray, total: np.ndarray) -> None:
-        for low in range(0, len(features), WORDS_MULTIPLIED):
-            order = low + np.argsort(features[low : low + WORDS_MULTIPLIED], kind="stable")
-            cuts = np.flatnonzero(np.diff(features[order], prepend=-1))
-            total[features[order[cuts]]] += np.add.reduceat(placed[who[order]], cuts, axis=0)
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((FEATURES, rank))
-        for features, who, placed in through(batches, test_of.value):
-            back(features, who, placed, total)
-        for low in range(0, FEATURES, FEATURES_A_ROW):
-            yield pa.RecordBatch.from_arrays([pa.array([low]), pa.array([total[low : low + FEATURES_A_ROW].tobytes()], pa.binary())], ["at", "part"])
+                if not len(begin):
+                    continue
+                features, who, placed = space.features(ids), np.repeat(np.arange(len(begin)), end - begin), space.sums(ids, begin, end)
+                order = np.argsort(features.astype(np.uint16), kind="stable")
+                cuts = np.flatnonzero(np.diff(features[order], prepend=-1))
+                total[features[order[cuts]]] += np.add.reduceat(placed.take(who[order], axis=0), cuts, axis=0)
+                times += np.bincount(features, minlength=FEATURES)
+                n += len(begin)
+        if n:
+            level = pa.array([TaskContext.get().partitionId() // LEVEL])
+            for low in range(0, FEATURES, FEATURES_A_ROW):
+                yield pa.RecordBatch.from_arrays([level, pa.array([low]), pa.array([total[low : low + FEATURES_A_ROW].tobytes()], pa.binary())], ["level", "at", "part"])
+            yield pa.RecordBatch.from_arrays([level, pa.array([FEATURES]), pa.array([np.append(times, n).tobytes()], pa.binary())], ["level", "at", "part"])
 
     def added(parts: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py()) for x in parts.column("part"))
-        return pa.table({"at": parts.column("at")[:1], "part": pa.array([total.tobytes()], pa.binary())})
-
-    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((rank + 2, rank))
-        for _, _, placed in through(batches, range_of.value):
-            total[:-2] += placed.T.astype(np.float64) @ placed
-            total[-2] += placed.sum(axis=0)
-            total[-1] += len(placed)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
-
-    def of_items() -> Iterator[np.ndarray]:
-        for low in range(0, len(items), ITEMS_A_BLOCK):
-            own = np.zeros((len(items[low : low + ITEMS_A_BLOCK]), FEATURES))
-            for k, features in enumerate(items[low : low + ITEMS_A_BLOCK]):
-                np.add.at(own[k], features, idf[features])
-            yield own
+        total = sum(np.frombuffer(x.as_buffer()) for x in parts.column("part"))
+        return pa.table({"level": parts.column("level")[:1], "at": parts.column("at")[:1], "part": pa.array([total.tobytes()], pa.binary())})
 
     test_of = sc.broadcast(Space(feature, test * idf[:, None].astype(np.float32)))
-    y = sum(own.T @ (own @ test) for own in of_items())
-    for p in sample.mapInArrow(sketch, "at long, part binary").groupBy("at").applyInArrow(added, "at long, part binary").collect():  # FEATURES rows in all
-        y[p.at : p.at + FEATURES_A_ROW] += np.frombuffer(p.part).reshape(-1, rank) * idf[p.at : p.at + FEATURES_A_ROW, None]
-    found, _ = np.linalg.qr(y)
-    range_of = sc.broadcast(Space(feature, (found * idf[:, None]).astype(np.float32)))
-    total = sum((np.frombuffer(p.part).reshape(rank + 2, rank) for p in sample.mapInArrow(small, "part binary").collect()), np.zeros((rank + 2, rank)))  # SAMPLE_TASKS rows
-    gram, n = total[:-2] + sum((own @ found).T @ (own @ found) for own in of_items()), max(1.0, total[-1, 0])
-    energy, turn = np.linalg.eigh(gram)
-    energy, turn = energy[::-1][:RANK], turn[:, ::-1][:, :RANK]
-    basis = found @ turn
-    basis[:, (total[-2] @ turn) ** 2 / n > COMMON * energy] = 0  # what passages have in common, as their language, tells them not apart
+    y, mean = np.zeros((FEATURES, rank)), np.zeros(FEATURES)
+    n = 0.0
+    schema = "level long, at long, part binary"
+    parts = texts.mapInArrow(sketch, schema).groupBy("level", "at").applyInArrow(added, schema)  # LEVEL tasks at a time, then all
+    for p in parts.groupBy("at").applyInArrow(added, schema).collect():  # FEATURES rows in all
+        part = np.frombuffer(p.part)
+        if p.at == FEATURES:
+            mean, n = part[:-1] * idf, part[-1]
+        else:
+            y[p.at : p.at + FEATURES_A_ROW] = part.reshape(-1, rank) * idf[p.at : p.at + FEATURES_A_ROW, None]
+    for low in range(0, len(items), ITEMS_A_BLOCK):
+        own = np.zeros((len(items[low : low + ITEMS_A_BLOCK]), FEATURES))
+        for k, features in enumerate(items[low : low + ITEMS_A_BLOCK]):
+            np.add.at(own[k], features, idf[features])
+        y += own.T @ (own @ test)
+    # Y T'Y's inverse square root: its left singular vectors are those of the approximation, its singular values their energies' roots.
+    inner = test.astype(np.float64).T @ y
+    values, turn = np.linalg.eigh((inner + inner.T) / 2)
+    some = values > 1e-7 * max(values.max(), 1e-30)
+    left, root, _ = np.linalg.svd(y @ (turn[:, some] / np.sqrt(values[some])), full_matrices=False)
+    basis, energy = np.zeros((FEATURES, RANK)), np.zeros(RANK)
+    found = min(RANK, len(root))
+    basis[:, :found], energy[:found] = left[:, :found], root[:found] ** 2
+    basis[:, (mean @ basis) ** 2 / max(1.0, n) > COMMON * energy] = 0  # what passages have in common, as their language, tells them not apart
     return Space(feature, (basis * idf[:, None]).astype(np.float32))
 
 
@@ -452,8 +451,7 @@ def contaminated(
     say too little and are left out, as are null ones; with a lower number they
     are searched for like others. Null and empty texts hold nothing. Repeated
     rows are reported each, equal items each. Word positions leave out signs that
-    stand alone. Frequencies cover all documents; only the decomposition is
-    fitted on a sample of about ``SAMPLE_DOCS`` of them, with all items. A
+    stand alone. Frequencies and the decomposition cover all documents and items. A
     benchmark of more than ``GROUP_BYTES`` bytes is searched for in groups of
     about that size, for each of which the texts are read anew.
     """
@@ -514,10 +512,8 @@ def _of_group(rows: DataFrame, group: DataFrame, schema: str, least_words: int)
             df[r.term] = r.docs
     idf = np.log((2.0 + total) / (1.0 + df))
     texts = kept.where("docs is null").select("doc", "ids")
-    share = max(1, total // SAMPLE_DOCS)
-    sample = keep(texts.where(F.pmod(F.xxhash64("doc", F.size("ids")), F.lit(share)) == 0).select("ids").coalesce(SAMPLE_TASKS), "benchmark-sample")
     of_item = {k: np.searchsorted(terms, names[first[k] : first[k + 1]]) for k in usable}
-    space = decompose(sample, [feature[of_item[k]] for k in usable], idf[len(terms) :], feature)
+    space = decompose(texts.select("ids"), [feature[of_item[k]] for k in usable], idf[len(terms) :], feature)
     blocks = []
     for low in range(0, len(usable), ITEMS_A_BLOCK):
         block = usable[low : low + ITEMS_A_BLOCK]

@@ -162,3 +162,28 @@ def test_recall_against_brute_force(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     got = {(r.doc_id, r.item_id) for r in dc.contaminated(frame, spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")).collect()}
     assert len(truth) > 80 and len(truth & got) >= 0.98 * len(truth)
+
+
+def test_space_is_fitted_on_all_texts(spark, monkeypatch):
+    """Of 41,000 documents every one is decomposed."""
+    given = {}
+    decompose = dc.decompose
+    monkeypatch.setattr(dc, "decompose", lambda texts, *more: given.update(n=texts.count()) or decompose(texts, *more))
+    docs = spark.range(41_000).selectExpr("id doc_id", "concat('some words of ', id % 97, ' and ', id % 89) text")
+    items = spark.createDataFrame([(1, "some words of 5 and 7")], "item_id long, text string")
+    got = dc.contaminated(docs, items).where("subsequence = 1").count()
+    assert given["n"] == 41_000 and got == sum(d % 97 == 5 and d % 89 == 7 for d in range(41_000))
+
+
+def test_space_of_known_directions(spark, monkeypatch):
+    """Words of topics of different frequency: the space has the directions of the frequent ones, however texts are dealt."""
+    rng = np.random.default_rng(7)
+    topics = rng.permutation(800).reshape(8, 100)
+    rows = [rng.choice(topics[min(7, int(rng.exponential(2.5)))], 64) for _ in range(4000)]
+    frame = spark.createDataFrame([([-1 - int(w) for w in ids],) for ids in rows], "ids array<int>")
+    counts = np.stack([np.bincount(ids[half * 32 : half * 32 + 32], minlength=800) for ids in rows for half in (0, 1)]).astype(float)
+    truth = np.linalg.eigh(counts.T @ counts)[1][:, ::-1][:, :8]
+    monkeypatch.setattr(dc, "COMMON", 2.0)  # nothing is left out
+    found = [dc.decompose(frame.repartition(n), [], np.ones(dc.FEATURES), np.zeros(0, np.int32)).basis[:800].astype(float) for n in (1, 5)]
+    assert (np.linalg.norm(found[0].T @ truth, axis=0)[:4] > 0.98).all()
+    assert np.abs(np.abs(found[0][:, :4]) - np.abs(found[1][:, :4])).max() < 1e-3
