@@ -71,11 +71,11 @@ def progress_of(asked: DataFrame, section: str = "section") -> DataFrame:
 
 
 def resume_at(steps: DataFrame, document: str = "document") -> DataFrame:
-    """Where a guided document goes on: at the check when complete, at the first waiting question, else at writing."""
+    """Where a guided document goes on, and whether it is completed: at the check when complete, at the first waiting question, else at writing."""
     waiting = F.min(F.when(F.col("waiting"), F.struct("position", "question")))
-    at = steps.groupBy(document).agg(F.bool_and("completed").alias("_done"), waiting.alias("_next"))
-    where = F.when(F.col("_done"), "check").when(F.col("_next").isNotNull(), F.concat(F.lit("question:"), F.col("_next.question"))).otherwise("write")
-    return at.select(document, where.alias("step"))
+    at = steps.groupBy(document).agg(F.bool_and("completed").alias("completed"), waiting.alias("_next"))
+    where = F.when(F.col("completed"), "check").when(F.col("_next").isNotNull(), F.concat(F.lit("question:"), F.col("_next.question"))).otherwise("write")
+    return at.select(document, where.alias("step"), "completed")
 
 
 def assessed(stored: DataFrame, results: DataFrame, run: Column, at: Column) -> DataFrame:
