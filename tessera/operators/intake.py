@@ -32,9 +32,10 @@ def ceiling(n_sections: Column, chars: Column) -> Column:
 def checked(placements: DataFrame, sections: DataFrame, nowhere: str = "nowhere") -> DataFrame:
     """Adds ``state``: placed, unplaced (said to belong nowhere) or discarded (unknown section, quote not in the text)."""
     known = sections.select(F.col("section").alias("_s")).distinct().withColumn("_known", F.lit(True))
-    joined = placements.join(known, F.col("section") == F.col("_s"), "left")
-    good = F.coalesce("_known", F.lit(False)) & T.quoted_from("quote", "text")
-    return joined.withColumn("state", F.when(F.col("section") == nowhere, "unplaced").when(good, "placed").otherwise("discarded")).drop("_s", "_known")
+    told = placements.withColumn("_quoted", T.quoted_from("quote", "text"))  # before the join, so that texts go along only where they are asked for
+    joined = told.join(known, F.col("section") == F.col("_s"), "left")
+    good = F.coalesce("_known", F.lit(False)) & F.col("_quoted")
+    return joined.withColumn("state", F.when(F.col("section") == nowhere, "unplaced").when(good, "placed").otherwise("discarded")).drop("_s", "_known", "_quoted")
 
 
 def merged(placed: DataFrame, by: list[str]) -> DataFrame:
