@@ -101,15 +101,12 @@ def evaluated(spark: SparkSession, folder: str) -> DataFrame:
     tables = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     tables = empty(tables.select(F.concat(F.lit("o"), "o_orderkey").alias("block"), F.lit("table").alias("block_kind"), F.lit(None).cast("string").alias("prose"), "rows"))
     contents = prose.unionByName(tables)
-    rule = lambda df, kind, **params: df.select("block", F.lit(kind).alias("kind"), F.create_map(*[F.lit(x) for kv in params.items() for x in kv]).cast("map<string,string>").alias("params"))
     number = F.substring("block", 2, 20).cast("long")
-    rules = [
-        rule(prose, "length", min_words="60", max_words="300"), rule(prose.where(number % 2 == 0), "present"), rule(prose.where(number % 7 == 0), "tone"),
-        rule(tables, "rows", min="2", max="5"), rule(tables, "fields_filled", fields="line,flag"), rule(tables, "format", field="flag", **{"as": "number"}),
-    ]
-    asked = rules[0]
-    for r in rules[1:]:
-        asked = asked.unionByName(r)
+    rule = lambda kind, **params: F.struct(F.lit(kind).alias("kind"), F.create_map(*[F.lit(x) for kv in params.items() for x in kv]).cast("map<string,string>").alias("params"))
+    asked_of = lambda df, *rules: df.select("block", F.explode(F.array_compact(F.array(*rules))).alias("rule")).select("block", "rule.*")
+    asked = asked_of(prose, rule("length", min_words="60", max_words="300"), F.when(number % 2 == 0, rule("present")), F.when(number % 7 == 0, rule("tone"))).unionByName(
+        asked_of(tables, rule("rows", min="2", max="5"), rule("fields_filled", fields="line,flag"), rule("format", field="flag", **{"as": "number"}))
+    )
     return C.evaluate(asked, contents, ["block"]).select("block", "kind", "outcome", "reason", F.size("evidence").alias("n_evidence"))
 
 
