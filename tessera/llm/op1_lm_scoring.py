@@ -55,7 +55,8 @@ WORDS_KEPT = 1 << 19
 EXAMPLES_KEPT = 1 << 20
 GROUP = 1 << 20
 LEVEL = 64
-TOKENS_AT_ONCE = 1 << 12
+TOKENS_AT_ONCE = 1 << 12  # rows of a product, so that it stays in a core's cache
+TOKENS_TOGETHER = 1 << 16  # rows that are sorted by class together
 SEED = 11
 
 
@@ -167,18 +168,30 @@ def scatter(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return rows[order[cuts]].astype(np.int64), np.add.reduceat(values.take(order, axis=0), cuts, axis=0)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In the place of ``x``."""
+def _sigmoid_of_minus(x: np.ndarray) -> np.ndarray:
+    """The sigmoid of ``-x`` in the place of ``x``."""
     np.clip(x, -30, 30, out=x)
-    np.negative(x, out=x)
     np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
 
+def _with_ones(r: np.ndarray) -> np.ndarray:
+    return np.concatenate([r, np.ones((len(r), 1), np.float32)], axis=1)
+
+
+def _weighted(vectors: np.ndarray, biases: np.ndarray) -> np.ndarray:
+    """What rows that end with a one are multiplied by to get products with the vectors, plus their biases."""
+    return np.concatenate([vectors, biases[:, None]], axis=1).T.copy()
+
+
+def _blocks(begin: int, end: int) -> Iterator[tuple[int, int]]:
+    return ((low, min(low + TOKENS_AT_ONCE, end)) for low in range(begin, end, TOKENS_AT_ONCE))
+
+
 def _log_softmax(z: np.ndarray, chosen: np.ndarray, wide: bool) -> np.ndarray:
     """Logarithms of the chosen outcomes' shares of each row; ``z`` is used up. ``wide`` says that it may be too large for exponentials."""
-    of_chosen = z[np.arange(len(z)), chosen].astype(np.float64)
+    of_chosen = z.ravel().take(np.arange(0, z.size, z.shape[1]) + chosen).astype(np.float64)
     if wide:
         top = z.max(axis=1)
         z -= top[:, None]
@@ -237,20 +250,31 @@ class Model:
             self.placed = [embed @ places[k] for k in range(CONTEXT)]
             self.reach = max(float(np.sqrt((x * x).sum(axis=1).max(initial=0.0))) for x in (of_class, of_word))
             self.offset = max(float(np.abs(x).max(initial=0.0)) for x in (class_bias, word_bias))
+            lows = [c * CLASS_WORDS for c in range(self.blocks)]
+            self.weights = [_weighted(of_class, class_bias), *(_weighted(of_word[a : a + CLASS_WORDS], word_bias[a : a + CLASS_WORDS]) for a in lows)]
         r = self.placed[0].take(context[:, 0], axis=0)
         for k in range(1, CONTEXT):
             r += self.placed[k].take(context[:, k], axis=0)
         cls = self.class_of[codes]
         longest = float(np.sqrt(np.einsum("ij,ij->i", r, r).max(initial=0.0)))
         wide = longest * self.reach + self.offset > 60
-        out = _log_softmax(r @ of_class.T + class_bias, cls, wide)
-        order = np.argsort(cls, kind="stable")
-        r, own = r.take(order, axis=0), codes[order]
-        cuts = np.searchsorted(cls[order], np.arange(self.blocks + 1))
+        order = np.argsort(cls.astype(np.uint16), kind="stable")
+        r, own, sorted_cls = _with_ones(r.take(order, axis=0)), codes[order], cls[order]
+        room = np.empty(min(TOKENS_AT_ONCE, len(r)) * max((w.shape[1] for w in self.weights), default=0), np.float32)
+        found = np.empty(len(r))
+
+        def told(a: int, b: int, weights: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+            z = room[: (b - a) * weights.shape[1]].reshape(b - a, weights.shape[1])
+            return _log_softmax(np.matmul(r[a:b], weights, out=z), chosen, wide)
+
+        for a, b in _blocks(0, len(r)):
+            found[a:b] = told(a, b, self.weights[0], sorted_cls[a:b])
+        cuts = np.searchsorted(sorted_cls, np.arange(self.blocks + 1))
         for c in np.flatnonzero(np.diff(cuts)):
-            a, b, low = cuts[c], cuts[c + 1], c * CLASS_WORDS
-            high = min(low + CLASS_WORDS, self.own)
-            out[order[a:b]] += _log_softmax(r[a:b] @ of_word[low:high].T + word_bias[low:high], own[a:b] - low, wide)
+            for a, b in _blocks(cuts[c], cuts[c + 1]):
+                found[a:b] += told(a, b, self.weights[1 + c], own[a:b] - c * CLASS_WORDS)
+        out = np.empty(len(r))
+        out[order] = found
         return out
 
     def gradients(self, context: np.ndarray, codes: np.ndarray, rng: np.random.Generator) -> list[tuple]:
@@ -262,19 +286,29 @@ class Model:
         order = np.argsort(codes.astype(np.uint16), kind="stable")
         codes, context = codes[order], context[order]
         near = [embed.take(context[:, k], axis=0) for k in range(CONTEXT)]
-        r = sum(near[k] @ places[k] for k in range(CONTEXT))
+        r = near[0] @ places[0]
+        for k in range(1, CONTEXT):
+            r += near[k] @ places[k]
+        r = _with_ones(r)
         cls = self.class_of[codes]
         noise = rng.choice(len(self.class_share), CLASS_NOISE, p=self.class_share)
         ask = np.log(CLASS_NOISE * self.class_share).astype(np.float32)
-        of_true = of_class.take(cls, axis=0)
-        true = 1 - _sigmoid(np.einsum("nd,nd->n", r, of_true) + (class_bias - ask)[cls])
-        false = r @ of_class[noise].T
-        false += (class_bias - ask)[noise]
-        np.negative(_sigmoid(false), out=false)
-        dr = true[:, None] * of_true + false @ of_class[noise]
+        # A vector's last component is its bias, a row's a one.
+        classes = np.concatenate([of_class, (class_bias - ask)[:, None]], axis=1)
+        drawn_classes = classes[noise]
+        against = -drawn_classes.T
+        of_true = classes.take(cls, axis=0)
+        true = 1 - _sigmoid_of_minus(-np.einsum("nd,nd->n", r, of_true))
+        of_true *= true[:, None]
+        dr = of_true  # its last column is of no use
+        of_noise = np.zeros((CLASS_NOISE, WIDTH + 1), np.float32)
+        room = np.empty((min(TOKENS_AT_ONCE, len(r)), CLASS_NOISE), np.float32)
+        for a, b in _blocks(0, len(r)):
+            false = _sigmoid_of_minus(np.matmul(r[a:b], against, out=room[: b - a]))
+            dr[a:b] -= false @ drawn_classes
+            of_noise -= false.T @ r[a:b]
         cuts = np.flatnonzero(np.diff(cls, prepend=-1))
-        of_noise = np.column_stack([false.T @ r, false.sum(axis=0)])
-        told = np.column_stack([np.add.reduceat(true[:, None] * r, cuts, axis=0), np.add.reduceat(true, cuts)])
+        told = np.add.reduceat(true[:, None] * r, cuts, axis=0)
         rows, values = scatter(np.concatenate([cls[cuts], noise]), np.concatenate([told, of_noise]))
         out = [None, None, (rows, values[:, :-1]), (rows, values[:, -1])]
         own = int(np.searchsorted(codes, self.own))
@@ -284,24 +318,29 @@ class Model:
             met = c[ends - 1]
             u = self.mass[met][:, None] + rng.random((len(met), WORD_NOISE)) * np.diff(self.mass)[met][:, None]
             drawn = np.minimum(np.searchsorted(self.upto, u.ravel(), side="right") - 1, self.own - 1).reshape(u.shape)
-            shift = word_bias - np.log(WORD_NOISE * self.word_share).astype(np.float32)
-            of_true = of_word.take(w, axis=0)
-            true = 1 - _sigmoid(np.einsum("nd,nd->n", rw, of_true) + shift[w])
-            dr[:own] += true[:, None] * of_true
-            vectors, biases = of_word[drawn], shift[drawn]
+            words = np.concatenate([of_word, (word_bias - np.log(WORD_NOISE * self.word_share).astype(np.float32))[:, None]], axis=1)
+            of_true = words.take(w, axis=0)
+            true = 1 - _sigmoid_of_minus(-np.einsum("nd,nd->n", rw, of_true))
+            of_true *= true[:, None]
+            dr[:own] += of_true
+            vectors = words[drawn]
+            against = np.ascontiguousarray(-vectors.transpose(0, 2, 1))
+            runs = list(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+            false = np.empty((own, WORD_NOISE), np.float32)
+            for i, (a, b) in enumerate(runs):
+                np.matmul(rw[a:b], against[i], out=false[a:b])
+            np.negative(_sigmoid_of_minus(false), out=false)
             of_noise = np.empty((*drawn.shape, WIDTH + 1), np.float32)
-            low = 0
-            for i, high in enumerate(ends.tolist()):
-                false = -_sigmoid(rw[low:high] @ vectors[i].T + biases[i])
-                dr[low:high] += false @ vectors[i]
-                of_noise[i, :, :-1], of_noise[i, :, -1] = false.T @ rw[low:high], false.sum(axis=0)
-                low = high
+            for i, (a, b) in enumerate(runs):
+                dr[a:b] += false[a:b] @ vectors[i]
+                np.matmul(false[a:b].T, rw[a:b], out=of_noise[i])
             cuts = np.flatnonzero(np.diff(w, prepend=-1))
-            told = np.column_stack([np.add.reduceat(true[:, None] * rw, cuts, axis=0), np.add.reduceat(true, cuts)])
+            told = np.add.reduceat(true[:, None] * rw, cuts, axis=0)
             rows, values = scatter(np.concatenate([w[cuts], drawn.ravel()]), np.concatenate([told, of_noise.reshape(-1, WIDTH + 1)]))
             out += [(rows, values[:, :-1]), (rows, values[:, -1])]
         else:
             out += [(codes[:0], of_word[:0]), (codes[:0], word_bias[:0])]
+        dr = np.ascontiguousarray(dr[:, :-1])
         back = np.zeros_like(embed)
         for k in range(CONTEXT):
             rows, values = scatter(context[:, k].astype(np.uint16), dr)
@@ -525,8 +564,8 @@ def _scored(rows: DataFrame, counts: DataFrame, head, fitted: tuple[np.ndarray,
             codes = h.codes(t, places)
             context = contexts(codes, t.first, model.start)
             lp = h.shares[places]
-            for low in range(0, len(codes), TOKENS_AT_ONCE):
-                some = slice(low, low + TOKENS_AT_ONCE)
+            for low in range(0, len(codes), TOKENS_TOGETHER):
+                some = slice(low, low + TOKENS_TOGETHER)
                 lp[some] += model.log_probabilities(context[some], codes[some]) / math.log(10)
             add = lambda x, t=t: np.add.reduceat(x, t.first[:-1])
             ids = np.arange(row, row + n)

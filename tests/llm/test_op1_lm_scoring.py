@@ -160,3 +160,24 @@ def test_every_training_token_is_learned_from_once(spark, odd_docs, odd_rows, mo
             lengths[min(2, len(lm.Tokens.of(pa.array([(t or "").encode()], pa.binary()), 0, 1).names) - 1)] += 1
     assert sum(n for (a, *_), n in found.items() if a == start) == sum(lengths.values())  # a first token for each text, even where it is cut
     assert sum(n for (_, b, *_), n in found.items() if b == start) == sum(n * (1 + (k > 0)) for k, n in lengths.items())
+
+
+def test_words_of_a_class_are_scored_together(monkeypatch):
+    """A softmax for each block of tokens and each class, not for each class of every block; and the same probabilities."""
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(lm, "TOKENS_AT_ONCE", 256)
+    model = lm.Model(rng.integers(1, 50, 1000 + lm.SHARED) + 1.0)
+    codes = rng.integers(0, 1000 + lm.SHARED, 4096)
+    context = rng.integers(0, 1000 + lm.SHARED + 1, (4096, lm.CONTEXT))
+    sizes, softmax = [], lm._log_softmax
+    monkeypatch.setattr(lm, "_log_softmax", lambda z, *more: sizes.append(len(z)) or softmax(z, *more))
+    got = model.log_probabilities(context, codes)
+    assert len(sizes) <= 4096 // 256 + sum(-(-n // 256) for n in np.bincount(model.class_of[codes])[: model.blocks]) and max(sizes) <= 256
+    of_class, class_bias, of_word, word_bias = (p.astype(np.float64) for p in model.parts[2:])
+    r = model.predicted(context).astype(np.float64)
+    shares = lambda z: np.log(np.exp(z) / np.exp(z).sum(axis=1, keepdims=True))
+    want = shares(r @ of_class.T + class_bias)[np.arange(4096), model.class_of[codes]]
+    for i in np.flatnonzero(codes < model.own):
+        mine = np.flatnonzero(model.class_of[: model.own] == model.class_of[codes[i]])
+        want[i] += shares((r[i] @ of_word[mine].T + word_bias[mine])[None])[0, codes[i] - mine[0]]
+    assert np.allclose(got, want, atol=1e-4) and lm.TOKENS_TOGETHER >= 16 * lm.CLASS_WORDS
