@@ -2,13 +2,16 @@
 
 Phrases go to the tasks in blocks of bounded size; each block is one scan of the
 texts, and no text is moved or joined. A task builds the automaton of a block
-once and keeps it while it works on that block.
+once and keeps it while it works on that block. The few shortest phrases, which
+a text may have at every other place, are sought one by one instead, so that
+their places are not walked in Python.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,25 +20,44 @@ from pyspark.sql import types as S
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.functions import text as T
+from tessera.functions.batches import pieces
 
 BLOCK_CHARS = 1 << 20
 FIRST_WORDS = 8
 
-_built: dict[str, object] = {}
+SHORT_CHARS, SHORT_PHRASES = 4, 64
+PATTERNS_KEPT = 4096
 
 
-def _automaton(block: str, phrases: list[str]) -> object:
-    """The automaton of a broadcast block; a worker holds one at a time."""
+@dataclass
+class _Phrases:
+    """Different phrases with the numbers of the rows that have them: the shortest by themselves, the others as an automaton."""
+
+    short: list[tuple[str, list[int]]]
+    automaton: object | None
+    patterns: dict[int, object] = field(default_factory=dict)  # of rows, as hits ask for them
+
+    def iter(self, text: str) -> Iterator[tuple[int, tuple[int, list[int]]]]:
+        return self.automaton.iter(text) if self.automaton else iter(())
+
+
+_built: dict[str, _Phrases] = {}
+
+
+def _phrases_of(block: str, phrases: list[str]) -> _Phrases:
+    """The phrases of a broadcast block; a worker holds one block at a time."""
     if block not in _built:
         import ahocorasick
 
         places: dict[str, list[int]] = {}
         for n, phrase in enumerate(phrases):
             places.setdefault(phrase, []).append(n)
-        found = ahocorasick.Automaton()
+        short = sorted((p for p in places if len(p) <= SHORT_CHARS), key=len)[:SHORT_PHRASES]
+        found = _Phrases([(p, places.pop(p)) for p in short], ahocorasick.Automaton() if places else None)
         for phrase, at in places.items():
-            found.add_word(phrase, (len(phrase), at))
-        found.make_automaton()
+            found.automaton.add_word(phrase, (len(phrase), at))
+        if places:
+            found.automaton.make_automaton()
         _built.clear()
         _built[block] = found
     return _built[block]
@@ -43,11 +65,11 @@ def _automaton(block: str, phrases: list[str]) -> object:
 
 def _folded(text: str) -> str:
     """Folded so that whatever a search without case takes for the same is the same."""
-    return text.translate({0x130: "i", 0x131: "i"}).casefold()
+    return text.lower() if text.isascii() else text.replace("\u0130", "i").replace("\u0131", "i").casefold()
 
 
-def _scanned(texts: DataFrame, phrases: DataFrame, key: str, phrase_key: str, extra: list[S.StructField], hits: Callable[[object, pa.RecordBatch, list], Iterator[tuple]], fold: Callable[[str], str] = str) -> DataFrame:
-    """Rows of ``key``, ``phrase_key`` and ``extra`` that ``hits`` finds in each batch of ``texts``.
+def _scanned(texts: DataFrame, phrases: DataFrame, key: str, phrase_key: str, extra: list[S.StructField], hits: Callable[[_Phrases, pa.RecordBatch, list], Iterator[tuple]], fold: Callable[[str], str] = str) -> DataFrame:
+    """Rows of ``key``, ``phrase_key`` and ``extra`` that ``hits`` finds in each batch of ``texts``: the numbers of the text and of the phrase, and ``extra``.
 
     ``phrases`` has ``phrase_key``, ``_phrase`` and what else ``hits`` reads of it.
     """
@@ -65,11 +87,15 @@ def _scanned(texts: DataFrame, phrases: DataFrame, key: str, phrase_key: str, ex
 
         def run(batches: Iterator[pa.RecordBatch], told=told, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
             rows = told.value
-            automaton = _automaton(name, [fold(r._phrase) for r in rows])
-            for batch in batches:
-                got = list(hits(automaton, batch, rows))
+            sought = _phrases_of(name, [fold(r._phrase) for r in rows])
+            keys = pa.array([r[0] for r in rows], out.field(1).type)
+            for batch in pieces(batches, 1):
+                got = list(hits(sought, batch, rows))
                 if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), out, strict=True)], schema=out)
+                    of, n, *more = zip(*got, strict=True)
+                    columns = [batch.column(0).take(pa.array(of)).cast(out.field(0).type), keys.take(pa.array(n))]
+                    columns += [pa.array(c, f.type) for c, f in zip(more, list(out)[2:], strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=out)
 
         if rows:
             found = found.unionByName(texts.mapInArrow(run, schema))
@@ -88,12 +114,18 @@ def occurrences(texts: DataFrame, phrases: DataFrame, key: str, text: str, *, ph
     texts = texts.select(key, F.col(text).alias("_text"), *of)
     phrases = phrases.select(phrase_key, F.col(phrase).alias("_phrase"), *[F.col(c).alias("_by") for c in of])
 
-    def hits(automaton: object, batch: pa.RecordBatch, rows: list) -> Iterator[tuple]:
+    def hits(sought: _Phrases, batch: pa.RecordBatch, rows: list) -> Iterator[tuple]:
         values = batch.column(2).to_pylist() if by else [None] * len(batch)
-        for k, body, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), values, strict=True):
+        for i, (body, value) in enumerate(zip(batch.column(1).to_pylist(), values, strict=True)):
+            if not body:
+                continue
             counts: dict[int, int] = {}
             free: dict[int, int] = {}
-            for end, (length, at) in automaton.iter(body or ""):
+            for phrase, at in sought.short:
+                times = body.count(phrase)
+                if times:
+                    counts.update((n, times) for n in at)
+            for end, (length, at) in sought.iter(body):
                 first = at[0]
                 if end - length + 1 >= free.get(first, 0):
                     free[first] = end + 1
@@ -101,7 +133,7 @@ def occurrences(texts: DataFrame, phrases: DataFrame, key: str, text: str, *, ph
                         counts[n] = counts.get(n, 0) + 1
             for n, times in counts.items():
                 if not by or rows[n]._by == value:
-                    yield k, rows[n][0], times
+                    yield i, n, times
 
     return _scanned(texts, phrases, key, phrase_key, [S.StructField("n", S.LongType())], hits)
 
@@ -133,18 +165,37 @@ def quote_places(texts: DataFrame, quotes: DataFrame, key: str, text: str, *, qu
     asked = quotes.select(quote_key, F.when(bare == "", signs).otherwise(bare).alias("_phrase"), F.col(quote).alias("_quote"))
     texts = texts.select(key, F.col(text).alias("_text"))
 
-    def hits(automaton: object, batch: pa.RecordBatch, rows: list) -> Iterator[tuple]:
+    def hits(sought: _Phrases, batch: pa.RecordBatch, rows: list) -> Iterator[tuple]:
         import re
 
-        for k, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        def pattern(n: int) -> re.Pattern | None:
+            words = [re.escape(w) for w in rows[n]._quote.split() if w != ">"]
+            if len(sought.patterns) >= PATTERNS_KEPT:
+                sought.patterns.clear()
+            found = sought.patterns[n] = re.compile(r"[\s>]+".join(words), re.IGNORECASE) if words else None
+            return found
+
+        for i, body in enumerate(batch.column(1).to_pylist()):
             if not body:
                 continue
-            ways = [_folded(" ".join(body.replace(">", " ").split()))] + ([">"] if ">" in body else [])
-            for n in sorted({n for way in ways for _, (_, at) in automaton.iter(way) for n in at}):
-                words = [re.escape(w) for w in rows[n]._quote.split() if w != ">"]
-                m = re.search(r"[\s>]+".join(words), body, re.IGNORECASE) if words else None
+            spaced = " ".join((body.replace(">", " ") if ">" in body else body).split())
+            folded = _folded(spaced)
+            ways = [folded] + ([">"] if ">" in body else [])
+            first: dict[int, int] = {}  # a row's phrase by its first place in the folded text
+            for way in ways:
+                for phrase, at in sought.short:
+                    begin = way.find(phrase)
+                    if begin >= 0:
+                        first.update((n, begin) for n in at)
+                for end, (length, at) in sought.iter(way):
+                    if at[0] not in first:
+                        first.update((n, end - length + 1) for n in at)
+            same = len(folded) == len(spaced)  # then no place is further on than in the text
+            for n, begin in first.items():
+                m = sought.patterns[n] if n in sought.patterns else pattern(n)
+                m = m and m.search(body, begin if same and ">" not in rows[n]._quote else 0)
                 if m:
-                    yield k, rows[n][0], m.start(), m.end()
+                    yield i, n, m.start(), m.end()
 
     fields = [S.StructField("char_from", S.IntegerType()), S.StructField("char_to", S.IntegerType())]
     return _scanned(texts, asked, key, quote_key, fields, hits, _folded).select(quote_key, key, "char_from", "char_to")

@@ -106,3 +106,31 @@ def test_queries_keep_sharp_s(spark, tmp_path, query, ids):
     pairs = lambda **how: sorted((r.q, r.id) for r in phrases.quoted(texts, quotes, "id", "t", quote_key="q", **how).collect())
     assert pairs() == [(1, 1), (1, 2), (2, 1), (2, 2)]
     assert pairs(fold=F.lower) == [(1, 1), (2, 2)]
+
+
+def test_frequent_short_phrases_are_not_walked():
+    """Those that stand at every other place take one search of a text each, and give the same counts."""
+    texts = [("aXb" * 50 + " a longer one"), "b", ""]
+    seen: list[int] = []
+    sought = phrases._phrases_of("short", ["a", "xb", "a longer", "b", "a"])
+    walk = sought.iter
+    sought.iter = lambda text: (seen.append(1) or hit for hit in walk(text))
+    assert [p for p, _ in sought.short] == ["a", "b", "xb"] and dict(sought.short)["a"] == [0, 4]
+    assert [at for text in texts for _, (_, at) in sought.iter(text)] == [[2]] and len(seen) == 1
+    only = phrases._phrases_of("only", ["a"])
+    assert only.automaton is None and list(only.iter("aaa")) == []
+
+
+def test_places_after_letters_that_fold_to_more(spark, blocks):
+    """A place in the folded text is no bound where letters fold to two, or the quote has marks."""
+    bodies = ["ßßßßßß  foo", "ŉ ŉ\n>foo  FOO", "  \n foo", "İİ fooı", ">foo", "x >foo bar foo", "\u2028foo\u00a0bar"]
+    asked = ["foo", "foo bar", ">foo", "> foo", "ss foo", "fooi", "oo", "o"]
+    texts = spark.createDataFrame(list(enumerate(bodies)), "id long, t string")
+    quotes = spark.createDataFrame(list(enumerate(asked)), "q long, quote string")
+    got = sorted(map(tuple, phrases.quote_places(texts, quotes, "id", "t", quote_key="q").collect()))
+    want = []
+    for q, quote in enumerate(asked):
+        words = [re.escape(w) for w in quote.split() if w != ">"]
+        found = [(q, k, re.search(r"[\s>]+".join(words), t, re.IGNORECASE)) for k, t in enumerate(bodies)]
+        want += [(q, k, m.start(), m.end()) for q, k, m in found if m]
+    assert got == sorted(want)
