@@ -9,8 +9,10 @@ from tessera.functions import text as T
 from tessera.functions import words as W
 from tessera.functions.stemming import stems
 from tessera.operators import phrases, ranking
+from tessera.session import checkpointed
 
 FEW_TERMS = 64
+FEW_WORDS = 1 << 18
 
 
 def keyword_hits(passages: DataFrame, keywords: DataFrame, key: str, text: str, *, stem: bool = True) -> DataFrame:
@@ -20,7 +22,9 @@ def keyword_hits(passages: DataFrame, keywords: DataFrame, key: str, text: str,
     term and, then, lang. A term counts by the stem of its first word, and a term
     of several words also as a phrase, case aside. Of terms with one stem the
     last by name wins. All phrases are sought in one pass over each text. A few terms without stems are first sought as they are, so that only
-    texts that have one are cut into words.
+    texts that have one are cut into words. With stems only texts in a language of
+    the terms are read, and the words that have a wanted stem are sent to the
+    texts while they are not more than ``FEW_WORDS``, so that words are not shuffled.
     """
     terms = keywords.where(~T.blank("term")).withColumn("term", F.btrim("term"))
     langs = ["lang"] if stem else []
@@ -33,12 +37,17 @@ def keyword_hits(passages: DataFrame, keywords: DataFrame, key: str, text: str,
         first_words = F.array(*[F.lit(t) for t in few])
         heads = F.filter(F.transform(first_words, lambda t: F.get(W.tokens(t), F.lit(0))), lambda t: t.isNotNull())
         passages = passages.where(F.exists(heads, lambda t: F.contains(T.folded(text), t)))
+    if stem:
+        spoken_in = F.broadcast(terms.select(F.col("lang").alias("_of")).distinct())
+        passages = passages.join(spoken_in, F.col("lang").eqNullSafe(F.col("_of")), "left_semi")
     counted = passages.select(key, *langs, F.explode(words).alias("_token"))
     if stem:  # each distinct word is cut to its stem once, and only those that a term wants are joined back
         own = F.array_distinct(words)
         every = passages.select("lang", F.explode(own).alias("_token")).distinct()
         stemmed = every.select("lang", "_token", stems(F.array("_token"), F.col("lang"))[0].alias("_stem"))
-        by_stem = stemmed.join(by_stem.withColumnRenamed("_token", "_stem"), ["_stem", "lang"]).drop("_stem")
+        by_stem = checkpointed(stemmed.join(by_stem.withColumnRenamed("_token", "_stem"), ["_stem", "lang"]).drop("_stem"))
+        if by_stem.limit(FEW_WORDS + 1).count() <= FEW_WORDS:
+            by_stem = F.broadcast(by_stem)
     single = counted.join(by_stem, ["_token", *langs]).groupBy(key, "term").agg(F.count("*").alias("n"))
     spoken = terms.where(F.contains("term", F.lit(" "))).select("term", T.folded("term").alias("_phrase"), *langs).distinct()
     body = passages.select(key, T.folded(text).alias("_body"), *langs)

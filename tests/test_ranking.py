@@ -109,3 +109,17 @@ def test_overlap_by_lower_case_alone(spark):
     told = lambda **how: sorted((r.id, r.score) for r in lexical.overlap(passages, asked, "id", "t", query="k", query_text="q", **how).collect())
     assert told() == [(1, 1.0), (2, 1.0), (3, 1.0), (4, 1.0)]
     assert told(sharp_s="ß") == [(1, 1.0), (4, 1.0)]
+
+
+@pytest.mark.parametrize("few", [1 << 18, 0])
+def test_stemmed_words_are_not_shuffled(spark, monkeypatch, few):
+    """Only words that have a wanted stem go to the texts, and only texts in a language of the terms are read; null is one for phrases."""
+    monkeypatch.setattr(lexical, "FEW_WORDS", few)
+    rows = [(1, "en", "Things and thing of the things"), (2, "fr", "things of the"), (3, None, "of the things"), (4, "de", "things"), (5, "en", None), (6, "en", "of-the thinging")]
+    passages = spark.createDataFrame(rows, "id long, lang string, t string")
+    terms = spark.createDataFrame([("en", "things"), ("en", "of the"), (None, "of the"), ("es", "nada")], "lang string, term string")
+    found = lexical.keyword_hits(passages, terms, "id", "t")
+    got = {r.id: (r.terms, r.hits) for r in found.collect()}
+    assert got == {1: (["of the", "things"], 5), 3: (["of the"], 1), 6: (["things"], 1)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") >= 1 and plan.count("strategy=broadcast") == plan.count("LeftSemi") + (1 if few else 0)
