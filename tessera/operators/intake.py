@@ -14,6 +14,7 @@ from tessera.session import checkpointed
 
 PART_CHARS, TOLERANCE, PARTS, MOST_PLACED = 12_000, 15, 20, 40
 WIDTH = 1024
+ROWS_A_TASK = 1 << 18
 
 
 def parts(pastes: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -126,7 +127,9 @@ def united(spans: DataFrame, by: list[str], begin: str = "char_from", end: str =
 
     A sweep over ordered starts, first within stretches of ``width`` characters,
     then over what is left, which is not more than a text has characters however
-    many spans lie on it. Null and empty spans cover nothing.
+    many spans lie on it. Null and empty spans cover nothing. Spans are counted
+    first and dealt to tasks of about ``ROWS_A_TASK``, so that what a task holds
+    does not grow with them; repeats are dropped where they meet.
     """
 
     def swept(rows: DataFrame, within: list[str]) -> DataFrame:
@@ -137,8 +140,10 @@ def united(spans: DataFrame, by: list[str], begin: str = "char_from", end: str =
         return runs.groupBy(*within, "_run").agg(F.min(begin).alias(begin), F.max(end).alias(end)).drop("_run")
 
     rows = spans.where(F.col(end) > F.col(begin)).select(*by, begin, end)
-    near = rows.distinct().withColumn("_stretch", F.floor(F.col(begin) / width))
-    return swept(swept(near, [*by, "_stretch"]).drop("_stretch"), by)
+    tasks = max(1, -(-rows.count() // ROWS_A_TASK))
+    dealt = lambda df, within: df.repartition(tasks, *within) if within else df
+    near = dealt(rows.withColumn("_stretch", F.floor(F.col(begin) / width)), [*by, "_stretch"]).distinct()
+    return swept(dealt(swept(near, [*by, "_stretch"]).drop("_stretch"), by), by)
 
 
 def quote_spans(rows: DataFrame, key: str, text: str, quote: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from tessera.operators import history, intake
@@ -63,3 +64,15 @@ def test_two_edits_of_one_draft(spark):
     assert got == [(1, "a", 4, "changed"), (2, "old", 1, "conflict"), (3, "old", 0, "kept")]
     lost = sorted(tuple(r) for r in history.conflicts(drafts, edits, ["id"], ["body"]).collect())
     assert lost == [(1, "a", 3), (1, "b", 3), (1, "c", 2), (2, "x", 7)]
+
+
+@pytest.mark.parametrize("times", [1, 10])
+def test_united_tasks_hold_no_more_rows_than_allowed(spark, monkeypatch, times):
+    """Ten times the texts take ten times the tasks, in either sweep; the stretches are the same."""
+    monkeypatch.setattr(intake, "ROWS_A_TASK", 100)
+    rows = [(t, b, b + 3) for t in range(20 * times) for b in range(0, 80, 8)]
+    found = intake.united(spark.createDataFrame(rows + [(0, 5, 5), (None, 1, 2)], "t int, char_from int, char_to int"), ["t"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    tasks = -(-(len(rows) + 1) // 100)
+    assert [int(n.split(")")[0].split(",")[0]) for n in re.findall(r"RepartitionByExpression .*?\], (\d+)", plan)] == [tasks, tasks]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted([*rows, (None, 1, 2)], key=repr)
