@@ -38,6 +38,7 @@ from tessera.llm.workspace import keep
 ITEMS_A_BLOCK = 256
 GROUP_BYTES = 32 << 20
 FEATURES = 1 << 13
+STARTS_BITS = 16
 RANK = 64
 OVERSAMPLED = 8
 FEATURES_A_ROW = 512
@@ -48,6 +49,7 @@ PASSAGE = 32
 LATENT = 0.7
 COMMON = 0.1
 PAIRS_AT_ONCE = 1 << 13
+WORDS_JOINED = 128
 COSINE = 0.45
 SUBSEQUENCE = 0.6
 WITH_ANSWER = 0.45
@@ -56,7 +58,8 @@ LEAST_WORDS = 5
 LEAST_ROOM = 8
 WORDS_AT_ONCE = 1 << 17
 WORDS_MULTIPLIED = 1 << 14
-WORDS_TAKEN = 1 << 12
+ROWS_ADDED = 32
+STRETCHES_AT_ONCE = 1 << 10
 WINDOWS_AT_ONCE = 4096
 SEED = 5
 DOCS = -1  # in counts: the number of documents
@@ -65,13 +68,18 @@ _KEPT = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_ \t\n\v
 _SIGNS = bytes(c for c in range(128) if c not in _KEPT)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _NO_WORD = re.compile(r"[^\w \t\n\x0b\f\r]+")
+_NO_WORD_BUT_ASCII = re.compile(r"[^\x00-\x7f\w]+")
+_UNTOLD = "\ufffd\u03a3"  # bytes that are no text, and the letter whose lower case depends on the signs around it
 
 
 def normal(text: bytes) -> bytes:
     """A text without case and without anything but letters, digits, underscores and ASCII white space."""
     if text.isascii():
         return text.translate(_LOWER, _SIGNS)
-    return _NO_WORD.sub("", text.decode("utf-8", "replace").lower()).encode()
+    whole = text.decode("utf-8", "replace")
+    if any(c in whole for c in _UNTOLD):
+        return _NO_WORD.sub("", whole.lower()).encode()
+    return _NO_WORD_BUT_ASCII.sub("", text.translate(_LOWER, _SIGNS).decode().lower()).encode()
 
 
 def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -85,11 +93,48 @@ def feature_of(names: np.ndarray) -> np.ndarray:
     return (names % np.uint64(FEATURES)).astype(np.int32)
 
 
-def numbered(names: np.ndarray, terms: np.ndarray) -> np.ndarray:
-    """Places of word names among the sorted ``terms``; of other words ``-1 - feature``."""
-    at = np.searchsorted(terms, names).astype(np.int32)
-    at[at == len(terms)] = 0
-    return np.where(terms[at] == names, at, -1 - feature_of(names)) if len(terms) else -1 - feature_of(names)
+def numbered(names: np.ndarray, terms: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+    """Places of word names among the sorted ``terms``, by their ``starts`` if given; of other words ``-1 - feature``."""
+    other = -1 - feature_of(names)
+    if not len(terms):
+        return other
+    if starts is None:
+        at = np.minimum(np.searchsorted(terms, names), len(terms) - 1)
+    else:
+        at = starts.take((names >> np.uint64(64 - STARTS_BITS)).astype(np.int64))
+        for _ in range(int(np.diff(starts).max(initial=0))):
+            at += terms.take(at, mode="clip") < names
+        at = np.minimum(at, len(terms) - 1)
+    return np.where(terms.take(at) == names, at.astype(np.int32), other)
+
+
+def starts_of(terms: np.ndarray) -> np.ndarray:
+    """Where the sorted ``terms`` with each STARTS_BITS first bits begin, and their number."""
+    return np.append(np.searchsorted(terms, np.arange(1 << STARTS_BITS, dtype=np.uint64) << np.uint64(64 - STARTS_BITS)), len(terms))
+
+
+def row_sums(table: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``at`` of ``table`` over stretches of them: the first of many stretches at a time, then the second and so on.
+
+    Stretches of more than ROWS_ADDED rows are cut into parts whose sums are added in the same way.
+    """
+    n = end - begin
+    if n.max(initial=0) > ROWS_ADDED:
+        own = -(-n // ROWS_ADDED)
+        last = np.cumsum(own)
+        low = np.repeat(begin - (last - own) * ROWS_ADDED, own) + np.arange(own.sum()) * ROWS_ADDED
+        parts = row_sums(table, at, low, np.minimum(low + ROWS_ADDED, np.repeat(end, own)))
+        return row_sums(parts, np.arange(len(parts)), last - own, last)
+    out = np.zeros((len(begin), table.shape[1]), table.dtype)
+    order = np.argsort((ROWS_ADDED - n).astype(np.uint16), kind="stable")
+    for some in range(0, len(order), STRETCHES_AT_ONCE):
+        own = order[some : some + STRETCHES_AT_ONCE]  # longest first
+        first, longer = begin[own], len(own) - np.cumsum(np.bincount(n[own], minlength=1))
+        sums = np.zeros((len(own), table.shape[1]), table.dtype)
+        for i, k in enumerate(longer[:-1].tolist()):
+            sums[:k] += table.take(at[first[:k] + i], axis=0)
+        out[own] = sums
+    return out
 
 
 @dataclass
@@ -103,18 +148,8 @@ class Space:
         return np.where(ids >= 0, self.feature[np.maximum(ids, 0)], -1 - ids) if len(self.feature) else -1 - ids
 
     def sums(self, ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Places of stretches of words: products with ones over their words, short ones filled up with a feature of zeros."""
-        feature = np.append(self.features(ids), FEATURES)
-        basis = np.concatenate([self.basis, np.zeros((1, self.basis.shape[1]), np.float32)])
-        width = int((end - begin).max(initial=1))
-        ones, steps = np.ones((1, width), np.float32), np.arange(width)
-        out = np.zeros((len(begin), basis.shape[1]), np.float32)
-        size = max(1, WORDS_TAKEN // width)
-        for low in range(0, len(begin), size):
-            at = begin[low : low + size, None] + steps
-            at[at >= end[low : low + size, None]] = len(ids)
-            out[low : low + size] = (ones @ basis.take(feature[at], axis=0))[:, 0]
-        return out
+        """Places of stretches of words."""
+        return row_sums(self.basis, self.features(ids), begin, end)
 
 
 @dataclass
@@ -145,15 +180,26 @@ class Index:
 
 def subsequence(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence, a row of bits at a time; negative words match nothing."""
+    at = _bits(a)
+    return _in_order([at[w] for w in b if w >= 0 and w in at], len(a))
+
+
+def _bits(words: list[int]) -> dict[int, int]:
+    """Where each word stands, as bits."""
     at: dict[int, int] = {}
-    for i, w in enumerate(a):
+    for i, w in enumerate(words):
         at[w] = at.get(w, 0) | 1 << i
-    full = (1 << len(a)) - 1
+    return at
+
+
+def _in_order(bits: list[int], n: int) -> int:
+    """Length of the longest common subsequence of ``n`` words and those that stand where ``bits`` say."""
+    full = (1 << n) - 1
     row = full
-    for w in b:
-        hit = row & at.get(w, 0) if w >= 0 else 0
+    for b in bits:
+        hit = row & b
         row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+    return n - row.bit_count()
 
 
 def _numbered(column: pa.Array, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,45 +254,78 @@ def _by_length(index: Index) -> list[_Lengths]:
     return out
 
 
-def _given(rows: np.ndarray, before: np.ndarray, begin: np.ndarray, end: np.ndarray, gain: np.ndarray) -> np.ndarray:
-    """Sums of the rows of ``gain`` over the different terms of each window; ``before`` is where a word's term occurred last."""
+@dataclass
+class _Terms:
+    """Those words of some texts that have a row in a block: where they are, their rows, and where each occurred last."""
+
+    at: np.ndarray
+    rows: np.ndarray
+    before: np.ndarray
+
+    @classmethod
+    def of(cls, row: np.ndarray, ids: np.ndarray, before: np.ndarray) -> _Terms:
+        rows = row[np.maximum(ids, -1)]
+        at = np.flatnonzero(rows >= 0)
+        return cls(at, rows[at], before[at])
+
+    def within(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The different terms of each stretch of words: the stretch and the row of each."""
+        low, high = np.searchsorted(self.at, begin), np.searchsorted(self.at, end)
+        n = high - low
+        where = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        some = np.flatnonzero(self.before[where] < np.repeat(begin, n))
+        return np.repeat(np.arange(len(n)), n)[some], self.rows[where[some]]
+
+
+def _given(terms: _Terms, begin: np.ndarray, end: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``gain`` over the different terms of each window."""
     out = np.zeros((len(begin), gain.shape[1]), np.float32)
     step = max(1, WORDS_MULTIPLIED // int((end - begin).max(initial=1)))
     for low in range(0, len(begin), step):
-        a, b = begin[low : low + step], end[low : low + step]
-        who = np.repeat(np.arange(len(a)), b - a)
-        at = np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a) + np.arange(len(who))
-        some = (rows[at] >= 0) & (before[at] < a[who])
-        who, at = who[some], at[some]
-        cuts = np.flatnonzero(np.diff(who, prepend=-1))
-        if len(cuts):
-            out[low + who[cuts]] = np.add.reduceat(gain[rows[at]], cuts, axis=0)
+        who, rows = terms.within(begin[low : low + step], end[low : low + step])
+        cuts = np.searchsorted(who, np.arange(len(begin[low : low + step]) + 1))
+        out[low : low + step] = row_sums(gain, rows, cuts[:-1], cuts[1:])
     return out
 
 
 def _before(ids: np.ndarray) -> np.ndarray:
-    """Where each word occurred last, or -1."""
-    order = np.argsort(ids, kind="stable")
+    """Where each term occurred last, or -1; it is not told for words that are no terms."""
+    told = np.flatnonzero(ids >= 0)
+    terms = ids[told]
+    order = np.argsort(terms.astype(np.uint16) if terms.max(initial=0) < 1 << 16 else terms, kind="stable")
     before = np.full(len(ids), -1, np.int64)
-    again = ids[order[1:]] == ids[order[:-1]]
-    before[order[1:][again]] = order[:-1][again]
+    again = terms[order[1:]] == terms[order[:-1]]
+    before[told[order[1:][again]]] = told[order[:-1][again]]
     return before
 
 
 def _windows(lengths: _Lengths, ids: np.ndarray, before: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """Text, item, begin and end of all windows with enough of an item's words and weight, in whatever order."""
-    rows = lengths.row[np.maximum(ids, -1)]
+    """Text, item, begin and end of all windows with enough of an item's words and weight, in whatever order.
+
+    Windows overlap by half. What their different terms give at most is summed by
+    halves: a word counts in a window that begins with its half, or with the half
+    before, if it occurred last before that.
+    """
+    terms = _Terms.of(lengths.row, ids, before)
     begin, end, text = _passages(first, 2 * lengths.room, lengths.room)
+    if not len(begin):
+        return
+    middle = np.minimum(begin + lengths.room, end)
+    low, half, high = (np.searchsorted(terms.at, at) for at in (begin, middle, end))
+    in_first = terms.before < np.repeat(begin, half - low)
+    in_second = terms.before < np.repeat(np.append(begin[:1], begin[:-1]), half - low)
     slack = 1 - 1e-4
+    some = np.ones(len(begin), bool)
     for column, least in ((0, COSINE * COSINE), (1, WITH_ANSWER)):
-        most = np.concatenate([[0.0], np.cumsum(lengths.most[:, column][rows])])
-        some = most[end] - most[begin] >= least * slack
-        begin, end, text = begin[some], end[some], text[some]
+        most = lengths.most[:, column][terms.rows]
+        ones, twos = (np.concatenate([[0.0], np.cumsum(most * where)]) for where in (in_first, in_second))
+        some &= ones[half] - ones[low] + twos[high] - twos[half] >= least * slack
+    begin, end, text = begin[some], end[some], text[some]
     for at in range(0, len(begin), WINDOWS_AT_ONCE):
         a, b, t = begin[at : at + WINDOWS_AT_ONCE], end[at : at + WINDOWS_AT_ONCE], text[at : at + WINDOWS_AT_ONCE]
-        heavy = _given(rows, before, a, b, lengths.weights) >= COSINE * COSINE * slack
+        heavy = _given(terms, a, b, lengths.weights) >= COSINE * COSINE * slack
         some = np.flatnonzero(heavy.any(axis=1))
-        many = _given(rows, before, a[some], b[some], lengths.counts) >= WITH_ANSWER * slack
+        many = _given(terms, a[some], b[some], lengths.counts) >= WITH_ANSWER * slack
         for w, k in zip(*np.nonzero(heavy[some] & many), strict=True):
             yield int(t[some[w]]), int(lengths.items[k]), int(a[some[w]]), int(b[some[w]])
 
@@ -258,20 +337,22 @@ def _stretch(index: Index, k: int, around: list[int]) -> tuple | None:
     """
     item = index.words[k]
     least, room = WITH_ANSWER * len(item), 2 * len(item)
-    if subsequence(item, around) < least:
-        return None
-    own = set(item)
+    own = _bits(item)
     at = [i for i, w in enumerate(around) if w in own]
+    held = [own[around[i]] for i in at]  # other words are in no common subsequence
+    if _in_order(held, len(item)) < least:
+        return None
     answered = subsequence(index.answers[k], around) == len(index.answers[k])
     weight = lambda words: sum(n * float(index.idf[w]) ** 2 for w, n in words.items())
+    enough = WITH_ANSWER if answered else SUBSEQUENCE
     whole = Counter(item)
     best, found = 0, None
     for j, i in enumerate(at):
         stop = bisect_left(at, i + room)
-        if stop - j <= best:
+        if stop - j <= best or (stop - j) / len(item) < enough:
             continue
-        n = subsequence(item, around[i : i + room])
-        if n <= best or n / len(item) < (WITH_ANSWER if answered else SUBSEQUENCE):
+        n = _in_order(held[j:stop], len(item))
+        if n <= best or n / len(item) < enough:
             continue
         end = at[stop - 1] + 1
         cosine = math.sqrt(weight(whole & Counter(around[i:end])) / weight(whole))
@@ -321,20 +402,28 @@ def _surroundings(index: Index, first: np.ndarray, text: np.ndarray, k: np.ndarr
     return np.maximum(first[text], begin - n // 2), np.minimum(first[text + 1], np.maximum(end, begin + n) + n // 2)
 
 
-def _holding(row: np.ndarray, gain: np.ndarray, ids: np.ndarray, before: np.ndarray, k: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+def _holding(terms: _Terms, gain: np.ndarray, k: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """What share of their item's words stretches have, in whatever order."""
-    rows = row[np.maximum(ids, -1)]
     out = np.zeros(len(k))
     for at in range(0, len(k), PAIRS_AT_ONCE):
-        a, b, item = low[at : at + PAIRS_AT_ONCE], high[at : at + PAIRS_AT_ONCE], k[at : at + PAIRS_AT_ONCE]
-        who = np.repeat(np.arange(len(a)), b - a)
-        where = np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a) + np.arange(len(who))
-        some = (rows[where] >= 0) & (before[where] < a[who])
-        who, where = who[some], where[some]
-        out[at : at + PAIRS_AT_ONCE] = np.bincount(who, weights=gain[rows[where], item[who]], minlength=len(a))
+        item = k[at : at + PAIRS_AT_ONCE]
+        who, rows = terms.within(low[at : at + PAIRS_AT_ONCE], high[at : at + PAIRS_AT_ONCE])
+        out[at : at + PAIRS_AT_ONCE] = np.bincount(who, weights=gain.ravel().take(rows * gain.shape[1] + item[who]), minlength=len(item))
     return out
 
 
+def _may_hold(terms: _Terms, gain: np.ndarray, text: np.ndarray, k: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Stretches near which there is enough of their item: those of a text and item that begin in the same WORDS_JOINED words are looked at as one."""
+    if not len(k):
+        return np.zeros(0, np.int64)
+    order = np.lexsort((low, text, k))
+    k, text, low, high = k[order], text[order], low[order], high[order]
+    new = np.append(True, (np.diff(k) != 0) | (np.diff(text) != 0) | (np.diff(low // WORDS_JOINED) != 0))
+    cuts = np.flatnonzero(new)
+    some = _holding(terms, gain, k[cuts], low[cuts], np.maximum.reduceat(high, cuts)) >= WITH_ANSWER * (1 - 2e-4)
+    return np.sort(order[some[np.cumsum(new) - 1]])
+
+
 def decompose(texts: DataFrame, items: list[np.ndarray], idf: np.ndarray, feature: np.ndarray) -> Space:
     """The right singular vectors of the TF-IDF matrix of all passages of ``texts`` and the items.
 
@@ -361,9 +450,10 @@ def decompose(texts: DataFrame, items: list[np.ndarray], idf: np.ndarray, featur
                     continue
                 features, who, placed = space.features(ids), np.repeat(np.arange(len(begin)), end - begin), space.sums(ids, begin, end)
                 order = np.argsort(features.astype(np.uint16), kind="stable")
-                cuts = np.flatnonzero(np.diff(features[order], prepend=-1))
-                total[features[order[cuts]]] += np.add.reduceat(placed.take(who[order], axis=0), cuts, axis=0)
-                times += np.bincount(features, minlength=FEATURES)
+                own = np.bincount(features, minlength=FEATURES)
+                last = np.cumsum(own)
+                total += row_sums(placed, who[order], last - own, last)
+                times += own
                 n += len(begin)
         if n:
             level = pa.array([TaskContext.get().partitionId() // LEVEL])
@@ -414,9 +504,12 @@ def _searched(batches: Iterator[pa.RecordBatch], blocks: list[Index], space: Spa
             before = _before(ids)
             for index, lengths_of, (row, gain) in zip(blocks, by_length, of_all, strict=True):
                 best: dict[tuple[int, int], tuple] = {}
+                terms = _Terms.of(row, ids, before)
                 for text, item, begin, end, cosine in near_windows(space, index.places, ids, first):
                     a, b = _surroundings(index, first, text, item, begin, end)
-                    held = _holding(row, gain, ids, before, item, a, b)
+                    some = _may_hold(terms, gain, text, item, a, b)
+                    text, item, a, b, begin, end, cosine = (v[some] for v in (text, item, a, b, begin, end, cosine))
+                    held = _holding(terms, gain, item, a, b)
                     some = np.flatnonzero(held >= WITH_ANSWER * (1 - 1e-4))
                     for t, k, x, y, begin, end, c, most in zip(*(v[some].tolist() for v in (text, item, a, b, begin - first[text], end - first[text], cosine, held)), strict=True):
                         around = ids[x:y].tolist()
@@ -484,16 +577,18 @@ def _of_group(rows: DataFrame, group: DataFrame, schema: str, least_words: int)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent_terms.value
+        starts = starts_of(own)
         size = len(own) + FEATURES
         seen, docs = np.zeros(size, np.int64), 0
         for batch in batches:
             key_type = batch.schema.field(0).type
             for low, high in chunks(batch.column(1)):
                 words, begin = hashed(batch.column(1)[low:high].to_pylist())
-                ids = numbered(words, own)
+                ids = numbered(words, own, starts)
                 who = np.repeat(np.arange(high - low), np.diff(begin)) * size
                 for ways in (who[ids >= 0] + ids[ids >= 0], who + len(own) + feature_of(words)):
-                    seen += np.bincount(np.unique(ways) % size, minlength=size)
+                    ways.sort()
+                    seen += np.bincount(ways[np.flatnonzero(np.diff(ways, prepend=-1))] % size, minlength=size)
                 docs += high - low
                 lists = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], lists, pa.nulls(high - low, pa.int64()), pa.nulls(high - low, pa.int64())], ["doc", "ids", "term", "docs"])

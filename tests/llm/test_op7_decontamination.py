@@ -187,3 +187,74 @@ def test_space_of_known_directions(spark, monkeypatch):
     found = [dc.decompose(frame.repartition(n), [], np.ones(dc.FEATURES), np.zeros(0, np.int32)).basis[:800].astype(float) for n in (1, 5)]
     assert (np.linalg.norm(found[0].T @ truth, axis=0)[:4] > 0.98).all()
     assert np.abs(np.abs(found[0][:, :4]) - np.abs(found[1][:, :4])).max() < 1e-3
+
+
+def test_repeated_words_count_once_before_items_are_compared(spark, monkeypatch):
+    """A text that says a few words of an item over and over has no window whose words are summed for every item."""
+    rng = random.Random(41)
+    items = [words(rng, 30) for _ in range(5)]
+    terms = {w: i for i, w in enumerate(sorted({w for t in items for w in t}))}
+    item_words = [[terms[w] for w in t] for t in items]
+    index = dc.Index(list(range(5)), item_words, [w[-4:] for w in item_words], np.ones(len(terms)))
+    said = item_words[0][:3] * 200
+    ids = np.array(said + item_words[1], np.int32)
+    first = np.array([0, len(said), len(ids)])
+    given, summed = dc._given, []
+    monkeypatch.setattr(dc, "_given", lambda *args: summed.append(args[-3]) or given(*args))  # args[-3]: where windows begin
+    found = [w for lengths in dc._by_length(index) for w in dc._windows(lengths, ids, dc._before(ids), first)]
+    assert {(t, k) for t, k, _, _ in found} == {(1, 1)}
+    assert min(min(b.tolist(), default=len(said)) for b in summed) >= len(said)
+
+
+def test_windows_and_stretches_against_plain_counts(spark):
+    """Windows and candidates by sums over different terms are those of a plain count, for texts with many repeats, empty and short ones."""
+    rng = np.random.default_rng(42)
+    item_words = [rng.integers(0, 90, n).tolist() for n in (5, 8, 9, 20, 33, 40)]
+    index = dc.Index(list(range(6)), item_words, [w[-4:] for w in item_words], rng.uniform(0.5, 6, 90))
+    texts = [rng.integers(-9, 90, n).tolist() for n in (0, 1, 7, 0, 300, 64, 65, 1000)]
+    texts += [rng.choice(w, 3 * len(w)).tolist() + [-5] * 40 + w for w in item_words]
+    ids, first = np.array(sum(texts, []), np.int32), np.cumsum([0] + [len(t) for t in texts])
+    before = dc._before(ids)
+    got, wanted = set(), set()
+    for lengths in dc._by_length(index):
+        got |= set(dc._windows(lengths, ids, before, first))
+        for t, k, at in ((t, k, at) for t in range(len(texts)) for k in lengths.items.tolist() for at in range(0, len(texts[t]), lengths.room)):
+            own, part = item_words[k], texts[t][at : at + 2 * lengths.room]
+            shares = [sum(w[x] for x in own if x in part) / sum(w[x] for x in own) for w in (index.idf**2, np.ones(90))]
+            if shares[0] >= dc.COSINE**2 * (1 - 1e-4) and shares[1] >= dc.WITH_ANSWER * (1 - 1e-4):
+                wanted.add((t, k, first[t] + at, first[t] + at + len(part)))
+    assert got == wanted and len(wanted) > 10
+    row, gain = index.shares(np.arange(6), np.ones(90))
+    terms = dc._Terms.of(row, ids, before)
+    text = np.sort(rng.choice([7, 10, 11, 12, 13], 3000))
+    low = first[text] + rng.integers(0, 1 << 30, 3000) % np.diff(first)[text]
+    high, k = np.minimum(first[text + 1], low + rng.integers(5, 80, 3000)), rng.integers(0, 6, 3000)
+    held = dc._holding(terms, gain, k, low, high)
+    plain = [sum(x in set(ids[a:b].tolist()) for x in item_words[i]) / len(item_words[i]) for a, b, i in zip(low, high, k, strict=True)]
+    assert np.abs(held - plain).max() < 1e-5
+    assert set(np.flatnonzero(held >= dc.WITH_ANSWER).tolist()) <= set(dc._may_hold(terms, gain, text, k, low, high).tolist())
+
+
+def test_sums_of_rows_of_all_lengths():
+    rng = np.random.default_rng(43)
+    table, at = rng.standard_normal((50, 7)), rng.integers(0, 50, 9000)
+    begin = np.concatenate([rng.integers(0, 9000, 3000), [0, 0, 5]])
+    end = np.concatenate([np.minimum(9000, begin[:-3] + rng.integers(0, 90, 3000)), [9000, 0, 5 + dc.ROWS_ADDED]])
+    assert np.allclose(dc.row_sums(table, at, begin, end), [table[at[a:b]].sum(axis=0) for a, b in zip(begin, end, strict=True)])
+    assert dc.row_sums(table, at, begin[:0], end[:0]).shape == (0, 7)
+
+
+def test_words_of_odd_texts_and_their_numbers():
+    """Texts with and without ASCII, with letters whose lower case depends on what follows or is longer, and with broken bytes."""
+    plain = lambda t: dc._NO_WORD.sub("", t.decode("utf-8", "replace").lower()).encode()
+    odd = ["", "Don't, STOP!", "\u039f\u0394\u039f\u03a3, \u0391\u03a3.\u0392 \u03a3!", "\u0130\u212a\u00c4 \u00fcber\u2014\u201cw\u00f6rter\u201d_x", "a\x00b\x1c\u00a0\u2003c", "\u6f22\u5b57\U0001f600 e\u0301", "x\ufffdY\u00c9"]
+    for text in [t.encode() for t in odd] + [b"\xc3!\xa9 \xff Ab\xc3"]:
+        assert dc.normal(text) == plain(text)
+    rng = np.random.default_rng(44)
+    for n in (0, 1, 2, 5000):
+        terms = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        terms = np.unique(np.concatenate([terms, terms[:3] + np.uint64(1), np.array([0, 2**64 - 1] if n == 2 else [], np.uint64)]))
+        names = np.concatenate([terms, terms + np.uint64(1), rng.integers(0, 1 << 64, 999, dtype=np.uint64)])
+        place = {int(t): i for i, t in enumerate(terms)}
+        wanted = [place.get(int(w), -1 - int(w) % dc.FEATURES) for w in names]
+        assert dc.numbered(names, terms).tolist() == wanted == dc.numbered(names, terms, dc.starts_of(terms)).tolist()
