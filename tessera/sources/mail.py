@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from email import policy
+from email.parser import BytesParser
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -11,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+from tessera.functions.batches import pieces
+
 ADDRESS = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 # Fixed value: what may stand in angle brackets as an address; a domain needs no dot there.
 ANGLED = r"<([^<>@\s,;\"]+@[^<>@\s,;\"]+)>"
@@ -19,6 +24,8 @@ SIGN_OFF = r"(?im)^[ \t]*(?:--[ \t]*|_{5,}|Sent from my .*|Von meinem .* gesende
 # Fixed value: lines that begin an earlier mail of a thread.
 SEPARATOR = r"^(?:-{2,}\s*(?:Original Message|Ursprüngliche Nachricht|Forwarded message)\s*-{2,}|On .+ wrote:|Am .+ schrieb .*:|From: .+|Von: .+)$"
 
+# Headers of up to so many characters are kept, so many of them.
+KEPT_CHARS, KEPT = 400, 4096
 _SEPARATOR, _QUOTING = re.compile(SEPARATOR), re.compile(r"^(\s*>)+\s*")
 
 
@@ -106,6 +113,18 @@ def message_units(body: Column, own_sender: Column, subject: Column) -> Column:
     return F.flatten(F.transform(thread(F.regexp_replace(body, r"\r\n?", "\n")), of_reply))
 
 
+@lru_cache(KEPT)
+def _header(name: str, value: str) -> str:
+    return policy.default.header_fetch_parse(name, value)
+
+
+class _Headers(policy.EmailPolicy):
+    """The default policy, which takes a header apart whenever it is asked for: a mail's parts ask for theirs many times."""
+
+    def header_fetch_parse(self, name: str, value: str) -> str:
+        return _header(name, value) if type(value) is str and len(value) <= KEPT_CHARS else super().header_fetch_parse(name, value)
+
+
 def parsed(files: DataFrame, key: str, content: str) -> DataFrame:
     """``key``, subject, sender, sent, body, attachments (name, media, bytes) and error of mails as bytes.
 
@@ -126,13 +145,10 @@ def parsed(files: DataFrame, key: str, content: str) -> DataFrame:
     types = [pa.string(), pa.string(), pa.string(), pa.string(), attached, pa.string()]
 
     def one(raw: bytes | None) -> tuple:
-        from email import policy
-        from email.parser import BytesParser
-
         from tessera.sources.pages import page_text
 
         try:
-            mail = BytesParser(policy=policy.default).parsebytes(raw or b"")
+            mail = BytesParser(policy=_Headers()).parsebytes(raw or b"")
             part = mail.get_body(preferencelist=("plain", "html"))
             body = part.get_content() if part is not None else ""
             if part is not None and part.get_content_type() == "text/html":
@@ -143,7 +159,7 @@ def parsed(files: DataFrame, key: str, content: str) -> DataFrame:
             return None, None, None, None, None, f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             rows = [one(x) for x in batch.column(1).to_pylist()]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             texts = [[None if v is None else str(v) for v in c] if i != 4 else list(c) for i, c in enumerate(columns)]
