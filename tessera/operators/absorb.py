@@ -19,6 +19,7 @@ from tessera.operators import language, split
 from tessera.session import checkpointed
 from tessera.sources import files, mail, plain
 
+PART_BYTES, PART_ROWS = 4 << 20, 4000
 INHERITED = ("sender", "sent")
 TOLD = ("units", "error", "subject", "sender", "sent")
 
@@ -40,12 +41,14 @@ def absorb(found: DataFrame, *, case: str = "case", key: str = "path") -> DataFr
     levels, read = [], None
     while True:
         level = checkpointed(level.withColumns({"digest": F.sha2("content", 256), "format": F.coalesce(plain.source_format(F.col("name"), F.col("media")), F.lit(""))}))
-        if level.isEmpty():
+        size = level.agg(F.count("*").alias("rows"), F.sum(F.octet_length("content")).alias("bytes"), F.collect_set("format").alias("formats")).first()
+        if not size.rows:
             break
         contents = level.select(F.struct("digest", "format").alias("what"), "name", "media", "content")
         if read is not None:
             contents = contents.join(read.select(F.struct("digest", "format").alias("what")), "what", "left_anti")
-        got = files.read(contents.dropDuplicates(["what"]), key="what", media="media")
+        contents = _dealt(contents.dropDuplicates(["what"]), size.rows, size.bytes)
+        got = files.read(contents, key="what", media="media", formats=size.formats)
         got = checkpointed(got.select("what.digest", "what.format", *TOLD, "attachments"))
         read = got if read is None else read.unionByName(got)
         rows = checkpointed(_told(level.drop("content", "media"), read, levels))
@@ -60,6 +63,13 @@ def absorb(found: DataFrame, *, case: str = "case", key: str = "path") -> DataFr
     return every.select(F.col("case").alias(case), F.col("key").alias(key), "parent", "depth", "name", "format", "digest", "status", "error", "units", "subject", "sender", mail.domain_of(F.col("sender")).alias("sender_domain"), "sent")
 
 
+def _dealt(contents: DataFrame, rows: int, size: int) -> DataFrame:
+    """``contents`` in parts small enough that reading them keeps all cores busy: few bytes of mail take long."""
+    spark = contents.sparkSession
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return contents.repartition(min(most, 1 + max(size // PART_BYTES, rows // PART_ROWS)), "what.digest")  # by a key of its own, else Spark leaves it out
+
+
 def _told(level: DataFrame, read: DataFrame, above: list[DataFrame]) -> DataFrame:
     """A level's sources with whether they count, what was read of them, and what they have from their mail."""
     same = lambda case, digest: F.col("case").eqNullSafe(F.col(case)) & (F.col("digest") == F.col(digest))

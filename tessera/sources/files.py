@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,18 +31,24 @@ def _composed(rows: DataFrame) -> DataFrame:
     """Rows with composed texts in their units, and composed titles of the way to them."""
     at = rows.columns.index("units")
 
-    def nfc(text: str | None) -> str | None:
-        return text if text is None or text.isascii() else unicodedata.normalize("NFC", text)
+    def nfc(texts: pa.Array) -> pa.Array:
+        if pc.all(pc.string_is_ascii(texts)).as_py() is not False:
+            return texts
+        return pa.array([text and unicodedata.normalize("NFC", text) for text in texts.to_pylist()], texts.type)
+
+    def lists(like: pa.ListArray, values: pa.Array) -> pa.ListArray:
+        """Lists as long as those of ``like``, of other values."""
+        ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(like), 0))
+        return pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), values, type=like.type, mask=like.is_null())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, at):
             column = batch.column(at)
             units = column.flatten()
-            if all(pc.all(pc.string_is_ascii(c)).as_py() is not False for c in (units.field("text"), units.field("path").flatten())):
-                yield batch
-                continue
-            own = [None if units is None else [{**u, "text": nfc(u["text"]), "path": u["path"] and [nfc(p) for p in u["path"]]} for u in units] for units in column.to_pylist()]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(own, column.type))
+            own = {"text": nfc(units.field("text")), "path": lists(units.field("path"), nfc(units.field("path").flatten()))}
+            fields = list(column.type.value_type)
+            made = pa.StructArray.from_arrays([own[f.name] if f.name in own else units.field(f.name) for f in fields], fields=fields, mask=units.is_null())
+            yield batch.set_column(at, batch.schema.field(at), lists(column, made))
 
     return rows.mapInArrow(run, rows.schema)
 
@@ -55,13 +62,14 @@ def _with_clean(rows: DataFrame) -> DataFrame:
     return _composed(rows.withColumn("units", F.filter(clean, lambda u: F.btrim(u["text"]) != "")))
 
 
-def read(found: DataFrame, *, key: str = "path", media: str | None = None) -> DataFrame:
+def read(found: DataFrame, *, key: str = "path", media: str | None = None, formats: Iterable[str] = ("html", "mail", "docx")) -> DataFrame:
     """``key``, format, units, error, subject, sender, sent and attachments of every file.
 
     Text, delimited text and pages are read by expressions, mails and Word files
     in Arrow functions that only their rows reach. Empty and too large files,
     formats without a reader and files without text or attachments have an error.
-    Units are structs of kind, text, path and, in mails, who wrote them.
+    Units are structs of kind, text, path and, in mails, who wrote them. Where it
+    is known which ``formats`` occur, readers of others are left out of the plan.
     """
     kinds = plain.source_format(F.col("name"), F.col(media) if media else F.lit(None).cast("string"))
     rows = found.select(key, "content", kinds.alias("format"), F.octet_length("content").alias("_n"))
@@ -76,14 +84,20 @@ def read(found: DataFrame, *, key: str = "path", media: str | None = None) -> Da
     fine = rows.withColumn("error", bad)
     texts = fine.where("error is not null or format in ('text', 'csv', 'tsv')").select(*told(F.when(F.col("error").isNull(), inline).otherwise(nothing), F.col("error")))
     good = fine.where("error is null")
-    html = good.where("format = 'html'").select(*told(plain.text_units(pages.faithful(text)), none))
-    letters = mail.parsed(good.where("format = 'mail'").select(key, "content"), key, "content").withColumn("format", F.lit("mail"))
-    who = mail.sender(F.col("sender"))["address"]
-    units = mail.message_units(F.col("body"), who, F.col("subject")).cast(MESSAGES)
-    letters = letters.select(key, "format", units.alias("units"), "error", "subject", who.alias("sender"), "sent", "attachments")
-    word = office.parsed(good.where("format = 'docx'").select(key, "content"), key, "content").withColumn("format", F.lit("docx"))
-    word = word.select(*told(F.col("units").cast(UNITS), F.col("error")))
-    every = _with_clean(texts.unionByName(html).unionByName(letters).unionByName(word))
+    every = [texts]
+    if "html" in formats:
+        every.append(good.where("format = 'html'").select(*told(plain.text_units(pages.faithful(text)), none)))
+    if "mail" in formats:
+        letters = mail.parsed(good.where("format = 'mail'").select(key, "content"), key, "content").withColumn("format", F.lit("mail"))
+        who = mail.sender(F.col("sender"))["address"]
+        units = mail.message_units(F.col("body"), who, F.col("subject")).cast(MESSAGES)
+        letters = letters.select(key, "format", units.alias("units"), "error", "subject", who.alias("sender"), "sent", "attachments")
+        every.append(letters)
+    if "docx" in formats:
+        word = office.parsed(good.where("format = 'docx'").select(key, "content"), key, "content").withColumn("format", F.lit("docx"))
+        word = word.select(*told(F.col("units").cast(UNITS), F.col("error")))
+        every.append(word)
+    every = _with_clean(reduce(DataFrame.unionByName, every))
     empty = (F.coalesce(F.size("units"), F.lit(0)) <= 0) & (F.coalesce(F.size("attachments"), F.lit(0)) <= 0)
     return every.withColumn("error", F.coalesce("error", F.when(empty, "the file has no text")))
 
