@@ -24,8 +24,8 @@ SIGN_OFF = r"(?im)^[ \t]*(?:--[ \t]*|_{5,}|Sent from my .*|Von meinem .* gesende
 # Fixed value: lines that begin an earlier mail of a thread.
 SEPARATOR = r"^(?:-{2,}\s*(?:Original Message|Ursprüngliche Nachricht|Forwarded message)\s*-{2,}|On .+ wrote:|Am .+ schrieb .*:|From: .+|Von: .+)$"
 
-# Headers of up to so many characters are kept, so many of them.
-KEPT_CHARS, KEPT = 400, 4096
+# Headers of up to so many characters are kept, so many of them: a list of addresses takes some 600 bytes for each character.
+KEPT_CHARS, KEPT = 200, 512
 _SEPARATOR, _QUOTING = re.compile(SEPARATOR), re.compile(r"^(\s*>)+\s*")
 
 
